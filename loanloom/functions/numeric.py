@@ -21,10 +21,13 @@ def ratio(num, den, digits: int = 2, scale: int = 1) -> Column:
     """``scale * num / den`` rounded half away from zero, as decimal; NULL for a zero divisor."""
     n = _col(num).cast(WIDE)
     d = F.nullif(_col(den).cast(WIDE), F.lit(Decimal("0.00")).cast(WIDE))
-    units = F.lit(2 * scale * 10**digits)
-    q = F.call_function("div", F.abs(n) * units + F.abs(d), F.abs(d) * F.lit(2))
+    # round(x / d) = floor((2x + d) / 2d). `div` would give a BIGINT, which can overflow unseen;
+    # dividing an exact multiple keeps all digits.
+    top = F.abs(n) * F.lit(2 * scale * 10**digits) + F.abs(d)
+    bottom = F.abs(d) * F.lit(2)
+    q = ((top - top % bottom) / bottom).cast("decimal(32,0)")
     q = F.when((n < 0) != (d < 0), -q).otherwise(q)
-    return q.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-digits))
+    return (q * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(28,{digits})")
 
 
 def pct(num, den, digits: int = 2) -> Column:
@@ -38,9 +41,8 @@ def mean(value, digits: int = 2) -> Column:
 
 
 def rounded(value, digits: int) -> Column:
-    """A double rounded half up; first to six places, to drop noise in the last bits."""
-    shift = 10**digits
-    return F.floor(F.round(_col(value), 6) * shift + 0.5) / shift
+    """A double rounded half up as a decimal; six places first, to drop noise in the last bits."""
+    return F.round(_col(value).cast("decimal(28,6)"), digits)
 
 
 def share_of(value, window) -> Column:

@@ -3,9 +3,9 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer,
 which suits months or rates but not money. Here the wanted ranks are narrowed down in steps:
 count the values per wide interval, keep the intervals that hold a rank, and count those
-again by narrower ones until an interval is a single value. The values are counted once; the
-steps share that shuffle. No step sees more than ``widths[i] / widths[i+1]`` intervals per
-group and interval, however many rows or equal values there are.
+again by narrower ones until an interval is a single value. The loans are counted per value
+once; the steps share that shuffle. No step sees more than ``widths[i] / widths[i+1]``
+intervals per group and interval, however many loans or equal values there are.
 """
 
 from __future__ import annotations
@@ -23,6 +23,44 @@ def _interval(width: int) -> Column:
     return F.col("_v") - F.pmod(F.col("_v"), F.lit(width))
 
 
+def _wanted(probs: Sequence[float], total: Column) -> Column:
+    """The 0-based ranks next to each percentile, with the weight of the value at that rank."""
+    wants = []
+    for p in probs:
+        rank = F.lit(p) * (total - 1)
+        part = rank - F.floor(rank)
+        for at, weight in ((F.floor(rank), 1 - part), (F.ceil(rank), part)):
+            wants.append(
+                F.struct(F.lit(p).alias("p"), weight.alias("weight"), at.alias("rank"))
+            )
+    return F.array(*wants)
+
+
+def _narrowed(hist: DataFrame, part: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Intervals that hold a wanted rank, with the ranks counted from the interval's start."""
+    running = Window.partitionBy(*part).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("_n").over(running)
+
+    def here(want: Column) -> Column:
+        return (want["rank"] >= F.col("_from")) & (want["rank"] < F.col("_from") + F.col("_n"))
+
+    def shifted(want: Column) -> Column:
+        return F.struct(
+            want["p"].alias("p"),
+            want["weight"].alias("weight"),
+            (want["rank"] - F.col("_from")).alias("rank"),
+        )
+
+    return (
+        hist.withColumn("_from", upto - F.col("_n"))
+        .select(
+            *key, F.col("_i").alias("_outer"),
+            F.transform(F.filter("_wants", here), shifted).alias("_wants"),
+        )
+        .filter(F.size("_wants") > 0)
+    )
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -35,67 +73,49 @@ def exact_percentiles(
     """Interpolated percentiles of ``value`` per group, one output column per entry of ``probs``.
 
     ``scale`` turns the value into an integer (100 for money with cents); with more than 10^15
-    units ``widths`` needs a wider first entry.
+    units ``widths`` needs a wider first entry. The kept intervals, at most two per percentile
+    and group, are broadcast, so ``by`` should be a dimension with few values.
     """
-    group = [F.struct(*by).alias("_g")] if by else []
     key = ["_g"] if by else []
+    group = [F.struct(*by).alias("_g")] if by else []
     counts = (
         df.filter(F.col(value).isNotNull())
         .select(*group, (F.col(value) * scale).cast("bigint").alias("_v"))
         .groupBy(*key, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-
-    # Ranks are 0-based: percentile p lies between ranks floor(p(n-1)) and ceil(p(n-1)).
-    def wanted(p: float, total: Column) -> list[Column]:
-        rank = F.lit(p) * (total - 1)
-        return [
-            F.struct(F.lit(p).alias("p"), F.lit(name).alias("end"), f(rank).alias("rank"))
-            for name, f in (("lo", F.floor), ("hi", F.ceil))
-        ]
-
-    first = counts.groupBy(*key, _interval(widths[0]).alias("_i")).agg(F.sum("_n").alias("_n"))
-    whole = Window.partitionBy(*key)
-    running = whole.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = F.explode(
-        F.array(*[w for p in sorted(set(probs.values())) for w in wanted(p, F.col("_total"))])
-    )
-    found = (
-        first.withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_upto", F.sum("_n").over(running))
-        .select(*key, "_i", "_n", "_upto", "_total", ranks.alias("_r"))
-        .filter((F.col("_r.rank") < F.col("_upto")) & (F.col("_r.rank") >= F.col("_upto") - F.col("_n")))
-        .select(
-            *key, "_total", "_r.p", "_r.end", F.col("_i").alias("_outer"),
-            (F.col("_r.rank") - F.col("_upto") + F.col("_n")).alias("_rank"),
-        )
+    total = F.sum("_n").over(Window.partitionBy(*key))
+    hist = (
+        counts.groupBy(*key, _interval(widths[0]).alias("_i"))
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_wants", _wanted(sorted(set(probs.values())), total))
     )
+    found = _narrowed(hist, key, key)
     for wide, narrow in zip(widths, widths[1:]):
         part = [*key, "_outer"]
-        inside = Window.partitionBy(*part).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+        kept = found.select(*[F.col(c).alias(f"{c}_kept") for c in part], "_wants")
+        inside = F.lit(True)
+        for c in part:
+            inside = inside & F.col(c).eqNullSafe(F.col(f"{c}_kept"))
+        # <=> and not =: a plain join would push its own NULL test below the counts, a different
+        # one per step, and the steps could not share the shuffle.
         hist = (
             counts.withColumn("_outer", _interval(wide))
-            .join(found.select(*part).distinct(), part, "left_semi")
-            .groupBy(*part, _interval(narrow).alias("_i"))
+            .join(F.broadcast(kept), inside)
+            .groupBy(*part, "_wants", _interval(narrow).alias("_i"))
             .agg(F.sum("_n").alias("_n"))
-            .withColumn("_upto", F.sum("_n").over(inside))
         )
-        found = (
-            found.join(hist, part)
-            .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
-            .select(
-                *key, "_total", "p", "end", F.col("_i").alias("_outer"),
-                (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"),
-            )
-        )
-
-    def interpolated(p: float) -> Column:
-        def at(end: str) -> Column:
-            hit = (F.col("p") == p) & (F.col("end") == end)
-            return F.max(F.when(hit, F.col("_outer"))).cast("double") / scale
+        found = _narrowed(hist, part, key)
 
-        rank = F.lit(p) * (F.max("_total") - 1)
-        return F.round(at("lo") + (at("hi") - at("lo")) * (rank - F.floor(rank)), digits)
-
-    out = found.groupBy(*key).agg(*[interpolated(p).alias(name) for name, p in probs.items()])
-    return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], *probs)
+    weighted = F.col("_outer").cast("double") / scale * F.col("_want.weight")
+    points = (
+        found.withColumn("_want", F.explode("_wants"))
+        .groupBy(*key)
+        .agg(
+            *[
+                F.round(F.sum(F.when(F.col("_want.p") == p, weighted)), digits).alias(name)
+                for name, p in probs.items()
+            ]
+        )
+    )
+    return points.select(*[F.col(f"_g.{c}").alias(c) for c in by], *probs)

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from loanloom.functions import parsing as P
 from loanloom.plans import cohort, dashboard, kpis, quality, raw_variants, risk, segments
 from loanloom.sources import ingest
 from loanloom.sources.portfolio import star_portfolio

@@ -58,6 +58,11 @@ def avg_usd(cents: str, n: str, digits: int = 2) -> str:
     return scaled(quotient(cents, f"100 * ({n})", 10**digits), digits)
 
 
+def half_up(x: str, digits: int = 2) -> str:
+    """A double rounded as a decimal."""
+    return f"round(CAST({x} AS DECIMAL(28, 6)), {digits})::DOUBLE"
+
+
 def usd(cents: str) -> str:
     return f"(({cents})::DOUBLE / 100)"
 

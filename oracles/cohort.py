@@ -1,17 +1,13 @@
 """Check queries for vintage cohorts and seasoning."""
 
 from oracles.base import (
-    AS_OF, SEASON, avg, avg_usd, grouped, pct, pct_int, scaled, sql, usd, whole,
+    AS_OF, SEASON, avg, avg_usd, grouped, half_up, pct, pct_int, scaled, sql, usd, whole,
 )
 from oracles.risk import LOSS, RATE, YEAR
 
 
-def _half_up(x: str, digits: int = 1) -> str:
-    return f"floor(round({x}, 6) * {10**digits} + 0.5) / {10**digits}"
-
-
 def _month_at(p: float) -> str:
-    return _half_up(f"quantile_cont(m::DOUBLE, {p})")
+    return half_up(f"quantile_cont(m::DOUBLE, {p})", 1)
 
 
 def _time_by(key: str) -> str:

@@ -1,7 +1,7 @@
 """Check queries for the portfolio KPIs."""
 
 from oracles.base import (
-    AS_OF, GUARANTEE, avg, avg_usd, day, grouped, pct, quotient, scaled, sql, usd, whole,
+    AS_OF, GUARANTEE, avg, avg_usd, day, grouped, half_up, pct, sql, usd, whole,
 )
 
 RECENT = f"(SELECT * FROM known WHERE approval_date >= {AS_OF} - INTERVAL 60 MONTH)"
@@ -45,7 +45,7 @@ ORACLES = {
     FROM {grouped('vintage_year, vintage_quarter')}"""),
     "loan_size_by_industry": sql(f"""
     SELECT industry_sector, n AS loan_count, {avg_usd('vol', 'n')} AS avg_loan_size,
-      floor(round(mid, 6) * 100 + 0.5) / 100 AS median_loan_size, {usd('lo')} AS min_loan,
+      {half_up('mid')} AS median_loan_size, {usd('lo')} AS min_loan,
       {usd('hi')} AS max_loan, {usd('vol')} AS total_volume,
       {pct('vol', 'sum(vol) OVER ()')} AS pct_of_portfolio
     FROM {grouped('industry_sector', SECTORED,
@@ -83,7 +83,7 @@ ORACLES = {
       FROM {SECTORED} GROUP BY 1)
     SELECT industry_sector, {whole('a')} AS start_year, {whole('b')} AS end_year,
       {usd('v0')} AS start_volume, {usd('v1')} AS end_volume, years AS num_years,
-      CASE WHEN v1 > 0 THEN floor(round((pow(v1::DOUBLE / v0::DOUBLE, 1.0::DOUBLE / years) - 1) * 100, 6) * 100 + 0.5) / 100 END AS cagr_pct
+      CASE WHEN v1 > 0 THEN {half_up('(pow(v1::DOUBLE / v0::DOUBLE, 1.0::DOUBLE / years) - 1) * 100')} END AS cagr_pct
     FROM s WHERE years > 5 AND v0 > 0"""),
     "mix_by_size": _mix("loan_size_bucket", "avg_in_bucket", f"{avg('terms', 'n', 1)} AS avg_term_months"),
     "mix_by_term": _mix("term_category", "avg_loan_size", f"{avg_usd('guars', 'n')} AS avg_guarantee_pct"),

@@ -1,7 +1,7 @@
 """Check queries for data quality."""
 
 from oracles.base import (
-    AS_OF, JUMBO, SIZES, avg, avg_usd, day, pct, pct_int, quotient, scaled, sql, steps, usd, whole,
+    AS_OF, JUMBO, SIZES, avg, avg_usd, day, half_up, pct, pct_int, scaled, sql, steps, usd, whole,
 )
 
 _PROFILED = {
@@ -60,7 +60,7 @@ ORACLES = {
       {usd('min(gross_c)')} AS min_value, {_point(.25)} AS p25, {_point(.5)} AS median,
       {avg_usd('sum(gross_c)', 'count(gross_c)')} AS mean, {_point(.75)} AS p75,
       {_point(.95)} AS p95, {_point(.99)} AS p99, {usd('max(gross_c)')} AS max_value,
-      floor(stddev_samp(gross_c / 100.0) * 100 + 0.5) / 100 AS std_dev
+      {half_up('stddev_samp(gross_c / 100.0)')} AS std_dev
     FROM loans"""),
     "iqr_outliers": sql(f"""
     , b AS (SELECT {_point(.25)} AS q1, {_point(.75)} AS q3 FROM loans)
@@ -119,9 +119,9 @@ ORACLES = {
     FROM {TWICE} t WHERE business_name IS NOT NULL
     GROUP BY t.business_name, t.city, t.state, t.approval_date, t.gross_c HAVING count(*) > 1
     ORDER BY 6 DESC, 1 NULLS LAST, 2 NULLS LAST, 3 NULLS LAST, 4 NULLS LAST, 5 NULLS LAST LIMIT 20"""),
-    "guarantee_categories": sql("""
+    "guarantee_categories": sql(f"""
     SELECT guarantee_category, count(*) AS loan_count,
-      floor(round(avg(100.0::DOUBLE * sba_c / gross_c), 6) * 100 + 0.5) / 100 AS avg_guarantee_pct
+      {half_up('avg(100.0::DOUBLE * sba_c / gross_c)')} AS avg_guarantee_pct
     FROM (SELECT gross_c, sba_c,
         CASE WHEN coalesce(gross_c, 0) = 0 THEN 'Cannot calculate'
              WHEN sba_c IS NULL THEN 'Missing SBA amount'

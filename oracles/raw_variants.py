@@ -1,7 +1,7 @@
 """Check queries for the notebook's versions, over the typed table."""
 
 from oracles.base import (
-    JUMBO, SEASON, SIZES, avg, avg_usd, day, months, pct, pct_int, quotient, scaled, sql, steps, usd,
+    JUMBO, SEASON, SIZES, avg, avg_usd, day, half_up, months, pct, pct_int, scaled, sql, steps, usd,
     whole,
 )
 
@@ -33,7 +33,7 @@ ORACLES = {
     "nb_kpis": sql(f"""
     SELECT n AS total_loans, {usd('vol')} AS total_volume, {usd('cov')} AS total_sba_guaranteed,
       {AVERAGE} AS avg_loan_size, {avg('terms', 'termed', 1)} AS avg_term_months,
-      floor(round(share, 6) * 100 + 0.5) / 100 AS avg_guarantee_pct, lenders AS unique_lenders,
+      {half_up('share')} AS avg_guarantee_pct, lenders AS unique_lenders,
       states AS states_served, {day('d0')} AS earliest_loan, {day('d1')} AS latest_loan
     FROM {_raw('', extra=''', sum(sba_c) AS cov, sum(term_months) AS terms, count(term_months) AS termed,
       avg(CASE WHEN gross_c > 0 THEN 100.0::DOUBLE * sba_c / gross_c END) AS share,

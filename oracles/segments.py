@@ -1,7 +1,7 @@
 """Check queries for segmentation."""
 
 from oracles.base import (
-    avg, avg_usd, day, grouped, pct, pct_int, quotient, scaled, sql, usd, whole,
+    avg, avg_usd, day, grouped, pct, pct_int, quotient, scaled, sql, usd,
 )
 from oracles.kpis import LENDERS, SECTORED
 from oracles.risk import LOSS, RATE, YEAR
