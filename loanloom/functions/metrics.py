@@ -55,3 +55,30 @@ def loss_given_default() -> Column:
 
 def jobs() -> Column:
     return F.sum(F.col("jobs_created") + F.col("jobs_retained"))
+
+
+def per_value(loans: DataFrame, sides: dict[str, str], *metrics: Column) -> DataFrame:
+    """Metrics per value of each column on its own: columns ``side`` and ``value``, then metrics.
+
+    Grouping sets: one scan, and what is shuffled is one row per task and value. Grouping by
+    the combination of the columns first would shuffle nearly every loan.
+    """
+    columns = list(sides.values())
+    side, value = F, F
+    for name, column in sides.items():
+        own = F.grouping(column) == 0
+        side = side.when(own, F.lit(name))
+        value = value.when(own, F.col(column).cast("string"))
+    return (
+        loans.groupingSets([[c] for c in columns], *columns)
+        .agg(side.alias("side"), value.alias("value"), *metrics)
+        .drop(*columns)
+    )
+
+
+def distinct_counts(loans: DataFrame, columns: dict[str, str]) -> Column:
+    """Numbers of distinct values as one struct, a field per entry of ``columns``."""
+    values = per_value(loans, columns, loan_count().alias("_loans"))
+    return values.agg(
+        F.struct(*[F.count_if(F.col("side") == name).alias(name) for name in columns])
+    ).scalar()

@@ -2,10 +2,13 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer,
 which suits months or rates but not money. Here the wanted ranks are narrowed down in steps:
-count the values per wide interval, keep the intervals that hold a rank, and count those
-again by narrower ones until an interval is a single value. The loans are counted per value
-once; the steps share that shuffle. No step sees more than ``widths[i] / widths[i+1]``
-intervals per group and interval, however many loans or equal values there are.
+count the values per wide interval, keep the intervals that hold a rank, and count the values
+in those again by narrower ones until an interval is a single value.
+
+Each step reads the one column again and shuffles only interval counts: at most
+``widths[i] / widths[i+1]`` per task, group and kept interval, however many rows, distinct or
+equal values there are. Counting per distinct value first would save reading, but shuffle
+nearly every row of a large table.
 """
 
 from __future__ import annotations
@@ -78,16 +81,13 @@ def exact_percentiles(
     """
     key = ["_g"] if by else []
     group = [F.struct(*by).alias("_g")] if by else []
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .select(*group, (F.col(value) * scale).cast("bigint").alias("_v"))
-        .groupBy(*key, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    values = df.filter(F.col(value).isNotNull()).select(
+        *group, (F.col(value) * scale).cast("bigint").alias("_v")
     )
     total = F.sum("_n").over(Window.partitionBy(*key))
     hist = (
-        counts.groupBy(*key, _interval(widths[0]).alias("_i"))
-        .agg(F.sum("_n").alias("_n"))
+        values.groupBy(*key, _interval(widths[0]).alias("_i"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_wants", _wanted(sorted(set(probs.values())), total))
     )
     found = _narrowed(hist, key, key)
@@ -95,15 +95,13 @@ def exact_percentiles(
         part = [*key, "_outer"]
         kept = found.select(*[F.col(c).alias(f"{c}_kept") for c in part], "_wants")
         inside = F.lit(True)
-        for c in part:
+        for c in part:  # a group may have NULLs in its key
             inside = inside & F.col(c).eqNullSafe(F.col(f"{c}_kept"))
-        # <=> and not =: a plain join would push its own NULL test below the counts, a different
-        # one per step, and the steps could not share the shuffle.
         hist = (
-            counts.withColumn("_outer", _interval(wide))
+            values.withColumn("_outer", _interval(wide))
             .join(F.broadcast(kept), inside)
             .groupBy(*part, "_wants", _interval(narrow).alias("_i"))
-            .agg(F.sum("_n").alias("_n"))
+            .agg(F.count(F.lit(1)).alias("_n"))
         )
         found = _narrowed(hist, part, key)
 

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loanloom.functions import buckets as B
 from loanloom.functions.dates import as_of_date
-from loanloom.functions.metrics import defaults, known, loan_count, losses, volume
+from loanloom.functions.metrics import (
+    default_rate, defaults, distinct_counts, jobs, known, loan_count, loss_given_default, loss_rate,
+    losses, per_value, volume,
+)
 from loanloom.functions.numeric import everything, mean, pct, ratio
-from loanloom.plans.kpis import growth, last_five_years, latest_vintage, month, rollup
+from loanloom.plans.kpis import growth, last_five_years, latest_vintage, month
 from loanloom.plans.risk import exact_rate
 
 
@@ -31,48 +34,53 @@ DIMENSIONS = {
 
 def executive_summary(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """One row: the portfolio, its risk, the latest vintage and the one before."""
-    latest = latest_vintage(clean)
+    loans, latest = known(clean), latest_vintage(clean)
+    distinct = {
+        "active_lenders": "bank_name",
+        "states_with_loans": "state",
+        "industries_represented": "industry_sector",
+    }
+    counts = distinct_counts(loans, distinct)
 
-    def in_year(years_back: int, column: str) -> Column:
-        return F.sum(F.when(F.col("vintage_year") == latest - years_back, F.col(column)))
+    def in_year(years_back: int) -> Column:
+        return F.col("vintage_year") == latest - years_back
 
-    def rate_in_year(years_back: int) -> Column:
-        return pct(in_year(years_back, "defaults"), in_year(years_back, "loans"))
+    def volume_in(years_back: int) -> Column:
+        return F.sum(F.when(in_year(years_back), F.col("gross_approved")))
 
-    def total(column: str) -> Column:
-        return F.sum(column)
+    def defaults_in(years_back: int) -> Column:
+        return F.count_if(in_year(years_back) & F.col("is_defaulted"))
+
+    def rate_in(years_back: int) -> Column:
+        return pct(defaults_in(years_back), F.count_if(in_year(years_back)))
 
-    zero = F.lit(0)
     return (
-        rollup(clean)
-        .agg(
-            total("loans").alias("total_loans"),
-            total("volume").alias("total_volume"),
-            total("guaranteed").alias("total_sba_exposure"),
-            ratio(total("volume"), total("loans")).alias("avg_loan_size"),
-            ratio(total("terms"), total("loans"), 1).alias("avg_term_months"),
-            ratio(total("guarantee_pcts"), total("loans")).alias("avg_guarantee_pct"),
-            F.countDistinct("bank_name").alias("active_lenders"),
-            F.countDistinct("state").alias("states_with_loans"),
-            F.countDistinct("industry_sector").alias("industries_represented"),
-            total("created").alias("total_jobs_created"),
-            total("retained").alias("total_jobs_retained"),
-            (total("created") + total("retained")).alias("total_jobs_impacted"),
-            total("defaults").alias("total_defaults"),
-            total("loss").alias("total_chargeoff"),
-            pct(total("defaults"), total("loans")).alias("default_rate"),
-            pct(total("loss"), total("volume")).alias("loss_rate"),
-            pct(total("loss"), total("bad_volume")).alias("loss_given_default"),
-            F.coalesce(in_year(0, "loans"), zero).alias("ytd_loans"),
-            in_year(0, "volume").alias("ytd_volume"),
-            F.coalesce(in_year(0, "defaults"), zero).alias("ytd_defaults"),
-            rate_in_year(0).alias("ytd_default_rate"),
-            F.coalesce(in_year(1, "loans"), zero).alias("prior_loans"),
-            in_year(1, "volume").alias("prior_volume"),
-            rate_in_year(1).alias("prior_default_rate"),
+        loans.agg(
+            loan_count().alias("total_loans"),
+            volume().alias("total_volume"),
+            F.sum("sba_approved").alias("total_sba_exposure"),
+            mean("gross_approved").alias("avg_loan_size"),
+            mean("term_months", 1).alias("avg_term_months"),
+            mean("sba_guarantee_pct").alias("avg_guarantee_pct"),
+            F.sum("jobs_created").alias("total_jobs_created"),
+            F.sum("jobs_retained").alias("total_jobs_retained"),
+            jobs().alias("total_jobs_impacted"),
+            defaults().alias("total_defaults"),
+            losses().alias("total_chargeoff"),
+            default_rate().alias("default_rate"),
+            loss_rate().alias("loss_rate"),
+            loss_given_default().alias("loss_given_default"),
+            F.count_if(in_year(0)).alias("ytd_loans"),
+            volume_in(0).alias("ytd_volume"),
+            defaults_in(0).alias("ytd_defaults"),
+            rate_in(0).alias("ytd_default_rate"),
+            F.count_if(in_year(1)).alias("prior_loans"),
+            volume_in(1).alias("prior_volume"),
+            rate_in(1).alias("prior_default_rate"),
         )
         .withColumn("volume_growth_pct", growth("ytd_volume", F.col("prior_volume")))
         .withColumn("default_rate_change", F.col("ytd_default_rate") - F.col("prior_default_rate"))
+        .withColumns({name: counts[name] for name in distinct})
         .withColumn("as_of_date", as_of_date(as_of).cast("timestamp"))
     )
 
@@ -147,38 +155,15 @@ def ytd_comparison(clean: DataFrame) -> DataFrame:
 
 
 def segment_totals(clean: DataFrame, dimensions: dict[str, str]) -> DataFrame:
-    """Known loans summed along each dimension on its own, from one scan.
-
-    The loans are first summed over all dimensions together, so grouping along each of them
-    multiplies these combinations and not the loans.
-    """
-    columns = list(dimensions.values())
-    combined = (
-        known(clean)
-        .groupBy(*columns)
-        .agg(
-            loan_count().alias("loans"),
-            defaults().alias("defaults"),
-            volume().alias("volume"),
-            losses().alias("loss"),
-        )
-    )
-    sides = F.array(
-        *[
-            F.struct(F.lit(name).alias("dimension"), F.col(c).cast("string").alias("value"))
-            for name, c in dimensions.items()
-        ]
-    )
-    return (
-        combined.select(F.explode(sides).alias("_side"), "loans", "defaults", "volume", "loss")
-        .groupBy("_side.dimension", "_side.value")
-        .agg(
-            F.sum("loans").alias("total_loans"),
-            F.sum("defaults").alias("defaults"),
-            F.sum("volume").alias("volume"),
-            F.sum("loss").alias("loss"),
-        )
-    )
+    """Known loans summed along each dimension on its own, from one scan."""
+    return per_value(
+        known(clean),
+        dimensions,
+        loan_count().alias("total_loans"),
+        defaults().alias("defaults"),
+        volume().alias("volume"),
+        losses().alias("loss"),
+    ).withColumnRenamed("side", "dimension")
 
 
 def dimension_drilldown(clean: DataFrame, dimensions: dict[str, str] | None = None) -> DataFrame:
@@ -263,34 +248,49 @@ def comprehensive_rankings(clean: DataFrame, min_loans: int = 500, top_k: int =
 
 
 def portfolio_snapshot(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """One row for quick reference, from the same small rollup as the other one-row reports."""
-    rows = rollup(clean)
-
-    def most_common(column: str) -> Column:
-        per_value = rows.groupBy(column).agg(F.sum("loans").alias("_n"))
-        return per_value.orderBy(F.desc("_n"), column).limit(1).select(column).scalar()
-
-    def total(column: str) -> Column:
-        return F.sum(column)
-
+    """One row for quick reference. Numbers and modes of the dimensions come from one scan."""
+    loans = known(clean)
+    sides = {
+        "lender": "bank_name",
+        "state": "state",
+        "industry": "industry_sector",
+        "size": "loan_size_bucket",
+    }
+    values = per_value(loans, sides, loan_count().alias("_loans"))
+
+    def on(side: str, value: Column) -> Column:
+        return F.when(F.col("side") == side, value)
+
+    def most_common(side: str) -> Column:
+        # Smallest (-count, value): the most loans, then the first name.
+        first = F.min(on(side, F.struct((-F.col("_loans")).alias("n"), F.col("value"))))
+        return first["value"]
+
+    picked = values.agg(
+        F.struct(
+            F.count(on("lender", F.col("_loans"))).alias("num_lenders"),
+            F.count(on("state", F.col("_loans"))).alias("num_states"),
+            F.count(on("industry", F.col("_loans"))).alias("num_industries"),
+            most_common("size").alias("most_common_size_bucket"),
+            most_common("industry").alias("largest_industry"),
+            most_common("state").alias("largest_state"),
+        )
+    ).scalar()
     billion, million = F.lit(10**9), F.lit(10**6)
-    figures = rows.agg(
-        total("loans").alias("total_loans"),
-        ratio(total("volume"), billion).alias("total_volume_billions"),
-        ratio(total("guaranteed"), billion).alias("sba_exposure_billions"),
-        ratio(total("volume"), total("loans"), 0).alias("avg_loan_size"),
-        ratio(total("terms"), total("loans"), 0).alias("avg_term_months"),
-        ratio(total("guarantee_pcts"), total("loans"), 1).alias("avg_guarantee_pct"),
-        pct(total("defaults"), total("loans")).alias("default_rate_pct"),
-        ratio(total("loss"), million).alias("total_chargeoff_millions"),
-        pct(total("loss"), total("volume"), 3).alias("loss_rate_pct"),
-        F.countDistinct("bank_name").alias("num_lenders"),
-        F.countDistinct("state").alias("num_states"),
-        F.countDistinct("industry_sector").alias("num_industries"),
-        total("created").alias("total_jobs_created"),
-        total("retained").alias("total_jobs_retained"),
-        F.min("first_day").alias("earliest_loan"),
-        F.max("last_day").alias("latest_loan"),
+    figures = loans.agg(
+        loan_count().alias("total_loans"),
+        ratio(volume(), billion).alias("total_volume_billions"),
+        ratio(F.sum("sba_approved"), billion).alias("sba_exposure_billions"),
+        mean("gross_approved", 0).alias("avg_loan_size"),
+        mean("term_months", 0).alias("avg_term_months"),
+        mean("sba_guarantee_pct", 1).alias("avg_guarantee_pct"),
+        default_rate().alias("default_rate_pct"),
+        ratio(losses(), million).alias("total_chargeoff_millions"),
+        loss_rate(3).alias("loss_rate_pct"),
+        F.sum("jobs_created").alias("total_jobs_created"),
+        F.sum("jobs_retained").alias("total_jobs_retained"),
+        F.min("approval_date").alias("earliest_loan"),
+        F.max("approval_date").alias("latest_loan"),
         F.min("vintage_year").alias("first_vintage"),
         F.max("vintage_year").alias("latest_vintage"),
     )
@@ -298,9 +298,13 @@ def portfolio_snapshot(clean: DataFrame, as_of: dt.date | None = None) -> DataFr
         F.lit(PORTFOLIO_NAME).alias("portfolio_name"),
         as_of_date(as_of).alias("snapshot_date"),
         "*",
-        most_common("loan_size_bucket").alias("most_common_size_bucket"),
-        most_common("industry_sector").alias("largest_industry"),
-        most_common("state").alias("largest_state"),
+        *[
+            picked[name].alias(name)
+            for name in (
+                "num_lenders", "num_states", "num_industries", "most_common_size_bucket",
+                "largest_industry", "largest_state",
+            )
+        ],
     )
 
 

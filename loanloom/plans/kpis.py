@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loanloom.dimensions import state_regions
 from loanloom.functions import buckets as B
 from loanloom.functions.dates import as_of_date
-from loanloom.functions.metrics import jobs, known, loan_count, volume
+from loanloom.functions.metrics import distinct_counts, jobs, known, loan_count, volume
 from loanloom.functions.numeric import everything, mean, pct, ratio, rounded, share_of
 from loanloom.operators.percentiles import exact_percentiles
 
@@ -383,58 +383,42 @@ def lender_concentration(clean: DataFrame, cuts: tuple[int, ...] = (10, 25, 50))
     Shares are of all loans with a known outcome, those without a lender name too. Only the
     lenders within the largest cut are ranked.
     """
-    lenders = known(clean).groupBy("bank_name").agg(volume().alias("_volume"))
-    named = lenders.filter(F.col("bank_name") != NO_LENDER)
+    lenders = (
+        known(clean)
+        .groupBy("bank_name")
+        .agg(volume().alias("_all"))
+        .withColumn("_volume", F.when(F.col("bank_name") != NO_LENDER, F.col("_all")))
+    )
     sums = F.struct(
-        F.sum("_volume").alias("all"),
-        F.sum(F.when(F.col("bank_name") != NO_LENDER, F.col("_volume"))).alias("named"),
-        F.count_if(F.col("bank_name") != NO_LENDER).alias("lenders"),
+        F.sum("_all").alias("all"),
+        F.sum("_volume").alias("named"),
+        F.count("_volume").alias("lenders"),
     )
     total = lenders.agg(sums).scalar()
-    order = [F.desc("_volume"), F.asc("bank_name")]
+    # Loans without a lender sort last; a filter before the limit would be pushed into the scan,
+    # and the totals could not share it.
+    order = [F.desc_nulls_last("_volume"), F.asc("bank_name")]
     top = (
-        named.orderBy(*order)
+        lenders.orderBy(*order)
         .limit(max(cuts))
         .withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
     )
-    within = [
-        F.sum(F.when(F.col("_rank") <= cut, F.col("_volume"))).alias(f"Top {cut} Lenders")
+    parts = [
+        (f"Top {cut} Lenders", F.sum(F.when(F.col("_rank") <= cut, F.col("_volume"))))
         for cut in cuts
     ]
     others = F.when(total["lenders"] > max(cuts), total["named"] - F.sum("_volume"))
-    return (
-        top.agg(*within, others.cast("decimal(35,2)").alias("All Other Lenders"))
-        .unpivot(
-            [], [f"Top {cut} Lenders" for cut in cuts] + ["All Other Lenders"],
-            "segment", "segment_volume",
-        )
-        .withColumn("pct_of_portfolio", pct("segment_volume", total["all"]))
+    parts.append(("All Other Lenders", others))
+    segments = F.array(
+        *[
+            F.struct(F.lit(name).alias("segment"), amount.cast("decimal(35,2)").alias("segment_volume"))
+            for name, amount in parts
+        ]
     )
-
-
-def rollup(clean: DataFrame) -> DataFrame:
-    """Known loans summed per lender, state, sector and vintage.
-
-    Every one-row report with distinct counts starts here: the loans are read and summed
-    once, and the distinct counts run over these few rows, not over the loans.
-    """
     return (
-        known(clean)
-        .groupBy("bank_name", "state", "industry_sector", "loan_size_bucket", "vintage_year")
-        .agg(
-            loan_count().alias("loans"),
-            F.count_if(F.col("is_defaulted")).alias("defaults"),
-            volume().alias("volume"),
-            F.sum("sba_approved").alias("guaranteed"),
-            F.sum("chargeoff_amount").alias("loss"),
-            F.sum(F.when(F.col("is_defaulted"), F.col("gross_approved"))).alias("bad_volume"),
-            F.sum("term_months").alias("terms"),
-            F.sum("sba_guarantee_pct").alias("guarantee_pcts"),
-            F.sum("jobs_created").alias("created"),
-            F.sum("jobs_retained").alias("retained"),
-            F.min("approval_date").alias("first_day"),
-            F.max("approval_date").alias("last_day"),
-        )
+        top.agg(segments.alias("_segments"))
+        .select(F.inline("_segments"))
+        .withColumn("pct_of_portfolio", pct("segment_volume", total["all"]))
     )
 
 
@@ -445,29 +429,31 @@ def latest_vintage(clean: DataFrame) -> Column:
 
 def portfolio_kpi_summary(clean: DataFrame) -> DataFrame:
     """One row of portfolio figures with the latest vintage and the one before it."""
-    latest = latest_vintage(clean)
+    loans, latest = known(clean), latest_vintage(clean)
+    distinct = distinct_counts(loans, {"active_lenders": "bank_name", "states_with_loans": "state"})
 
-    def in_year(years_back: int, column: str) -> Column:
-        return F.sum(F.when(F.col("vintage_year") == latest - years_back, F.col(column)))
+    def in_year(years_back: int) -> Column:
+        return F.col("vintage_year") == latest - years_back
+
+    def volume_in(years_back: int) -> Column:
+        return F.sum(F.when(in_year(years_back), F.col("gross_approved")))
 
-    loans = F.sum("loans")
     return (
-        rollup(clean)
-        .agg(
+        loans.agg(
             F.max("vintage_year").alias("current_year"),
-            loans.alias("total_loans"),
-            F.sum("volume").alias("total_volume"),
-            F.sum("guaranteed").alias("total_sba_exposure"),
-            ratio(F.sum("volume"), loans).alias("avg_loan_size"),
-            ratio(F.sum("terms"), loans, 1).alias("avg_term_months"),
-            ratio(F.sum("guarantee_pcts"), loans).alias("avg_guarantee_pct"),
-            F.countDistinct("bank_name").alias("active_lenders"),
-            F.countDistinct("state").alias("states_with_loans"),
-            (F.sum("created") + F.sum("retained")).alias("total_jobs_impacted"),
-            F.coalesce(in_year(0, "loans"), F.lit(0)).alias("ytd_loan_count"),
-            in_year(0, "volume").alias("ytd_volume"),
-            F.coalesce(in_year(1, "loans"), F.lit(0)).alias("prior_ytd_count"),
-            in_year(1, "volume").alias("prior_ytd_volume"),
+            loan_count().alias("total_loans"),
+            volume().alias("total_volume"),
+            F.sum("sba_approved").alias("total_sba_exposure"),
+            mean("gross_approved").alias("avg_loan_size"),
+            mean("term_months", 1).alias("avg_term_months"),
+            mean("sba_guarantee_pct").alias("avg_guarantee_pct"),
+            jobs().alias("total_jobs_impacted"),
+            F.count_if(in_year(0)).alias("ytd_loan_count"),
+            volume_in(0).alias("ytd_volume"),
+            F.count_if(in_year(1)).alias("prior_ytd_count"),
+            volume_in(1).alias("prior_ytd_volume"),
         )
         .withColumn("ytd_vs_prior_pct", growth("ytd_volume", F.col("prior_ytd_volume")))
+        .withColumn("active_lenders", distinct["active_lenders"])
+        .withColumn("states_with_loans", distinct["states_with_loans"])
     )

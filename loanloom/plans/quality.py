@@ -258,10 +258,10 @@ def guarantee_categories(loans: DataFrame) -> DataFrame:
         .when(covered * 2 < gross, "Low guarantee (<50%)")
         .otherwise("Normal (50-70%)")
     )
-    share = F.when(gross > 0, covered.cast("double") * 100 / gross.cast("double"))
+    share = F.when(gross > 0, covered * 100 / gross)
     return (
         loans.groupBy(label.alias("guarantee_category"))
-        .agg(loan_count().alias("loan_count"), rounded(F.avg(share), 2).alias("avg_guarantee_pct"))
+        .agg(loan_count().alias("loan_count"), F.round(F.avg(share), 2).alias("avg_guarantee_pct"))
         .orderBy(F.desc("loan_count"), "guarantee_category")
     )
 

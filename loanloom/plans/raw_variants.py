@@ -13,7 +13,7 @@ from loanloom.functions.metrics import (
     default_exposure, default_rate, defaults, known, loan_count, loss_given_default, loss_rate,
     losses, volume,
 )
-from loanloom.functions.numeric import everything, mean, pct, ratio, rounded, share_of
+from loanloom.functions.numeric import everything, mean, pct, ratio, share_of
 from loanloom.plans import quality
 from loanloom.plans.kpis import with_states
 
@@ -43,36 +43,20 @@ def nb_status(loans: DataFrame) -> DataFrame:
 
 
 def nb_kpis(loans: DataFrame) -> DataFrame:
-    """One row of portfolio figures; summed per lender and state first for the distinct counts."""
-    gross, covered = F.col("gross_approved"), F.col("sba_approved")
-    share = F.when(gross > 0, covered.cast("double") * 100 / gross.cast("double"))
-    return (
-        known(loans)
-        .groupBy("bank_name", "state")
-        .agg(
-            loan_count().alias("_loans"),
-            F.sum(gross).alias("_gross"),
-            F.count(gross).alias("_sized"),
-            F.sum(covered).alias("_covered"),
-            F.sum("term_months").alias("_terms"),
-            F.count("term_months").alias("_termed"),
-            F.sum(share).alias("_shares"),
-            F.count(share).alias("_shared"),
-            F.min("approval_date").alias("_first"),
-            F.max("approval_date").alias("_last"),
-        )
-        .agg(
-            F.sum("_loans").alias("total_loans"),
-            F.sum("_gross").alias("total_volume"),
-            F.sum("_covered").alias("total_sba_guaranteed"),
-            ratio(F.sum("_gross"), F.sum("_sized")).alias("avg_loan_size"),
-            ratio(F.sum("_terms"), F.sum("_termed"), 1).alias("avg_term_months"),
-            rounded(F.sum("_shares") / F.sum("_shared"), 2).alias("avg_guarantee_pct"),
-            F.countDistinct("bank_name").alias("unique_lenders"),
-            F.countDistinct("state").alias("states_served"),
-            F.min("_first").alias("earliest_loan"),
-            F.max("_last").alias("latest_loan"),
-        )
+    """One row of portfolio figures."""
+    gross = F.col("gross_approved")
+    share = F.when(gross > 0, F.col("sba_approved") * 100 / gross)
+    return known(loans).agg(
+        loan_count().alias("total_loans"),
+        volume().alias("total_volume"),
+        F.sum("sba_approved").alias("total_sba_guaranteed"),
+        mean(gross).alias("avg_loan_size"),
+        mean("term_months", 1).alias("avg_term_months"),
+        F.round(F.avg(share), 2).alias("avg_guarantee_pct"),
+        F.countDistinct("bank_name").alias("unique_lenders"),
+        F.countDistinct("state").alias("states_served"),
+        F.min("approval_date").alias("earliest_loan"),
+        F.max("approval_date").alias("latest_loan"),
     )
 
 

@@ -10,7 +10,7 @@ from loanloom.functions.metrics import (
 )
 from loanloom.functions.numeric import everything, mean, pct, ratio, share_of
 from loanloom.plans.cohort import compared
-from loanloom.plans.kpis import named_lenders, with_states
+from loanloom.plans.kpis import NO_LENDER, named_lenders, with_states
 from loanloom.plans.risk import exact_rate, minus_mean
 
 LENDER = ["bank_name", "bank_state"]
@@ -209,33 +209,20 @@ def industry_trend(clean: DataFrame, min_year: int = 2010, min_loans: int = 50)
 
 
 def lenders_served(clean: DataFrame) -> DataFrame:
-    """Figures per lender with the number of states and sectors.
-
-    Loans are summed per lender, state and sector first; the distinct counts then run over
-    these rows instead of over every loan.
-    """
+    """Figures per lender with the number of states and sectors."""
     return (
         named_lenders(clean)
-        .groupBy(*LENDER, "state", "industry_sector")
-        .agg(
-            loan_count().alias("_loans"),
-            volume().alias("_volume"),
-            defaults().alias("_bad"),
-            losses().alias("_loss"),
-            F.min("approval_date").alias("_first"),
-            F.max("approval_date").alias("_last"),
-        )
         .groupBy(*LENDER)
         .agg(
-            F.sum("_loans").alias("total_loans"),
-            F.sum("_volume").alias("total_volume"),
-            ratio(F.sum("_volume"), F.sum("_loans")).alias("avg_loan_size"),
-            pct(F.sum("_bad"), F.sum("_loans")).alias("default_rate"),
-            pct(F.sum("_loss"), F.sum("_volume")).alias("loss_rate"),
+            loan_count().alias("total_loans"),
+            volume().alias("total_volume"),
+            mean("gross_approved").alias("avg_loan_size"),
+            default_rate().alias("default_rate"),
+            loss_rate().alias("loss_rate"),
             F.countDistinct("state").alias("states_served"),
             F.countDistinct("industry_sector").alias("industries_served"),
-            F.min("_first").alias("first_loan_date"),
-            F.max("_last").alias("last_loan_date"),
+            F.min("approval_date").alias("first_loan_date"),
+            F.max("approval_date").alias("last_loan_date"),
         )
     )
 
@@ -511,16 +498,21 @@ def lender_summary(clean: DataFrame) -> DataFrame:
 
 
 def summary_counts(clean: DataFrame) -> DataFrame:
-    """Rows of the three summaries, from one set of distinct keys per summary."""
-    loans = known(clean)
-
-    def keys(view: str, rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.select(*columns).distinct().agg(
-            F.max(F.lit(view)).alias("view_name"), loan_count().alias("record_count")
-        )
-
+    """Rows of the three summaries: the distinct keys of each, from one scan."""
+    views = {
+        "Geographic Summary": ["state"],
+        "Industry Summary": ["naics_sector", "industry_sector"],
+        "Lender Summary": LENDER,
+    }
+    columns = [c for keys in views.values() for c in keys]
+    view = F
+    for name, keys in views.items():
+        view = view.when(F.grouping(keys[0]) == 0, F.lit(name))
     return (
-        keys("Geographic Summary", loans, "state")
-        .unionByName(keys("Industry Summary", loans, "naics_sector", "industry_sector"))
-        .unionByName(keys("Lender Summary", named_lenders(clean), *LENDER))
+        known(clean)
+        .groupingSets(list(views.values()), *columns)
+        .agg(view.alias("view_name"))
+        .filter((F.col("view_name") != "Lender Summary") | (F.col("bank_name") != NO_LENDER))
+        .groupBy("view_name")
+        .agg(loan_count().alias("record_count"))
     )

@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from loanloom.plans import cohort, dashboard, kpis, quality, raw_variants, risk, segments
 from loanloom.sources import ingest
-from loanloom.sources.portfolio import star_portfolio
-from loanloom.sources.star_mapping import staging_from_orders
+from loanloom.sources.portfolio import star_portfolio, star_staging
 from loanloom.sources.store import new_table_path
 
 AS_OF = dt.date(2015, 9, 1)
@@ -48,7 +47,7 @@ def _on_clean(fn, *args) -> Query:
 
 
 def _on_staging(fn) -> Query:
-    return lambda spark, d: comparable(fn(staging_from_orders(spark, d)))
+    return lambda spark, d: comparable(fn(star_staging(spark, d)))
 
 
 def _rule(*names: str) -> Query:
@@ -92,7 +91,7 @@ def _quarantine(loans: DataFrame) -> DataFrame:
 def _csv_folders(spark: SparkSession, sf_dir: str) -> list[str]:
     """The raw rows written as CSV files in four folders."""
     path = new_table_path(spark, "raw_csv")
-    staging = staging_from_orders(spark, sf_dir).withColumn("batch", F.col("source_key") % 4)
+    staging = star_staging(spark, sf_dir).withColumn("batch", F.col("source_key") % 4)
     ingest.write_raw_csv(staging.drop("source_key"), path, partition_by="batch")
     return [f"{path}/batch={i}" for i in range(4)]
 

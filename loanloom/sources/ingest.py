@@ -126,17 +126,24 @@ def loan_id(number: Column) -> Column:
     return F.format_string("SBA-%08d", number)
 
 
+def _with_ids(rows: DataFrame) -> DataFrame:
+    ids = numbered(rows, ID_ORDER, "_number")
+    return ids.withColumn("loan_id", loan_id(F.col("_number"))).drop("_number")
+
+
 def assign_loan_id(staging: DataFrame) -> DataFrame:
     """Give each usable row an id, numbered by the texts of year, date and borrower."""
-    rows = numbered(usable_rows(staging), ID_ORDER, "_number")
-    return rows.withColumn("loan_id", loan_id(F.col("_number"))).drop("_number")
+    return _with_ids(usable_rows(staging))
 
 
 def import_loans(staging: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """The typed loan table of a set of raw rows."""
+    """The typed loan table of a set of raw rows.
+
+    Rows are parsed before they are numbered: the typed columns are what is sorted and stored.
+    """
     now = as_of_date(as_of).cast("timestamp")
-    typed = parse_loans(assign_loan_id(staging), "loan_id")
-    return as_loans(typed.withColumn("created_at", now).withColumn("updated_at", now))
+    loans = _with_ids(parse_loans(staging, *ID_ORDER))
+    return as_loans(loans.withColumn("created_at", now).withColumn("updated_at", now))
 
 
 def _one_of(name: str, *allowed) -> Column:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from loanloom.operators.clean import clean
-from loanloom.sources.star_mapping import loans_from_orders
+from loanloom.sources.star_mapping import loans_from_orders, staging_from_orders
 from loanloom.sources.store import stored
 
 
@@ -18,6 +18,7 @@ class Portfolio(NamedTuple):
 
 
 _stored: dict[tuple, Portfolio] = {}
+_staged: dict[tuple, DataFrame] = {}
 
 
 def portfolio_of(loans: DataFrame, as_of: dt.date | None = None) -> Portfolio:
@@ -32,3 +33,11 @@ def star_portfolio(spark: SparkSession, sf_dir: str, as_of: dt.date | None = Non
     if key not in _stored:
         _stored[key] = portfolio_of(loans_from_orders(spark, sf_dir), as_of)
     return _stored[key]
+
+
+def star_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw text rows of a directory of order tables; stored on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _staged:
+        _staged[key] = stored(staging_from_orders(spark, sf_dir), "staging")
+    return _staged[key]
