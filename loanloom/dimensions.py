@@ -95,17 +95,21 @@ STATE_ROWS = [tuple(line.split("|")) for line in STATES_TEXT.strip().splitlines(
 SECTOR_CODES = [code for code, _, _ in NAICS_ROWS]
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """Rows as SQL literals: part of the plan, with a known size, and no job to read them."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def naics_codes(spark: SparkSession) -> DataFrame:
     """24 sector rows: naics_code, sector_code, sector_name, subsector_name, description."""
-    return spark.createDataFrame(
-        [(code, code, sector, sub, None) for code, sector, sub in NAICS_ROWS],
-        "naics_code string, sector_code string, sector_name string, "
-        "subsector_name string, description string",
+    table = _literal_table(spark, NAICS_ROWS, "naics_code, sector_name, subsector_name")
+    return table.selectExpr(
+        "naics_code", "naics_code AS sector_code", "sector_name", "subsector_name",
+        "CAST(NULL AS STRING) AS description",
     )
 
 
 def state_regions(spark: SparkSession) -> DataFrame:
     """54 state rows: state_code, state_name, region, division."""
-    return spark.createDataFrame(
-        STATE_ROWS, "state_code string, state_name string, region string, division string"
-    )
+    return _literal_table(spark, STATE_ROWS, "state_code, state_name, region, division")
