@@ -173,7 +173,7 @@ def staging_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.year(day).cast("string")
         ),
         "firstdisbursementdate": day_text(F.date_add(day, 30), k % 19),
-        "processingmethod": cycle(k, ["LowDoc", "Preferred Lender", "SBA LOW DOC loan", None]),
+        "processingmethod": cycle(k, ["LowDoc", "Preferred Lender", "a Low Doc loan", None]),
         "terminmonths": F.when(n == 0, "0").when(n == 1, "-3").when(n == 2, "84.6")
         .when(n == 3, "x").otherwise((k % 300).cast("string")),
         "naicscode": F.concat(cycle(k, SECTORS), F.lit("111099")),

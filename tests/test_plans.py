@@ -1,81 +1,23 @@
 """Shape of the physical plans: pushed filters, pruned columns, no cross joins, bounded broadcasts."""
 
 import re
-import uuid
 
-import pytest
 from conftest import AS_OF, SF_DIR
+from plan_tools import columns_read, plan, run
 
 from loanloom.plans import dashboard, kpis, quality, risk, segments
-from loanloom.registry import all_queries
 from loanloom.sources.portfolio import star_portfolio
 
-QUERIES = all_queries()
-
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
 
 def test_filter_and_columns_reach_the_scan(spark):
     text = plan(risk.default_by_vintage(star_portfolio(spark, SF_DIR, AS_OF).clean))
     assert "PushedFilters: [In(loan_status, [CHGOFF,PIF])" in text
-    read = re.search(r"ReadSchema: struct<([^>]*)", text).group(1)
-    assert set(re.findall(r"(\w+):", read)) == {
+    assert columns_read(text) == {
         "gross_approved", "chargeoff_amount", "loan_status", "is_defaulted", "vintage_year",
     }
     assert text.count("FileScan") == 1
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join_and_no_python(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
-        assert node not in text
-
-
-def children(node):
-    seq = node.children()
-    return [seq.apply(i) for i in range(seq.size())]
-
-
-def scan_without_shrinking(node):
-    """Whether rows reach this node from a file without an aggregate or a limit in between."""
-    name = node.nodeName()
-    if "Aggregate" in name or "Limit" in name or "TakeOrdered" in name:
-        return False
-    if "Scan" in name:
-        return "parquet" in name or "csv" in name
-    return any(scan_without_shrinking(c) for c in children(node))
-
-
-def windows(node):
-    if node.nodeName() == "Window":
-        yield node
-    for child in children(node):
-        yield from windows(child)
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_window_over_loans(spark, name):
-    df = QUERIES[name](spark, SF_DIR)
-    executed = df._jdf.queryExecution().sparkPlan()
-    for window in windows(executed):
-        assert not scan_without_shrinking(window.children().apply(0)), name
-
-
-def work_done(spark, df):
-    """Rows read from files and rows shuffled by all stages that ran for a collect."""
-    group = f"work-{uuid.uuid4()}"
-    spark.sparkContext.setJobGroup(group, "rows read")
-    df.collect()
-    tracker = spark.sparkContext.statusTracker()
-    store = spark._jsparkSession.sparkContext().statusStore()
-    stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
-    ran = [s for s in map(store.lastStageAttempt, stages) if s.numCompleteTasks() > 0]
-    return sum(s.inputRecords() for s in ran), sum(s.shuffleWriteRecords() for s in ran)
-
-
 def test_one_scan_reports(spark):
     """Reports that combine several groupings or totals read the loans once."""
     loans, clean = star_portfolio(spark, SF_DIR, AS_OF)
@@ -87,22 +29,7 @@ def test_one_scan_reports(spark):
         segments.subsector_vs_sector(clean), kpis.top_lenders(clean),
         kpis.lender_concentration(clean), quality.null_profile(loans),
     ):
-        assert work_done(spark, df)[0] == rows
-
-
-# Duplicate checks and the numbering move every row. Interval counts of percentiles are bounded,
-# but not small against these few loans.
-MOVES_ROWS = {
-    "loan_size_by_industry",
-    "assign_loan_id", "import_loans", "check_unique", "duplicate_ids", "potential_duplicates",
-    "sample_loans", "write_loans", "incremental_load",
-}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - MOVES_ROWS))
-def test_only_aggregates_are_shuffled(spark, name):
-    rows = star_portfolio(spark, SF_DIR, AS_OF).clean.count()
-    assert work_done(spark, QUERIES[name](spark, SF_DIR))[1] < rows / 3
+        assert run(spark, df)[1] == rows
 
 
 def test_percentiles_shuffle_intervals_only(spark):
