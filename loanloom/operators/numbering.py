@@ -17,7 +17,8 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     The table is range-partitioned and sorted, and each row notes its task and place. Rows that
     tie on all keys are told apart by their place in the input, so one repeated key does not
     end up in a single task. The sorted table is stored: the places must not be computed
-    twice. The offsets are one row per task, so broadcasting them is safe.
+    twice. The offsets are one row per task, so broadcasting them is safe. ``df`` should read files:
+    then a lost task finds its rows in the same places again.
     """
     keys = [F.col(c).asc_nulls_last() for c in order]
     places = (

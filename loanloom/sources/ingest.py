@@ -11,6 +11,7 @@ from loanloom.functions.dates import as_of_date
 from loanloom.functions.numeric import mean, ratio, share_of
 from loanloom.operators.numbering import numbered
 from loanloom.schemas import STAGING, as_loans
+from loanloom.sources.store import stored
 
 ID_ORDER = ("approvalfiscalyear", "approvaldate", "borrname")
 
@@ -139,10 +140,11 @@ def assign_loan_id(staging: DataFrame) -> DataFrame:
 def import_loans(staging: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """The typed loan table of a set of raw rows.
 
-    Rows are parsed before they are numbered: the typed columns are what is sorted and stored.
+    Rows are parsed and stored before they are numbered. Numbering reads its input twice, once
+    to find the ranges, and should not parse the raw files twice for that.
     """
     now = as_of_date(as_of).cast("timestamp")
-    loans = _with_ids(parse_loans(staging, *ID_ORDER))
+    loans = _with_ids(stored(parse_loans(staging, *ID_ORDER), "parsed"))
     return as_loans(loans.withColumn("created_at", now).withColumn("updated_at", now))
 
 
