@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import elias_fano, golay, piece_codec
+from loanloom.llm import debruijn, elias_fano, golay, piece_codec
 from loanloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.drop_repeats(
+        table(spark, sf_dir, "documents"), 20, ("n_words", "n_removed", "kept_sha256")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay.near_groups(table(spark, sf_dir, "documents"), shingle=3)
     return found.select(
@@ -34,8 +40,32 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_substrings": op5_substrings,
     "op7_simhash": op7_simhash,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_substrings": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS said
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20)
+        ), later AS (
+            SELECT doc_id, s FROM windows
+            QUALIFY row_number() OVER (PARTITION BY said ORDER BY doc_id, s) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later
+        ), kept AS (
+            SELECT doc_id, i, word
+            FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words)
+            ANTI JOIN gone USING (doc_id, i)
+        ), joined AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS said FROM kept GROUP BY doc_id
+        )
+        SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(said, '')) AS kept_sha256
+        FROM words LEFT JOIN joined ON words.doc_id = joined.doc_id
+    """,
+}
