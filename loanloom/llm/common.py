@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,38 @@ def map_texts(df: DataFrame, make: Callable, schema: str) -> DataFrame:
                 )
 
     return df.mapInArrow(run, schema)
+
+
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, ...]:
+    """Powers of the multiplier and of its inverse modulo 2^64."""
+    return tuple(
+        np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)]).cumprod(dtype=np.uint64)
+        for m in (_MULTIPLIER, _INVERSE)
+    )
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finalizer of MurmurHash3; fixed values."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class RunHashes:
+    """64-bit hashes of any runs of a list of words, from sums over its beginnings."""
+
+    def __init__(self, words: list[bytes]):
+        n = len(words)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+        power, self.inverse = _powers(1 << max(20, (n + 1).bit_length()))
+        sums = (hashes * power[:n]).cumsum(dtype=np.uint64)
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), sums])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+        return _mix(raw + (end - start).astype(np.uint64) * np.uint64(_INVERSE))

@@ -25,39 +25,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import pieces
+from loanloom.llm.common import RunHashes, pieces
 from loanloom.sources.store import stored
 
 #: Words of an anchor.
 ANCHOR = 6
 NULL_ID = -(1 << 63)
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64."""
-    return tuple(
-        np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)]).cumprod(dtype=np.uint64)
-        for m in (_MULTIPLIER, _INVERSE)
-    )
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer of MurmurHash3; fixed values."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
 
 
 class Paths:
@@ -68,10 +48,7 @@ class Paths:
         sizes = np.array([len(d) if len(d) >= length else 0 for d in documents], np.int64)
         words = [w for d in documents if len(d) >= length for w in d]
         n = len(words)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        size = 1 << max(20, (n + 1).bit_length())
-        power, self.inverse = _powers(size)
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), (hashes * power[:n]).cumsum(dtype=np.uint64)])
+        self.hash = RunHashes(words).hash
         self.first_word = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         width = length - ANCHOR + 1
         if n < length:
@@ -92,10 +69,6 @@ class Paths:
         self.anchor = runs[at[cut]]
         self.span = self.hash(self.start, self.start + self.windows + length - 1)
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return _mix(raw + (end - start).astype(np.uint64) * np.uint64(_INVERSE))
-
     def places(self) -> np.ndarray:
         """Start in its document and number of windows less one, in one number."""
         return (self.start - self.first_word[self.document]) * 256 + self.windows - 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import debruijn, elias_fano, golay, piece_codec
+from loanloom.llm import debruijn, decontam, elias_fano, golay, piece_codec
 from loanloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = elias_fano.write_token_files(docs, WORD_TOKENIZER, 2, elias_fano.new_folder(docs))
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_substrings": op5_substrings,
     "op7_simhash": op7_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
 
