@@ -104,3 +104,27 @@ class RunHashes:
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
         return _mix(raw + (end - start).astype(np.uint64) * np.uint64(_INVERSE))
+
+
+#: Resolution of hash thresholds.
+_GRAINS = 1 << 40
+
+
+def balanced_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """Keys and labels of about per_class rows of each label, chosen by a hash of the key.
+
+    The expected number is exact and the spread that of coin tosses, so the result is bounded by
+    the number of labels. Rows with a null key or label are left out.
+    """
+    usable = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, label)
+    counts = {r[0]: r[1] for r in usable.groupBy(label).count().collect()}
+    if not counts:
+        return usable
+    share = F.create_map(
+        *[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_class / n) * _GRAINS))]
+    )
+    return usable.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_GRAINS)) < share[F.col(label)])
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))

@@ -6,8 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import debruijn, decontam, elias_fano, golay, piece_codec
-from loanloom.llm.common import table
+from loanloom.llm import (
+    additive,
+    byte_gru,
+    debruijn,
+    decontam,
+    elias_fano,
+    golay,
+    noisy_or,
+    piece_codec,
+)
+from loanloom.llm.common import bucket_of, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,12 +28,39 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(n: int, remainder: int):
+    """Whether a document's labels are kept back; a null id is not."""
+    return F.coalesce(bucket_of("doc_id", n) == remainder, F.lit(False))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = byte_gru.fit(docs.where(bucket_of("doc_id", 5) != 0))
+    return byte_gru.predict(docs, net).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.drop_repeats(
         table(spark, sf_dir, "documents"), 20, ("n_words", "n_removed", "kept_sha256")
     )
 
 
+def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(bucket_of("doc_id", 4) != 2)
+
+
+def _scored(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = noisy_or.fit(docs, _training_labels(spark, sf_dir))
+    return _scored(noisy_or.score(docs, model), 0.3)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay.near_groups(table(spark, sf_dir, "documents"), shingle=3)
     return found.select(
@@ -32,6 +68,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = additive.fit(docs, _training_labels(spark, sf_dir))
+    return _scored(additive.score(docs, model), 0.7)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,8 +86,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_language": op3_language,
     "op5_substrings": op5_substrings,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
