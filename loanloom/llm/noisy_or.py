@@ -34,7 +34,7 @@ PER_CLASS = 2500
 #: A feature gets a weight if its share among toxic documents is this many deviations above.
 DEVIATIONS = 5.0
 MOST_FEATURES = 5000
-ROUNDS = 400
+ROUNDS = 1500
 KEPT_WORDS = 300_000
 _STOPS = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -166,8 +166,8 @@ def train(y: np.ndarray, empty: np.ndarray, bags: list[list[list[int]]], n: int,
         bias_slope = pull.sum() + (factor * empty).sum() * sigmoid(np.array(bias))
         squares += slope**2
         bias_square += bias_slope**2
-        w -= 0.3 * slope / np.sqrt(squares)
-        bias -= 0.1 * float(bias_slope) / np.sqrt(float(bias_square))
+        w -= 0.4 * slope / np.sqrt(squares)
+        bias -= 0.5 * float(bias_slope) / np.sqrt(float(bias_square))
     return w, float(bias)
 
 
