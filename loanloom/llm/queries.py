@@ -13,6 +13,7 @@ from loanloom.llm import (
     decontam,
     elias_fano,
     golay,
+    multi_index,
     noisy_or,
     piece_codec,
 )
@@ -39,6 +40,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_gru.predict(docs, net).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.drop_repeats(
         table(spark, sf_dir, "documents"), 20, ("n_words", "n_removed", "kept_sha256")
@@ -87,6 +92,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_language": op3_language,
+    "op4_embeddings": op4_embeddings,
     "op5_substrings": op5_substrings,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
