@@ -16,6 +16,7 @@ from loanloom.llm import (
     multi_index,
     noisy_or,
     piece_codec,
+    wrapper,
 )
 from loanloom.llm.common import bucket_of, table
 
@@ -29,6 +30,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def _held_out(n: int, remainder: int):
     """Whether a document's labels are kept back; a null id is not."""
     return F.coalesce(bucket_of("doc_id", n) == remainder, F.lit(False))
@@ -91,6 +96,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_main_text": op2_main_text,
     "op3_language": op3_language,
     "op4_embeddings": op4_embeddings,
     "op5_substrings": op5_substrings,
