@@ -50,7 +50,7 @@ def map_texts(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """mapInArrow over (key, text) rows.
 
     make() is called once in each task and gives a function from the lists of keys and texts
-    to a tuple of columns in the order of the schema.
+    to a tuple of columns (lists or Arrow arrays) in the order of the schema.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,7 +64,10 @@ def map_texts(df: DataFrame, make: Callable, schema: str) -> DataFrame:
                 keys, texts = (c.to_pylist() for c in piece.columns[:2])
                 columns = step(keys, texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)],
+                    [
+                        c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
+                        for c, f in zip(columns, arrow, strict=True)
+                    ],
                     schema=arrow,
                 )
 

@@ -236,15 +236,10 @@ def drop_repeats(
             for piece in pieces(batch, 1):
                 columns: dict[str, list] = {o: [] for o in kinds}
                 for words, marked in zip(_unpacked(piece.column(1).to_pylist()), piece.column(2), strict=True):
-                    gone = np.zeros(len(words) + 1, np.int8)
+                    gone, left = np.zeros(len(words), bool), words
                     if marked.is_valid:
-                        marked = marked.values.to_numpy()
-                        start, size = marked >> 8, (marked & 255) + 1
-                        delta = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + size, minlength=len(words) + 1)
-                        gone = (np.cumsum(delta) > 0).astype(np.int8)
-                        left = [w for w, g in zip(words, gone.tolist()) if not g]  # noqa: B905
-                    else:
-                        left = words
+                        gone = _gone(len(words), marked.values.to_numpy())
+                        left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     joined = b" ".join(left)
                     if "n_words" in columns:
                         columns["n_words"].append(len(words))
@@ -255,7 +250,7 @@ def drop_repeats(
                     if "kept" in columns:
                         columns["kept"].append(joined.decode("utf-8", "surrogatepass"))
                     if "removed" in columns:
-                        edge = np.diff(np.concatenate([[0], gone[: len(words)], [0]]))
+                        edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                         columns["removed"].append(
                             [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
                         )
@@ -268,6 +263,51 @@ def drop_repeats(
     return result.withColumn(key, F.when(F.col(key) != NULL_ID, F.col(key)))
 
 
+def without_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+    """The rows with all their columns, repeats removed from the text.
+
+    Texts that lose nothing stay as they are; of others the words left are joined by one space,
+    which may leave an empty text. A column of the number of characters follows.
+    """
+    keyed = _keyed(docs, key, text)
+    spans = repeated_spans(keyed, length).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
+    unique = keyed.where("tie <> 0").isEmpty()
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(
+        "*",
+        F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("_doc"),
+        (F.lit(0).cast("long") if unique else F.xxhash64(whole)).alias("_tie"),
+    ).join(spans, ["_doc", "_tie"], "left")
+    at = docs.columns.index(text)
+    columns = [c for c in docs.columns]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, at):
+                texts = piece.column(at).to_pylist()
+                for i, marked in enumerate(piece.column(len(columns))):
+                    if marked.is_valid:
+                        words = texts[i].encode("utf-8", "surrogatepass").split()
+                        gone = _gone(len(words), marked.values.to_numpy())
+                        left = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+                        texts[i] = left.decode("utf-8", "surrogatepass")
+                arrays = [*piece.columns[: len(columns)]]
+                arrays[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    result = rows.select(*columns, "_spans").mapInArrow(clean, docs.schema)
+    if chars in columns:
+        result = result.withColumn(chars, F.when(F.col(chars).isNotNull(), F.length(text)).cast(docs.schema[chars].dataType))
+    return result
+
+
+def _gone(n: int, spans: np.ndarray) -> np.ndarray:
+    """For each of n words whether a span covers it."""
+    start, size = spans >> 8, (spans & 255) + 1
+    delta = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)
+    return (np.cumsum(delta) > 0)[:n]
+
+
 _ARROW = {
     "n_words": pa.int64(),
     "n_removed": pa.int64(),

@@ -23,14 +23,17 @@ its least id unless all ids in it are null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from loanloom.llm.common import id_and_text, map_texts
+from loanloom.llm.common import id_and_text, map_texts, pieces
 from loanloom.llm.components import components
 from loanloom.sources.store import stored
 
@@ -121,8 +124,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
 
 def _with_keys(prints: DataFrame) -> DataFrame:
     def add(batches):
-        import pyarrow as pa
-
         for batch in batches:
             found = batch.column(0).to_numpy().view(np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -160,3 +161,29 @@ def near_groups(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: st
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = members.join(least, "root").select("print", "component_id")
     return rows.join(groups, "print").select(key, "print", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group, all columns as they are: that with the least key.
+
+    Repeated rows are in one group, so one of them stays.
+    """
+    groups = near_groups(docs, shingle, key, text)
+    chosen = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "print").count()
+    chosen = stored(chosen.select(F.col(key).alias("_key"), F.col("print").alias("_print"), F.col("count").alias("_n")), "chosen")
+    at = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, StructField("_print", LongType())])
+    names = schema.names
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, at):
+                prints = np.array([fingerprint(t or "", shingle) for t in piece.column(at).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(prints.view(np.int64))], names=names)
+
+    rows = docs.mapInArrow(add, schema)
+    same = rows[key].cast("long").eqNullSafe(chosen["_key"]) & (rows["_print"] == chosen["_print"])
+    kept = rows.join(chosen.select("_key", "_print"), same, "left_semi")
+    if not chosen.where("_n > 1").isEmpty():
+        kept = kept.dropDuplicates([key, "_print"])
+    return kept.drop("_print")

@@ -22,6 +22,8 @@ from loanloom.llm.common import bucket_of, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Least score of a document that counts as toxic.
+TOXIC = 0.3
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(bucket_of("doc_id", 4) != 2)
 
 
@@ -67,8 +69,8 @@ def _scored(scores: DataFrame, least: float) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = noisy_or.fit(docs, _training_labels(spark, sf_dir))
-    return _scored(noisy_or.score(docs, model), 0.3)
+    model = noisy_or.fit(docs, training_labels(spark, sf_dir))
+    return _scored(noisy_or.score(docs, model), TOXIC)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = additive.fit(docs, _training_labels(spark, sf_dir))
+    model = additive.fit(docs, training_labels(spark, sf_dir))
     return _scored(additive.score(docs, model), 0.7)
 
 

@@ -300,11 +300,10 @@ def extract(page: str, reference: Node | None, template: frozenset[tuple[int, in
     """The main text of a page; template: pairs of a node of the reference and a hash of text."""
     if not page:
         return ""
-    if reference is None:
-        root, blocks = parse(page)
-        places: dict[int, int] = {}
-    else:
+    if template and reference is not None:
         blocks, places = aligned(page, reference)
+    else:
+        blocks, places = parse(page)[1], {}
     blocks = [b for b in blocks if not b.side]
     semantic = next((s for s in ("article", "main") if any(b.inside == s for b in blocks)), "")
     if semantic:
