@@ -151,7 +151,7 @@ def _quarters(g: np.ndarray, h: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Additive:
     """Learn the tables from features, labels and weights of rows."""
     share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
-    if not 0.0 < share < 1.0:
+    if len(set(y)) < 2:
         return Additive(float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     model = Additive(float(np.log(share / (1 - share))))
     z = np.full(len(y), model.base)

@@ -187,6 +187,8 @@ class Labeller:
 
     def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
         parts = [words_of(t) for t in texts]
+        if not self.net.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         if len(self.place) > KEPT_WORDS:
             self.place, self.sums = {}, self.sums[:0]
         place = self.place
@@ -196,7 +198,7 @@ class Labeller:
             self.sums = np.concatenate([self.sums, self.net.word_sums(new)])
         names, scores = [], []
         for text, words in zip(texts, parts, strict=True):
-            if not words or not self.net.languages or not _LETTER.search(text):
+            if not words or not _LETTER.search(text):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

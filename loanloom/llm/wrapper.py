@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from loanloom.llm.common import pieces
 from loanloom.sources.store import stored
 
+#: Elements nested deeper than this count as their ancestor there; their text is kept.
+DEPTH = 100
 #: Share of a host's pages, and number of pages, on which template text stands.
 SHARE, PAGES = 0.5, 3
 
@@ -206,7 +208,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if tag in ("article", "main") and inside != "article":
             inside = tag
         node = above
-        if tag in BLOCK:
+        if tag in BLOCK and len(stack) <= DEPTH:
             node = above.children.get(label)
             if node is None:
                 node = above.children[label] = Node(tag, label, side)
