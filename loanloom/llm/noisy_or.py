@@ -83,6 +83,8 @@ class NoisyOr:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> NoisyOr:
     """Train on about per_class documents of each label; texts never leave the tasks."""
+    known = labels.where(F.col(label).isNotNull()).groupBy((F.col(label) != 0).cast("int").alias("y")).count()
+    totals = {r[0]: r[1] for r in known.collect()}
     chosen = balanced_sample(labels, label, key, per_class)
     sample = (
         id_and_text(docs, key, text)
@@ -138,21 +140,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         np.array([r.empty for r in rows], float),
         [r.sentences for r in rows],
         len(names),
+        totals[1] / (totals[0] + totals[1]),
     )
     return NoisyOr({n: float(w) for n, w in zip(names, weights, strict=True)}, bias)
 
 
-def train(y: np.ndarray, empty: np.ndarray, bags: list[list[list[int]]], n: int, rounds: int = ROUNDS, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(
+    y: np.ndarray, empty: np.ndarray, bags: list[list[list[int]]], n: int, share: float = 0.5, rounds: int = ROUNDS, decay: float = 1e-3
+) -> tuple[np.ndarray, float]:
     """Weights and bias by full gradients with steps scaled per weight.
 
-    empty: sentences of a document without features; bags: the features of the others. Both
-    labels count alike however many documents have them.
+    empty: sentences of a document without features; bags: the features of the others. Toxic
+    documents count for `share` of the whole, however many of each label there are here.
     """
     document = np.repeat(np.arange(len(y)), [len(b) for b in bags])
     sizes = np.array([len(s) for b in bags for s in b], np.int64)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     feature = np.array([f for b in bags for s in b for f in s], np.int64)
-    worth = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+    worth = np.where(y > 0, share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum()))
     w, bias = np.zeros(n), -4.0
     squares, bias_square = np.full(n, 1e-8), 1e-8
     for _ in range(rounds):
