@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from loanloom.functions.metrics import known
+from loanloom.functions.numeric import currency
 from loanloom.plans import cohort, dashboard, kpis, quality, raw_variants, risk, segments
+from loanloom.schemas import LOANS, STAGING_COLUMNS
 from loanloom.sources import ingest
 from loanloom.sources.portfolio import star_portfolio, star_staging
 from loanloom.sources.store import new_table_path
@@ -19,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Plain types for comparing engines: BIGINT, DOUBLE and text. Run times are left out."""
+    """Plain types for comparing engines: BIGINT, DOUBLE and text."""
 
     def plain(field: T.StructField) -> Column:
         c = F.col(field.name)
@@ -27,15 +30,13 @@ def comparable(df: DataFrame) -> DataFrame:
             return c.cast("double").alias(field.name)
         if isinstance(field.dataType, (T.IntegerType, T.ShortType)):
             return c.cast("bigint").alias(field.name)
-        if isinstance(field.dataType, (T.DateType, T.BooleanType)):
+        if isinstance(field.dataType, (T.DateType, T.TimestampType, T.BooleanType)):
             return c.cast("string").alias(field.name)
         if isinstance(field.dataType, T.ArrayType):
             return F.concat_ws(",", c).alias(field.name)
         return c
 
-    return df.select(
-        *[plain(f) for f in df.schema.fields if not isinstance(f.dataType, T.TimestampType)]
-    )
+    return df.select(*[plain(f) for f in df.schema.fields])
 
 
 def _on_loans(fn, *args) -> Query:
@@ -89,17 +90,43 @@ def _quarantine(loans: DataFrame) -> DataFrame:
 
 
 def _csv_folders(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The raw rows written as CSV files in four folders."""
+    """The raw rows written as CSV files in four folders, some with too few or too many fields."""
     path = new_table_path(spark, "raw_csv")
-    staging = star_staging(spark, sf_dir).withColumn("batch", F.col("source_key") % 4)
-    ingest.write_raw_csv(staging.drop("source_key"), path, partition_by="batch")
+    k = F.col("source_key")
+    staging = star_staging(spark, sf_dir).withColumn("batch", k % 4)
+    short, long = k % 67 == 0, k % 71 == 0
+    ingest.write_raw_csv(staging.filter(~short & ~long).drop("source_key"), path, partition_by="batch")
+    start = F.concat_ws(",", "asofdate", "program", k.cast("string"))
+    bad = staging.filter(short | long).select(
+        "batch", F.when(short, start).otherwise(F.concat(start, F.repeat(F.lit(",x"), 47))).alias("line")
+    )
+    header = spark.range(4).select(
+        F.col("id").alias("batch"), F.lit(",".join(STAGING_COLUMNS)).alias("line")
+    )
+    (
+        header.withColumn("place", F.lit(0))
+        .union(bad.withColumn("place", F.lit(1)))
+        .repartition(4, "batch")
+        .sortWithinPartitions("batch", "place")
+        .select("batch", "line")
+        .write.mode("append")
+        .partitionBy("batch")
+        .text(path)
+    )
     return [f"{path}/batch={i}" for i in range(4)]
 
 
 def _read_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = ingest.read_raw_csv(spark, _csv_folders(spark, sf_dir))
-    return raw.select(
-        "l2locid", "borrname", "borrstreet", "borrstate", "borrzip", "bankname", "franchisecode"
+    return ingest.read_raw_csv(spark, _csv_folders(spark, sf_dir))
+
+
+def _rejected_raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ingest.rejected_raw_rows(spark, _csv_folders(spark, sf_dir))
+    fields = F.split(ingest.RAW_LINE, ",")
+    return comparable(
+        rows.select(
+            "folder", "asofdate", fields[2].cast("bigint").alias("source_key"), F.size(fields).alias("fields")
+        )
     )
 
 
@@ -108,25 +135,34 @@ def _count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(ingest.count_by_source(raw, folders=True))
 
 
-def _yearly(stored: DataFrame) -> DataFrame:
-    return stored.groupBy("approval_fy").agg(
-        F.count(F.lit(1)).alias("loan_count"), F.sum("gross_approved").alias("total_approved")
-    )
-
-
 def _write_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loans = star_portfolio(spark, sf_dir, AS_OF).loans
+    """What is stored of loans of which some violate a constraint."""
+    loans = _broken(star_portfolio(spark, sf_dir, AS_OF).loans)
     path = new_table_path(spark, "loans_by_year")
     ingest.write_loans(loans, path)
-    return comparable(_yearly(spark.read.schema(loans.schema).parquet(path)))
+    return comparable(spark.read.schema(loans.schema).parquet(path).drop("balance_gross"))
 
 
 def _incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loans = star_portfolio(spark, sf_dir, AS_OF).loans
+    """Two batches of raw rows: the ids of the later one go on, its broken rows stay out."""
+    staging = star_staging(spark, sf_dir)
     path = new_table_path(spark, "loans_incremental")
-    ingest.write_loans(loans.filter(F.col("approval_date") < F.lit(dt.date(2013, 1, 1))), path)
-    ingest.incremental_load(spark, loans, path)
-    return comparable(_yearly(spark.read.schema(loans.schema).parquet(path)))
+    early = F.col("approvalfiscalyear") < "2013"
+    ingest.write_loans(ingest.import_loans(staging.filter(early), AS_OF), path)
+    have = spark.read.schema(LOANS).parquet(path)
+    later = ingest.import_loans(staging.filter(~early), AS_OF, ingest.next_number(have))
+    open_loans = F.when(_key() % 17 == 1, F.lit("OPEN")).otherwise(F.col("loan_status"))
+    ingest.incremental_load(spark, later.withColumn("loan_status", open_loans), path)
+    stored = spark.read.schema(LOANS).parquet(path)
+    return comparable(
+        stored.select("loan_id", "business_name", "approval_date", "approval_fy", "created_at")
+    )
+
+
+def _odd_ids(loans: DataFrame) -> DataFrame:
+    """A table in which some loans are booked twice and some have no id."""
+    gone = F.when(_key() % 53 != 0, F.col("loan_id"))
+    return _twice(loans).withColumn("loan_id", gone)
 
 
 def _assigned(staging: DataFrame) -> DataFrame:
@@ -140,6 +176,7 @@ def _imported(staging: DataFrame) -> DataFrame:
 def ingest_queries() -> dict[str, Query]:
     return {
         "read_raw_csv": _read_raw_csv,
+        "rejected_raw_rows": _rejected_raw_rows,
         "count_by_source": _count_by_source,
         "import_loans": _on_staging(_imported),
         "assign_loan_id": _on_staging(_assigned),
@@ -163,7 +200,9 @@ def ingest_queries() -> dict[str, Query]:
         "write_loans": _write_loans,
         "incremental_load": _incremental_load,
         "sample_loans": _on_loans(
-            lambda loans: ingest.sample_loans(loans).select("loan_id", "loan_status")
+            lambda loans: ingest.sample_loans(_odd_ids(loans)).select(
+                "loan_id", "business_name", "approval_date", "gross_approved"
+            )
         ),
         "import_report": _on_loans(ingest.import_report),
         "import_status_report": _on_loans(ingest.import_status_report),
@@ -248,6 +287,12 @@ def segment_queries() -> dict[str, Query]:
     return {fn.__name__: _on_clean(fn) for fn in plain}
 
 
+def _volume_labels(clean: DataFrame) -> DataFrame:
+    """Volume per state as the reports print it."""
+    volume = known(clean).groupBy("state").agg(F.sum("gross_approved").alias("v"))
+    return volume.select("state", currency("v").alias("volume"))
+
+
 def dashboard_queries() -> dict[str, Query]:
     d = dashboard
     dated = (d.executive_summary, d.monthly_trends, d.portfolio_snapshot, d.dashboard_counts)
@@ -257,7 +302,7 @@ def dashboard_queries() -> dict[str, Query]:
     )
     return {fn.__name__: _on_clean(fn, AS_OF) for fn in dated} | {
         fn.__name__: _on_clean(fn) for fn in plain
-    }
+    } | {"volume_labels": _on_clean(_volume_labels)}
 
 
 def raw_queries() -> dict[str, Query]:

@@ -5,26 +5,35 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 
 from loanloom.functions import parsing as P
 from loanloom.functions.dates import as_of_date
 from loanloom.functions.numeric import mean, ratio, share_of
 from loanloom.operators.numbering import numbered
-from loanloom.schemas import STAGING, as_loans
+from loanloom.schemas import STAGING, STAGING_COLUMNS, as_loans
 from loanloom.sources.store import stored
 
 ID_ORDER = ("approvalfiscalyear", "approvaldate", "borrname")
 
 
-def read_raw_csv(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
-    """Read the raw files as text: header, doubled quotes, an unquoted empty field is NULL.
+#: Where a raw row that does not have one value per column is kept, as it stands in the file.
+RAW_LINE = "raw_line"
 
-    Quoted fields may hold line breaks, which makes a file one task; set ``multi_line`` to
-    False to split large files that have none.
-    """
+
+def _parsed() -> Column:
+    """Always true; names a field, since Spark refuses queries on the raw line alone."""
+    return F.coalesce(F.length(STAGING_COLUMNS[0]), F.lit(0)) >= 0
+
+
+def _raw_csv(spark: SparkSession, paths, multi_line: bool) -> DataFrame:
     return (
-        spark.read.schema(STAGING)
+        spark.read.schema(T.StructType([*STAGING.fields, T.StructField(RAW_LINE, T.StringType())]))
         .option("header", True)
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", RAW_LINE)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("encoding", "UTF-8")
@@ -34,6 +43,30 @@ def read_raw_csv(spark: SparkSession, paths, multi_line: bool = True) -> DataFra
     )
 
 
+def read_raw_csv(spark: SparkSession, paths, multi_line: bool = False) -> DataFrame:
+    """Read the raw files as text: header, doubled quotes, an unquoted empty field is NULL.
+
+    A header with other names or another order is an error. Rows with too few or too many
+    fields are left out; ``rejected_raw_rows`` returns them. Large files are split. A quoted
+    line break makes its row two rejected ones, unless ``multi_line`` is set, which reads each
+    file in one task.
+    """
+    raw = _raw_csv(spark, paths, multi_line)
+    return raw.filter(F.col(RAW_LINE).isNull() & _parsed()).drop(RAW_LINE)
+
+
+def rejected_raw_rows(spark: SparkSession, paths, multi_line: bool = False) -> DataFrame:
+    """The rows ``read_raw_csv`` leaves out: the file and folder, first field, and whole line."""
+    raw = _raw_csv(spark, paths, multi_line).filter(F.col(RAW_LINE).isNotNull() & _parsed())
+    path = F.split(F.col("_metadata.file_path"), "/")
+    return raw.select(
+        F.element_at(path, -2).alias("folder"),
+        F.element_at(path, -1).alias("file"),
+        F.col(STAGING_COLUMNS[0]),
+        F.col(RAW_LINE),
+    )
+
+
 def write_raw_csv(staging: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Write text rows in the layout ``read_raw_csv`` reads."""
     writer = staging.write.option("header", True).option("escape", '"')
@@ -127,24 +160,33 @@ def loan_id(number: Column) -> Column:
     return F.format_string("SBA-%08d", number)
 
 
-def _with_ids(rows: DataFrame) -> DataFrame:
+def next_number(loans: DataFrame) -> Column:
+    """The number after the largest one in the ids of a table; 1 for an empty table."""
+    number = F.regexp_extract("loan_id", r"^SBA-(\d+)$", 1).try_cast("bigint")
+    return F.coalesce(loans.agg(F.max(number)).scalar(), F.lit(0)) + 1
+
+
+def _with_ids(rows: DataFrame, first: Column | int = 1) -> DataFrame:
     ids = numbered(rows, ID_ORDER, "_number")
-    return ids.withColumn("loan_id", loan_id(F.col("_number"))).drop("_number")
+    first = first if isinstance(first, Column) else F.lit(first)
+    return ids.withColumn("loan_id", loan_id(F.col("_number") + first - 1)).drop("_number")
 
 
-def assign_loan_id(staging: DataFrame) -> DataFrame:
+def assign_loan_id(staging: DataFrame, first: Column | int = 1) -> DataFrame:
     """Give each usable row an id, numbered by the texts of year, date and borrower."""
-    return _with_ids(usable_rows(staging))
+    return _with_ids(usable_rows(staging), first)
 
 
-def import_loans(staging: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """The typed loan table of a set of raw rows.
+def import_loans(
+    staging: DataFrame, as_of: dt.date | None = None, first: Column | int = 1
+) -> DataFrame:
+    """The typed loan table of a set of raw rows; ``next_number`` gives ``first`` of a later batch.
 
     Rows are parsed and stored before they are numbered. Numbering reads its input twice, once
     to find the ranges, and should not parse the raw files twice for that.
     """
     now = as_of_date(as_of).cast("timestamp")
-    loans = _with_ids(stored(parse_loans(staging, *ID_ORDER), "parsed"))
+    loans = _with_ids(stored(parse_loans(staging, *ID_ORDER), "parsed"), first)
     return as_loans(loans.withColumn("created_at", now).withColumn("updated_at", now))
 
 
@@ -185,8 +227,8 @@ def check_unique(df: DataFrame, key: str = "loan_id") -> DataFrame:
     return counts.filter("duplicate_count > 1")
 
 
-def write_loans(loans: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store the loans by fiscal year; the rebalance splits large years over several files."""
+def _append(loans: DataFrame, path: str, mode: str) -> None:
+    """Store by fiscal year; the rebalance splits large years over several files."""
     (
         loans.hint("rebalance", "approval_fy")
         .write.mode(mode)
@@ -195,33 +237,73 @@ def write_loans(loans: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+def _refuse(ids: DataFrame, what: str) -> None:
+    found = [r[0] for r in ids.select("loan_id").limit(5).collect()]
+    if found:
+        raise ValueError(f"{what}, for example {', '.join(map(str, found))}")
+
+
+def write_loans(loans: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Store the loans that satisfy the constraints by fiscal year; the others are returned.
+
+    Nothing is written if an id is missing or occurs twice.
+    """
+    checked = stored(validate_constraints(as_loans(loans)), "checked")
+    good = checked.filter(F.size("rejected_reasons") == 0).drop("rejected_reasons")
+    _refuse(good.filter("loan_id IS NULL"), "loans without an id")
+    _refuse(check_unique(good), "ids that occur twice")
+    _append(good, path, mode)
+    return checked.filter(F.size("rejected_reasons") > 0)
+
+
 def newer_loans(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming loans approved after the latest stored day; all of them if nothing is stored."""
     latest = existing.agg(F.max("approval_date")).scalar()
     return incoming.filter(latest.isNull() | (F.col("approval_date") > latest))
 
 
-def incremental_load(spark: SparkSession, incoming: DataFrame, path: str) -> None:
-    """Append the newer loans to a stored table."""
+def incremental_load(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
+    """Append the newer loans to a stored table; those that break a constraint are returned.
+
+    Nothing is written if an id is missing, occurs twice or is stored already; ``next_number``
+    of the stored table gives ids that go on from it.
+    """
     existing = spark.read.schema(as_loans(incoming).schema).parquet(path)
-    write_loans(newer_loans(existing, as_loans(incoming)), path, mode="append")
+    newer = stored(newer_loans(existing, as_loans(incoming)), "newer")
+    _refuse(existing.join(newer.select("loan_id"), "loan_id", "left_semi"), "ids stored already")
+    return write_loans(newer, path, mode="append")
+
+
+def _sample_key(seed: int) -> Column:
+    """A random hash per id; a loan without one is known by its borrower, day and amount."""
+    other = ("business_name", "zip", "approval_date", "gross_approved")
+    known = F.coalesce(
+        "loan_id", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in other])
+    )
+    return F.md5(F.concat(F.lit(str(seed)), known))
 
 
 def sample_loans(loans: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
     """Exactly ``n`` loans (all if there are fewer), random but the same for the same seed.
 
-    The order is that of a hash of seed and id. Rows whose hash is clearly too high are dropped
-    before the sort: with the limit 10 standard deviations above ``n``, falling short of ``n``
-    is out of the question, and each task sorts little more than its part of the sample.
+    The order is that of a hash of seed and id. The loans are counted by the first four digits
+    of the hash, at most 65,536 counts, and only those up to the digits where the count reaches
+    ``n`` are sorted. Whatever the ids, at least ``n`` are left to choose from, and each task
+    sorts no more than ``n`` of them.
     """
-    key = F.md5(F.concat(F.lit(str(seed)), F.col("loan_id")))
-    place = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(2**32)
-    total = loans.agg(F.count(F.lit(1))).scalar()
-    margin = n + 10 * n**0.5 + 100
+    keyed = loans.withColumn("_key", _sample_key(seed))
+    counts = keyed.groupBy(F.substring("_key", 1, 4).alias("_digits")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0))
+    last = (
+        counts.withColumn("_before", upto - F.col("_n"))
+        .filter(F.col("_before") < n)
+        .agg(F.max("_digits"))
+        .scalar()
+    )
+    whole_row = F.xxhash64(*[F.col(c) for c in loans.columns])
     return (
-        loans.withColumn("_key", key)
-        .filter(place * total <= margin)
-        .orderBy("_key", "loan_id")
+        keyed.filter(F.substring("_key", 1, 4) <= last)
+        .orderBy("_key", F.col("loan_id").asc_nulls_last(), whole_row)
         .limit(n)
         .drop("_key")
     )

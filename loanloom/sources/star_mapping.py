@@ -14,7 +14,6 @@ from loanloom.dimensions import SECTOR_CODES
 from loanloom.schemas import STAGING_COLUMNS, as_loans
 
 SHIFT_MONTHS = 168
-LENDERS = 40
 
 # State and sector codes by position.
 STATE_CODES = "CA TX FL NY GA OH IL WA NJ PA NV MT AK ND VT ME AL MI MN CO AZ NC PR ZZ".split()
@@ -46,9 +45,9 @@ def _cents(value: Column) -> Column:
 def loans_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed loan table.
 
-    Lines are summed per order before the join. The lender key has 40 values, so only the 40
-    matching suppliers can join: that side is bounded, and broadcasting it spares a shuffle
-    on 40 hot keys.
+    Lines are summed per order before the join. The lender is the supplier with the least key
+    among the lines; every fifth order has one of the first eight, so that some lenders are
+    large. Lenders are as many as suppliers, so Spark picks the join by their size.
     """
     k = F.col("o_orderkey")
     lines = (
@@ -58,18 +57,16 @@ def loans_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("l_shipdate").alias("first_ship"),
             F.max("l_shipdate").alias("last_ship"),
             F.sum("l_quantity").cast("int").alias("quantity"),
+            F.min("l_suppkey").alias("first_supplier"),
         )
     )
-    lenders = (
-        _table(spark, sf_dir, "supplier")
-        .filter(F.col("s_suppkey").between(0, LENDERS - 1))
-        .select("s_suppkey", "s_name", "s_nationkey")
-    )
+    lenders = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    lender = F.when(k % 5 == 0, F.col("first_supplier") % 8).otherwise(F.col("first_supplier"))
     joined = (
         _table(spark, sf_dir, "orders")
         .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(F.broadcast(lenders), (k * 7 + 3) % LENDERS == F.col("s_suppkey"), "left")
         .join(lines, k == F.col("l_orderkey"), "left")
+        .join(lenders, lender == F.col("s_suppkey"), "left")
     )
     customer, nation = F.col("o_custkey"), F.col("c_nationkey")
     slot = k % 26
@@ -164,7 +161,7 @@ def staging_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "borrcity": F.col("c_mktsegment"),
         "borrstate": F.when(k % 31 != 0, F.lower(cycle(k, STATE_CODES))),
         "borrzip": F.lpad(F.col("c_custkey").cast("string"), 9, "0"),
-        "bankname": F.concat(F.lit("Bank "), ((k * 7 + 3) % LENDERS).cast("string")),
+        "bankname": F.concat(F.lit("Bank "), _div(F.col("c_custkey"), 7).cast("string")),
         "bankstate": cycle(k * 3, STATE_CODES),
         "grossapproval": money_text(gross, k % 29),
         "sbaguaranteedapproval": money_text(_cents(gross * Decimal("0.75")), k % 37),

@@ -104,7 +104,7 @@ sectors(code, sector, subsector) AS (VALUES {_rows(NAICS_ROWS)}),
 places(code, place, region, division) AS (VALUES {_rows(STATE_ROWS)}),
 shipped AS (
   SELECT l_orderkey AS key, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship,
-         CAST(sum(l_quantity) AS BIGINT) AS pieces
+         CAST(sum(l_quantity) AS BIGINT) AS pieces, min(l_suppkey) AS supp
   FROM lineitem GROUP BY l_orderkey
 ),
 seed AS (
@@ -117,8 +117,8 @@ seed AS (
               WHEN 'P' THEN if(o_orderkey % 3 = 0, 'CHGOFF', 'PIF') END AS outcome
   FROM orders
   LEFT JOIN customer ON c_custkey = o_custkey
-  LEFT JOIN supplier ON s_suppkey = (o_orderkey * 7 + 3) % 40
   LEFT JOIN shipped ON key = o_orderkey
+  LEFT JOIN supplier ON s_suppkey = if(o_orderkey % 5 = 0, supp % 8, supp)
 ),
 loans AS (
   SELECT k, printf('SBA-%08d', k) AS loan_id,

@@ -67,6 +67,10 @@ def _top(column: str) -> str:
 
 
 ORACLES = {
+    "volume_labels": sql("""
+    SELECT state, CASE WHEN v >= 1e9 THEN '$' || format('{:,.1f}', v / 1e9) || 'B'
+      WHEN v >= 1e6 THEN '$' || format('{:,.1f}', v / 1e6) || 'M' ELSE '$' || format('{:,.0f}', v) END AS volume
+    FROM (SELECT state, sum(gross_c)::DOUBLE / 100 AS v FROM known GROUP BY state)"""),
     "executive_summary": sql(f"""{_YEAR_CTES}
     SELECT t.n AS total_loans, {usd('t.vol')} AS total_volume, {usd('t.cov')} AS total_sba_exposure,
       {avg_usd('t.vol', 't.n')} AS avg_loan_size, {avg('t.terms', 't.n', 1)} AS avg_term_months,
@@ -79,7 +83,8 @@ ORACLES = {
       cy.n AS ytd_loans, {usd('cy.vol')} AS ytd_volume, coalesce(cy.bad, 0) AS ytd_defaults,
       {pct('cy.bad', 'cy.n')} AS ytd_default_rate, py.n AS prior_loans, {usd('py.vol')} AS prior_volume,
       {pct('py.bad', 'py.n')} AS prior_default_rate, {growth('cy.vol', 'py.vol')} AS volume_growth_pct,
-      {scaled(pct_int('cy.bad', 'cy.n') + ' - ' + pct_int('py.bad', 'py.n'), 2)} AS default_rate_change
+      {scaled(pct_int('cy.bad', 'cy.n') + ' - ' + pct_int('py.bad', 'py.n'), 2)} AS default_rate_change,
+      '2015-09-01 00:00:00' AS as_of_date
     FROM cy, py, {grouped('', extra=_WIDE)} t"""),
     "monthly_trends": sql(f"""{_MONTHLY}
     SELECT {day('mon')} AS month, n AS loans, {usd('vol')} AS volume, {avg_usd('vol', 'n')} AS avg_loan_size,

@@ -154,7 +154,8 @@ ORACLES = {
       CASE loan_status WHEN 'CHGOFF' THEN 'true' WHEN 'PIF' THEN 'false' END AS is_defaulted,
       CASE loan_status WHEN 'PIF' THEN 'true' WHEN 'CHGOFF' THEN 'false' END AS is_paid_in_full,
       {scaled('sev', 2)} AS loss_severity_pct, {whole('vintage_year')} AS vintage_year,
-      {whole('vintage_quarter')} AS vintage_quarter, {whole('vintage_month')} AS vintage_month
+      {whole('vintage_quarter')} AS vintage_quarter, {whole('vintage_month')} AS vintage_month,
+      '2015-09-01 00:00:00' AS processed_at
     FROM clean"""),
     "quality_scorecard": sql(f"""
     SELECT 'Data Quality Summary' AS report, count(*) AS total_records, {_VALID_PCTS},

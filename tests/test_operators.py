@@ -127,7 +127,7 @@ def test_csv_and_import(spark, tmp_path):
     for name, rows in (("a.csv", [first, blank]), ("b.csv", [second])):
         lines = [",".join(v or "" for v in row) for row in rows]
         (folder / name).write_text("\n".join([header, *lines]) + "\n")
-    raw = ingest.read_raw_csv(spark, str(folder))
+    raw = ingest.read_raw_csv(spark, str(folder), multi_line=True)
     counts = [tuple(r) for r in ingest.count_by_source(raw).collect()]
     assert counts == [("a.csv", 2, 3), ("b.csv", 1, 3)]
     texts = {r.l2locid: r for r in raw.collect()}
@@ -145,6 +145,45 @@ def test_csv_and_import(spark, tmp_path):
     assert (one.jobs_created, one.jobs_retained, one.loan_status, one.urban_rural) == (3, 3, None, 0)
 
 
+def csv_file(path, *lines):
+    path.mkdir()
+    (path / "a.csv").write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_csv_rows_with_other_numbers_of_fields(spark, tmp_path):
+    header, good = ",".join(STAGING_COLUMNS), ",".join(f"v{i}" for i in range(43))
+    path = csv_file(tmp_path / "in", header, good, "x,y,z", good + ",more", '"a ""b"", c"' + "," * 42)
+    raw = ingest.read_raw_csv(spark, path)
+    assert raw.count() == 2
+    assert {r.asofdate for r in raw.select("asofdate").collect()} == {"v0", 'a "b", c'}
+    assert [tuple(r) for r in ingest.count_by_source(raw).collect()] == [("a.csv", 2, 2)]
+    rejected = ingest.rejected_raw_rows(spark, path)
+    assert sorted(r.raw_line for r in rejected.select("raw_line").collect()) == [good + ",more", "x,y,z"]
+    assert {(r.folder, r.file, r.asofdate) for r in rejected.collect()} == {("in", "a.csv", "x"), ("in", "a.csv", "v0")}
+
+
+def test_csv_with_another_header_is_refused(spark, tmp_path):
+    names = list(STAGING_COLUMNS)
+    i, j = names.index("grossapproval"), names.index("sbaguaranteedapproval")
+    names[i], names[j] = names[j], names[i]
+    path = csv_file(tmp_path / "in", ",".join(names), ",".join(str(i) for i in range(43)))
+    with pytest.raises(Exception, match="FAILED_READ_FILE|CSV header does not conform"):
+        ingest.read_raw_csv(spark, path).collect()
+
+
+def test_large_csv_files_are_split(spark, tmp_path):
+    row = ",".join(["some text"] * 43)
+    path = csv_file(tmp_path / "in", ",".join(STAGING_COLUMNS), *[row] * 3000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        raw = ingest.read_raw_csv(spark, path)
+        assert raw.rdd.getNumPartitions() > 3 and raw.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_ids_beyond_eight_digits(spark):
     df = spark.sql("select explode(array(7L, 123456789L)) n")
     assert [r[0] for r in df.select(ingest.loan_id(F.col("n"))).collect()] == ["SBA-00000007", "SBA-123456789"]
@@ -160,9 +199,16 @@ def test_write_and_incremental_load(spark, make_loans, tmp_path):
     incoming = make_loans(
         dict(loan_id="same day", approval_date=D(2011, 1, 1), approval_fy=2011),
         dict(loan_id="new", approval_date=D(2011, 1, 2), approval_fy=2011),
+        dict(loan_id="broken", approval_date=D(2011, 1, 2), loan_status="OPEN"),
         dict(loan_id="no date"),
     )
-    ingest.incremental_load(spark, incoming, path)
+    rejected = ingest.incremental_load(spark, incoming, path)
+    assert [(r.loan_id, r.rejected_reasons) for r in rejected.collect()] == [("broken", ["chk_loan_status"])]
+    twice = make_loans(*[dict(loan_id="twice", approval_date=D(2012, 1, 1))] * 2)
+    known = make_loans(dict(loan_id="a", approval_date=D(2012, 1, 1)))
+    for refused in (twice, known):
+        with pytest.raises(ValueError, match="twice|already"):
+            ingest.incremental_load(spark, refused, path)
     stored = spark.read.schema(LOANS).parquet(path)
     assert sorted(r.loan_id for r in stored.collect()) == ["a", "b", "new"]
     assert (tmp_path / "loans" / "approval_fy=2011").is_dir()
@@ -170,6 +216,15 @@ def test_write_and_incremental_load(spark, make_loans, tmp_path):
     assert stored.sparkSession.read.schema(LOANS).parquet(path).count() == 1
 
 
+def test_numbers_go_on(make_loans):
+    def after(*ids):
+        loans = make_loans(*[dict(loan_id=i) for i in ids]).filter("loan_id <> 'gone'")
+        return loans.sparkSession.range(1).select(ingest.next_number(loans)).first()[0]
+
+    assert after("SBA-00000007", "SBA-123456789", "other") == 123456790
+    assert after("other") == after("gone") == 1
+
+
 def test_incremental_load_into_empty_table(make_loans):
     empty = make_loans(dict(loan_id="x")).filter("false")
     incoming = make_loans(dict(loan_id="a", approval_date=D(2010, 1, 1)), dict(loan_id="b"))
@@ -177,12 +232,23 @@ def test_incremental_load_into_empty_table(make_loans):
 
 
 def test_sample(spark, make_loans):
-    loans = spark.range(5000).select(F.concat(F.lit("L"), F.col("id")).alias("loan_id"))
+    ids = [dict(loan_id=f"L{i}") for i in range(3000)]
+    loans = make_loans(*ids)
     one = [r.loan_id for r in ingest.sample_loans(loans, 300).collect()]
     again = [r.loan_id for r in ingest.sample_loans(loans.repartition(5), 300).collect()]
     other = [r.loan_id for r in ingest.sample_loans(loans, 300, seed=7).collect()]
     assert len(set(one)) == 300 and one == again and one != other
-    assert ingest.sample_loans(loans.limit(20), 300).count() == 20
+    for n in (0, 1, 2999, 3000, 3001):
+        assert ingest.sample_loans(loans, n).count() == min(n, 3000)
+
+
+def test_sample_of_equal_and_missing_ids(spark, make_loans):
+    rows = [dict(loan_id=f"L{i}") for i in range(50)] + [dict(loan_id="same")] * 150
+    loans = make_loans(*rows)
+    loans = loans.unionByName(loans.limit(40).withColumn("loan_id", F.lit(None).cast("string")))
+    for seed in (1, 2, 3, 42):
+        for n in (1, 100, 239, 240, 500):
+            assert ingest.sample_loans(loans, n, seed).count() == min(n, 240)
 
 
 def test_schema_report(make_loans):

@@ -10,11 +10,13 @@ from plan_tools import has_window_over_rows, plan, run
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from loanloom.registry import all_queries
+from oracles.all import ORACLES
 from loanloom.functions.metrics import known
 from loanloom.plans import cohort, dashboard, kpis, quality, risk, segments
 from loanloom.sources.portfolio import star_portfolio
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -78,10 +80,23 @@ def test_query(spark, duck, clean, name):
             assert same, (a, b)
 
 
+def test_contract_has_every_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
+def test_lenders_are_many(spark, clean):
+    """Long lender lists are cut, and what is left over is not empty."""
+    lenders = clean.filter("bank_name <> 'Unknown Lender'").select("bank_name").distinct().count()
+    suppliers = spark.read.parquet(f"{SF_DIR}/supplier.parquet").count()
+    assert lenders == suppliers > 50
+    assert kpis.lender_concentration(clean).collect()[-1][1] is not None
+    assert segments.lender_ranking(clean, min_loans=1).count() == 50 < lenders
+
+
 def total(df, column):
     return float(df.agg(F.sum(column)).collect()[0][0])
 
