@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loanloom.functions.numeric import pct
 
@@ -57,11 +59,14 @@ def jobs() -> Column:
     return F.sum(F.col("jobs_created") + F.col("jobs_retained"))
 
 
-def per_value(loans: DataFrame, sides: dict[str, str], *metrics: Column) -> DataFrame:
+def per_value(
+    loans: DataFrame, sides: dict[str, str], *metrics: Column, total: str | None = None
+) -> DataFrame:
     """Metrics per value of each column on its own: columns ``side`` and ``value``, then metrics.
 
     Grouping sets: one scan, and what is shuffled is one row per task and value. Grouping by
-    the combination of the columns first would shuffle nearly every loan.
+    the combination of the columns first would shuffle nearly every loan. ``total`` names a
+    side with one row of all loans.
     """
     columns = list(sides.values())
     side, value = F, F
@@ -69,9 +74,10 @@ def per_value(loans: DataFrame, sides: dict[str, str], *metrics: Column) -> Data
         own = F.grouping(column) == 0
         side = side.when(own, F.lit(name))
         value = value.when(own, F.col(column).cast("string"))
+    sets = [[c] for c in columns] + ([[]] if total else [])
     return (
-        loans.groupingSets([[c] for c in columns], *columns)
-        .agg(side.alias("side"), value.alias("value"), *metrics)
+        loans.groupingSets(sets, *columns)
+        .agg(side.otherwise(F.lit(total)).alias("side"), value.alias("value"), *metrics)
         .drop(*columns)
     )
 
@@ -82,3 +88,51 @@ def distinct_counts(loans: DataFrame, columns: dict[str, str]) -> Column:
     return values.agg(
         F.struct(*[F.count_if(F.col("side") == name).alias(name) for name in columns])
     ).scalar()
+
+
+def known_sums() -> dict[str, Column]:
+    """Sums over the loans with a known outcome, for groups of all loans."""
+    is_known = F.col("loan_status").isin(*OUTCOMES)
+    bad = is_known & F.col("is_defaulted")
+
+    def total(column: str, where: Column = is_known) -> Column:
+        return F.sum(F.when(where, F.col(column)))
+
+    return {
+        "loans": F.count_if(is_known),
+        "defaults": F.count_if(bad),
+        "volume": total("gross_approved"),
+        "exposure": total("sba_approved"),
+        "terms": total("term_months"),
+        "guarantees": total("sba_guarantee_pct"),
+        "created": total("jobs_created"),
+        "retained": total("jobs_retained"),
+        "losses": total("chargeoff_amount"),
+        "bad_volume": total("gross_approved", bad),
+    }
+
+
+def by_vintage(clean: DataFrame, sums: Sequence[str], distinct: dict[str, str]) -> DataFrame:
+    """One row per vintage year of all loans, and the latest of those years, from one scan.
+
+    ``sums`` are entries of ``known_sums``. ``distinct`` counts the values of columns among the
+    loans with a known outcome; every row has those counts. Values of the columns are one row
+    per task and value in the shuffle, years and columns one row each after it.
+    """
+    wanted = known_sums()
+    year = F.when(F.col("side") == "year", F.col("value").cast("int"))
+    names = dict.fromkeys(["loans", *sums])
+    rows = per_value(
+        clean, {"year": "vintage_year", **distinct}, *[wanted[n].alias(n) for n in names]
+    )
+    few = rows.groupBy("side", year.alias("vintage_year")).agg(
+        *[F.sum(n).alias(n) for n in names], F.count_if(F.col("loans") > 0).alias("_values")
+    )
+    whole = Window.partitionBy()
+    counts = [
+        F.sum(F.when(F.col("side") == name, F.col("_values"))).over(whole).alias(name)
+        for name in distinct
+    ]
+    return few.select(
+        "*", F.max("vintage_year").over(whole).alias("latest"), *counts
+    ).filter(F.col("side") == "year")

@@ -8,7 +8,8 @@ in those again by narrower ones until an interval is a single value.
 Each step reads the one column again and shuffles only interval counts: at most
 ``widths[i] / widths[i+1]`` per task, group and kept interval, however many rows, distinct or
 equal values there are. Counting per distinct value first would save reading, but shuffle
-nearly every row of a large table.
+nearly every row of a large table. The first step can carry plain sums along, so that a report
+needs no read of its own for them.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MONEY_WIDTHS = (10**10, 10**5, 1)
-INTEGER_WIDTHS = (10**5, 1)
+from loanloom.sources.store import stored
+
+#: Cents: intervals of $100,000, then $1,000, then single values. Three reads.
+MONEY_WIDTHS = (10**7, 10**5, 1)
+#: Intervals of $10,000, then single values: one read less for up to 10^6 counts per interval.
+MONEY_WIDTHS_SHORT = (10**6, 1)
 
 
 def _interval(width: int) -> Column:
@@ -57,7 +62,7 @@ def _narrowed(hist: DataFrame, part: Sequence[str], key: Sequence[str]) -> DataF
     return (
         hist.withColumn("_from", upto - F.col("_n"))
         .select(
-            *key, F.col("_i").alias("_outer"),
+            *key, F.col("_i").alias("_outer"), "_totals",
             F.transform(F.filter("_wants", here), shifted).alias("_wants"),
         )
         .filter(F.size("_wants") > 0)
@@ -72,38 +77,47 @@ def exact_percentiles(
     scale: int = 100,
     widths: Sequence[int] = MONEY_WIDTHS,
     digits: int = 4,
+    parts: dict[str, Column] | None = None,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per group, one output column per entry of ``probs``.
 
-    ``scale`` turns the value into an integer (100 for money with cents); with more than 10^15
-    units ``widths`` needs a wider first entry. The kept intervals, at most two per percentile
-    and group, are broadcast, so ``by`` should be a dimension with few values.
+    ``scale`` turns the value into an integer (100 for money with cents). ``parts`` are
+    aggregates of the rows whose value is not NULL, taken per interval in the first step, and
+    ``totals`` aggregates of those per group, which become further columns.
     """
     key = ["_g"] if by else []
     group = [F.struct(*by).alias("_g")] if by else []
+    parts, totals = parts or {}, totals or {}
     # Exact up to 15 digits; decimal arithmetic would take several times as long.
     units = F.floor(F.col(value).cast("double") * scale + 0.5)
-    values = df.filter(F.col(value).isNotNull()).select(*group, units.alias("_v"))
-    total = F.sum("_n").over(Window.partitionBy(*key))
+    rows = df.filter(F.col(value).isNotNull()).select("*", *group, units.alias("_v"))
+    values = rows.select(*key, "_v")
+    whole = Window.partitionBy(*key)
+    sums = [f.over(whole).alias(n) for n, f in totals.items()]
     hist = (
-        values.groupBy(*key, _interval(widths[0]).alias("_i"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_wants", _wanted(sorted(set(probs.values())), total))
+        rows.groupBy(*key, _interval(widths[0]).alias("_i"))
+        .agg(F.count(F.lit(1)).alias("_n"), *[f.alias(n) for n, f in parts.items() if n != "_n"])
+        .withColumn("_wants", _wanted(sorted(set(probs.values())), F.sum("_n").over(whole)))
+        .withColumn("_totals", F.struct(*sums) if sums else F.lit(None).cast("int"))
     )
     found = _narrowed(hist, key, key)
     for wide, narrow in zip(widths, widths[1:]):
         part = [*key, "_outer"]
-        kept = found.select(*[F.col(c).alias(f"{c}_kept") for c in part], "_wants")
+        kept = found.select(*[F.col(c).alias(f"{c}_kept") for c in part], "_wants", "_totals")
+        # At most two per percentile and group. They serve two joins; stored, they cost one read of
+        # the values, and Spark knows their size when it chooses how to join all values with them.
+        kept = stored(kept, "intervals")
         inside = F.lit(True)
         for c in part:  # a group may have NULLs in its key
             inside = inside & F.col(c).eqNullSafe(F.col(f"{c}_kept"))
         # The ranks join the few interval counts; as part of the key they would be hashed per row.
         hist = (
             values.withColumn("_outer", _interval(wide))
-            .join(F.broadcast(kept), inside, "left_semi")
+            .join(kept, inside, "left_semi")
             .groupBy(*part, _interval(narrow).alias("_i"))
             .agg(F.count(F.lit(1)).alias("_n"))
-            .join(F.broadcast(kept), inside)
+            .join(kept, inside)
         )
         found = _narrowed(hist, part, key)
 
@@ -115,7 +129,10 @@ def exact_percentiles(
             *[
                 F.round(F.sum(F.when(F.col("_want.p") == p, weighted)), digits).alias(name)
                 for name, p in probs.items()
-            ]
+            ],
+            F.first("_totals").alias("_totals"),
         )
     )
-    return points.select(*[F.col(f"_g.{c}").alias(c) for c in by], *probs)
+    return points.select(
+        *[F.col(f"_g.{c}").alias(c) for c in by], *probs, *[F.col(f"_totals.{n}").alias(n) for n in totals]
+    )

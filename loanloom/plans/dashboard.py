@@ -9,17 +9,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loanloom.functions import buckets as B
 from loanloom.functions.dates import as_of_date
 from loanloom.functions.metrics import (
-    default_rate, defaults, distinct_counts, jobs, known, loan_count, loss_given_default, loss_rate,
-    losses, per_value, volume,
+    OUTCOMES, by_vintage, default_rate, defaults, known, known_sums, loan_count, loss_rate, losses,
+    per_value, volume,
 )
 from loanloom.functions.numeric import everything, mean, pct, ratio
-from loanloom.plans.kpis import growth, last_five_years, latest_vintage, month
+from loanloom.plans.kpis import counted, growth, last_five_years, month, summed
 from loanloom.plans.risk import exact_rate
+from loanloom.sources.store import stored
 
 
 # Fixed value: name shown on the snapshot.
 PORTFOLIO_NAME = "SBA 7(a) Loan Portfolio"
 
+# Dimensions of the watch list.
+WATCHED = {"State": "state", "Industry": "industry_sector", "Vintage Year": "vintage_year"}
+
 # Names of the drill-down dimensions and their columns.
 DIMENSIONS = {
     "State": "state",
@@ -34,53 +38,47 @@ DIMENSIONS = {
 
 def executive_summary(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """One row: the portfolio, its risk, the latest vintage and the one before."""
-    loans, latest = known(clean), latest_vintage(clean)
     distinct = {
         "active_lenders": "bank_name",
         "states_with_loans": "state",
         "industries_represented": "industry_sector",
     }
-    counts = distinct_counts(loans, distinct)
-
-    def in_year(years_back: int) -> Column:
-        return F.col("vintage_year") == latest - years_back
-
-    def volume_in(years_back: int) -> Column:
-        return F.sum(F.when(in_year(years_back), F.col("gross_approved")))
-
-    def defaults_in(years_back: int) -> Column:
-        return F.count_if(in_year(years_back) & F.col("is_defaulted"))
+    sums = (
+        "defaults", "volume", "exposure", "terms", "guarantees", "created", "retained", "losses",
+        "bad_volume",
+    )
 
     def rate_in(years_back: int) -> Column:
-        return pct(defaults_in(years_back), F.count_if(in_year(years_back)))
+        return pct(summed("defaults", years_back), summed("loans", years_back))
 
     return (
-        loans.agg(
-            loan_count().alias("total_loans"),
-            volume().alias("total_volume"),
-            F.sum("sba_approved").alias("total_sba_exposure"),
-            mean("gross_approved").alias("avg_loan_size"),
-            mean("term_months", 1).alias("avg_term_months"),
-            mean("sba_guarantee_pct").alias("avg_guarantee_pct"),
-            F.sum("jobs_created").alias("total_jobs_created"),
-            F.sum("jobs_retained").alias("total_jobs_retained"),
-            jobs().alias("total_jobs_impacted"),
-            defaults().alias("total_defaults"),
-            losses().alias("total_chargeoff"),
-            default_rate().alias("default_rate"),
-            loss_rate().alias("loss_rate"),
-            loss_given_default().alias("loss_given_default"),
-            F.count_if(in_year(0)).alias("ytd_loans"),
-            volume_in(0).alias("ytd_volume"),
-            defaults_in(0).alias("ytd_defaults"),
+        by_vintage(clean, sums, distinct)
+        .agg(
+            counted("loans").alias("total_loans"),
+            summed("volume").alias("total_volume"),
+            summed("exposure").alias("total_sba_exposure"),
+            ratio(summed("volume"), summed("loans")).alias("avg_loan_size"),
+            ratio(summed("terms"), summed("loans"), 1).alias("avg_term_months"),
+            ratio(summed("guarantees"), summed("loans")).alias("avg_guarantee_pct"),
+            summed("created").alias("total_jobs_created"),
+            summed("retained").alias("total_jobs_retained"),
+            (summed("created") + summed("retained")).alias("total_jobs_impacted"),
+            counted("defaults").alias("total_defaults"),
+            summed("losses").alias("total_chargeoff"),
+            pct(summed("defaults"), summed("loans")).alias("default_rate"),
+            pct(summed("losses"), summed("volume")).alias("loss_rate"),
+            pct(summed("losses"), summed("bad_volume")).alias("loss_given_default"),
+            counted("loans", 0).alias("ytd_loans"),
+            summed("volume", 0).alias("ytd_volume"),
+            counted("defaults", 0).alias("ytd_defaults"),
             rate_in(0).alias("ytd_default_rate"),
-            F.count_if(in_year(1)).alias("prior_loans"),
-            volume_in(1).alias("prior_volume"),
+            counted("loans", 1).alias("prior_loans"),
+            summed("volume", 1).alias("prior_volume"),
             rate_in(1).alias("prior_default_rate"),
+            *[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in distinct],
         )
         .withColumn("volume_growth_pct", growth("ytd_volume", F.col("prior_volume")))
         .withColumn("default_rate_change", F.col("ytd_default_rate") - F.col("prior_default_rate"))
-        .withColumns({name: counts[name] for name in distinct})
         .withColumn("as_of_date", as_of_date(as_of).cast("timestamp"))
     )
 
@@ -133,8 +131,12 @@ def monthly_trends(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 
 def ytd_comparison(clean: DataFrame) -> DataFrame:
     """Loans and volume per calendar month for the latest vintage and the two before."""
-    latest = latest_vintage(clean)
-    age = latest - F.col("vintage_year")
+    sums = known_sums()
+    months = (
+        clean.groupBy("vintage_year", F.col("vintage_month").alias("month"))
+        .agg(sums["loans"].alias("_loans"), sums["volume"].alias("_volume"))
+        .withColumn("_age", F.max("vintage_year").over(everything()) - F.col("vintage_year"))
+    )
     shown = {0: "cy", 1: "py", 2: "py2"}
     columns = []
     for years_back, prefix in shown.items():
@@ -142,10 +144,7 @@ def ytd_comparison(clean: DataFrame) -> DataFrame:
         columns.append(F.max(F.when(here, F.col("_loans"))).alias(f"{prefix}_loans"))
         columns.append(F.max(F.when(here, F.col("_volume"))).alias(f"{prefix}_volume"))
     return (
-        known(clean)
-        .filter(age <= max(shown))
-        .groupBy(F.col("vintage_month").alias("month"), age.alias("_age"))
-        .agg(loan_count().alias("_loans"), volume().alias("_volume"))
+        months.filter((F.col("_age") <= max(shown)) & (F.col("_loans") > 0))
         .groupBy("month")
         .agg(*columns)
         .withColumn("yoy_loan_change_pct", growth("cy_loans", F.col("py_loans")))
@@ -168,7 +167,11 @@ def segment_totals(clean: DataFrame, dimensions: dict[str, str]) -> DataFrame:
 
 def dimension_drilldown(clean: DataFrame, dimensions: dict[str, str] | None = None) -> DataFrame:
     """The same figures along each of seven dimensions."""
-    return segment_totals(clean, dimensions or DIMENSIONS).select(
+    return _drilldown(segment_totals(clean, dimensions or DIMENSIONS))
+
+
+def _drilldown(totals: DataFrame) -> DataFrame:
+    return totals.select(
         "dimension",
         F.col("value").alias("dimension_value"),
         F.col("total_loans").alias("loans"),
@@ -202,15 +205,21 @@ def comprehensive_rankings(clean: DataFrame, min_loans: int = 500, top_k: int =
 
     The cut goes by the rounded value; ranks go by the exact one.
     """
-    totals = segment_totals(clean, {"State": "state", "Industry": "industry_sector"}).filter(
-        (F.col("dimension") != "Industry") | (F.col("value") != B.UNKNOWN)
+    sides = {"State": "state", "Industry": "industry_sector"}
+    return _rankings(segment_totals(clean, sides), min_loans, top_k)
+
+
+def _rankings(totals: DataFrame, min_loans: int = 500, top_k: int = 10) -> DataFrame:
+    totals = totals.filter(
+        F.col("dimension").isin("State", "Industry")
+        & ((F.col("dimension") != "Industry") | (F.col("value") != B.UNKNOWN))
     )
     state, industry = F.col("dimension") == "State", F.col("dimension") == "Industry"
     enough = F.col("total_loans") >= min_loans
     millions = ratio("volume", F.lit(10**6))
     rate = pct("defaults", "total_loans")
     amount = F.col("volume").cast("double")
-    # (category, rows, shown value, exact value, largest first)
+    # Category names. (category, rows, shown value, exact value, largest first)
     lists = [
         ("Top 10 States by Volume", state, millions, amount, True),
         ("Top 10 Industries by Volume", industry, millions, amount, True),
@@ -248,7 +257,7 @@ def comprehensive_rankings(clean: DataFrame, min_loans: int = 500, top_k: int =
 
 
 def portfolio_snapshot(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """One row for quick reference. Numbers and modes of the dimensions come from one scan."""
+    """One row for quick reference, from one scan: figures of all loans, and modes."""
     loans = known(clean)
     sides = {
         "lender": "bank_name",
@@ -256,28 +265,8 @@ def portfolio_snapshot(clean: DataFrame, as_of: dt.date | None = None) -> DataFr
         "industry": "industry_sector",
         "size": "loan_size_bucket",
     }
-    values = per_value(loans, sides, loan_count().alias("_loans"))
-
-    def on(side: str, value: Column) -> Column:
-        return F.when(F.col("side") == side, value)
-
-    def most_common(side: str) -> Column:
-        # Smallest (-count, value): the most loans, then the first name.
-        first = F.min(on(side, F.struct((-F.col("_loans")).alias("n"), F.col("value"))))
-        return first["value"]
-
-    picked = values.agg(
-        F.struct(
-            F.count(on("lender", F.col("_loans"))).alias("num_lenders"),
-            F.count(on("state", F.col("_loans"))).alias("num_states"),
-            F.count(on("industry", F.col("_loans"))).alias("num_industries"),
-            most_common("size").alias("most_common_size_bucket"),
-            most_common("industry").alias("largest_industry"),
-            most_common("state").alias("largest_state"),
-        )
-    ).scalar()
     billion, million = F.lit(10**9), F.lit(10**6)
-    figures = loans.agg(
+    figures = [
         loan_count().alias("total_loans"),
         ratio(volume(), billion).alias("total_volume_billions"),
         ratio(F.sum("sba_approved"), billion).alias("sba_exposure_billions"),
@@ -293,18 +282,34 @@ def portfolio_snapshot(clean: DataFrame, as_of: dt.date | None = None) -> DataFr
         F.max("approval_date").alias("latest_loan"),
         F.min("vintage_year").alias("first_vintage"),
         F.max("vintage_year").alias("latest_vintage"),
+    ]
+    values = per_value(loans, sides, *figures, total="all")
+
+    def on(side: str, value: Column) -> Column:
+        return F.when(F.col("side") == side, value)
+
+    def most_common(side: str) -> Column:
+        # Smallest (-count, value): the most loans, then the first name.
+        first = F.min(on(side, F.struct((-F.col("total_loans")).alias("n"), F.col("value"))))
+        return first["value"]
+
+    shown = (
+        "total_volume_billions", "sba_exposure_billions", "avg_loan_size", "avg_term_months",
+        "avg_guarantee_pct", "default_rate_pct", "total_chargeoff_millions", "loss_rate_pct",
+        "total_jobs_created", "total_jobs_retained", "earliest_loan", "latest_loan",
+        "first_vintage", "latest_vintage",
     )
-    return figures.select(
+    return values.agg(
         F.lit(PORTFOLIO_NAME).alias("portfolio_name"),
         as_of_date(as_of).alias("snapshot_date"),
-        "*",
-        *[
-            picked[name].alias(name)
-            for name in (
-                "num_lenders", "num_states", "num_industries", "most_common_size_bucket",
-                "largest_industry", "largest_state",
-            )
-        ],
+        F.coalesce(F.max(on("all", F.col("total_loans"))), F.lit(0)).alias("total_loans"),
+        *[F.max(on("all", F.col(name))).alias(name) for name in shown],
+        F.count(on("lender", F.col("total_loans"))).alias("num_lenders"),
+        F.count(on("state", F.col("total_loans"))).alias("num_states"),
+        F.count(on("industry", F.col("total_loans"))).alias("num_industries"),
+        most_common("size").alias("most_common_size_bucket"),
+        most_common("industry").alias("largest_industry"),
+        most_common("state").alias("largest_state"),
     )
 
 
@@ -315,8 +320,14 @@ def risk_watchlist(
 
     ``elevated`` and ``high`` are tenths of the portfolio's rate. Vintages need no minimum.
     """
-    kinds = {"State": "state", "Industry": "industry_sector", "Vintage Year": "vintage_year"}
-    totals = segment_totals(clean, kinds)
+    totals = segment_totals(clean, WATCHED)
+    return _watchlist(totals, min_loans, elevated, high)
+
+
+def _watchlist(
+    totals: DataFrame, min_loans: int = 100, elevated: int = 12, high: int = 15
+) -> DataFrame:
+    totals = totals.filter(F.col("dimension").isin(*WATCHED))
     kind, by_year = F.col("dimension"), F.col("dimension") == "Vintage Year"
 
     def overall(column: str) -> Column:
@@ -349,24 +360,40 @@ def risk_watchlist(
 
 
 def dashboard_counts(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """Rows of each view on this page."""
-    one_row = "1 row by construction"
-    views = {
+    """Rows of each view on this page.
+
+    The sums per dimension, and the counts per month, are stored and serve several views.
+    """
+    totals = stored(segment_totals(clean, DIMENSIONS), "segment_totals")
+    start = F.add_months(as_of_date(as_of), -60)
+    is_known = known_sums()["loans"]
+    recent = F.count_if(F.col("loan_status").isin(*OUTCOMES) & (F.col("approval_date") >= start))
+    months = stored(
+        clean.groupBy(month(), "vintage_year", "vintage_month").agg(
+            is_known.alias("loans"), recent.alias("recent")
+        ),
+        "month_counts",
+    )
+    age = F.max("vintage_year").over(everything()) - F.col("vintage_year")
+    to_date = months.withColumn("_age", age).filter("_age <= 2 AND loans > 0")
+    one_row = F.lit(1).cast("bigint")
+
+    def rows_of(view: DataFrame) -> Column:
+        return view.agg(loan_count()).scalar()
+
+    # Names of the views.
+    counts = {
         "Executive Summary": one_row,
-        "Monthly Trends": monthly_trends(clean, as_of),
-        "YTD Comparison": ytd_comparison(clean),
-        "Dimension Drilldown": dimension_drilldown(clean),
-        "Top Rankings": top_rankings(clean),
-        "Comprehensive Rankings": comprehensive_rankings(clean),
+        "Monthly Trends": rows_of(months.filter("recent > 0").select("month").distinct()),
+        "YTD Comparison": rows_of(to_date.select("vintage_month").distinct()),
+        "Dimension Drilldown": rows_of(_drilldown(totals)),
+        "Top Rankings": rows_of(totals.filter("dimension = 'State'").limit(10)),
+        "Comprehensive Rankings": rows_of(_rankings(totals)),
         "Portfolio Snapshot": one_row,
-        "Risk Watchlist": risk_watchlist(clean),
+        "Risk Watchlist": rows_of(_watchlist(totals)),
     }
-    counts = [
-        F.lit(1).cast("bigint") if view is one_row else view.agg(loan_count()).scalar()
-        for view in views.values()
-    ]
     rows = [
         F.struct(F.lit(name).alias("view_name"), n.alias("record_count"))
-        for name, n in zip(views, counts)
+        for name, n in counts.items()
     ]
     return clean.sparkSession.range(1).select(F.inline(F.array(*rows)))

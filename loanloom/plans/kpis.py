@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loanloom.dimensions import state_regions
 from loanloom.functions import buckets as B
 from loanloom.functions.dates import as_of_date
-from loanloom.functions.metrics import distinct_counts, jobs, known, loan_count, volume
+from loanloom.functions.metrics import by_vintage, jobs, known, loan_count, volume
 from loanloom.functions.numeric import everything, mean, pct, ratio, rounded, share_of
 from loanloom.operators.percentiles import exact_percentiles
 
@@ -34,7 +34,9 @@ def month() -> Column:
 
 
 def last_five_years(loans: DataFrame, as_of: dt.date | None) -> DataFrame:
-    return loans.filter(F.col("approval_date") >= F.add_months(as_of_date(as_of), -60))
+    """Loans approved in the five years before the day; the year alone prunes stored files."""
+    start = F.add_months(as_of_date(as_of), -60)
+    return loans.filter((F.col("approval_date") >= start) & (F.col("vintage_year") >= F.year(start)))
 
 
 def annual_originations(clean: DataFrame) -> DataFrame:
@@ -103,23 +105,22 @@ def quarterly_originations(clean: DataFrame) -> DataFrame:
 def loan_size_by_industry(clean: DataFrame, min_loans: int = 100) -> DataFrame:
     """Size statistics of the larger sectors; shares are of the sectors shown."""
     loans = known(clean).filter(F.col("industry_sector") != B.UNKNOWN)
-    medians = exact_percentiles(
-        loans, "gross_approved", {"median": 0.5}, by=["industry_sector"], digits=6
-    )
-    sectors = (
-        loans.groupBy("industry_sector")
-        .agg(
-            loan_count().alias("loan_count"),
-            mean("gross_approved").alias("avg_loan_size"),
-            F.min("gross_approved").alias("min_loan"),
-            F.max("gross_approved").alias("max_loan"),
-            volume().alias("total_volume"),
-        )
-        .filter(F.col("loan_count") >= min_loans)
-        .withColumn("pct_of_portfolio", share_of("total_volume", everything()))
+    # Per interval of amounts, then per sector.
+    parts = {
+        "_n": loan_count(), "_min": F.min("gross_approved"), "_max": F.max("gross_approved"),
+        "_sum": volume(),
+    }
+    totals = {
+        "loan_count": F.sum("_n"), "min_loan": F.min("_min"), "max_loan": F.max("_max"),
+        "total_volume": F.sum("_sum"),
+    }
+    sectors = exact_percentiles(
+        loans, "gross_approved", {"median": 0.5}, by=["industry_sector"], digits=6, parts=parts, totals=totals
     )
     return (
-        sectors.join(medians, "industry_sector")
+        sectors.filter(F.col("loan_count") >= min_loans)
+        .withColumn("avg_loan_size", ratio("total_volume", "loan_count"))
+        .withColumn("pct_of_portfolio", share_of("total_volume", everything()))
         .select(
             "industry_sector", "loan_count", "avg_loan_size",
             rounded("median", 2).alias("median_loan_size"), "min_loan", "max_loan",
@@ -422,38 +423,39 @@ def lender_concentration(clean: DataFrame, cuts: tuple[int, ...] = (10, 25, 50))
     )
 
 
-def latest_vintage(clean: DataFrame) -> Column:
-    """Largest vintage year of all loans, known outcome or not."""
-    return clean.agg(F.max("vintage_year")).scalar()
+def summed(name: str, years_back: int | None = None) -> Column:
+    """A sum of ``by_vintage`` over all years, or in the latest year or one before it."""
+    if years_back is None:
+        return F.sum(name)
+    here = F.col("vintage_year") == F.col("latest") - years_back
+    return F.sum(F.when(here, F.col(name)))
 
 
-def portfolio_kpi_summary(clean: DataFrame) -> DataFrame:
-    """One row of portfolio figures with the latest vintage and the one before it."""
-    loans, latest = known(clean), latest_vintage(clean)
-    distinct = distinct_counts(loans, {"active_lenders": "bank_name", "states_with_loans": "state"})
+def counted(name: str, years_back: int | None = None) -> Column:
+    return F.coalesce(summed(name, years_back), F.lit(0))
 
-    def in_year(years_back: int) -> Column:
-        return F.col("vintage_year") == latest - years_back
-
-    def volume_in(years_back: int) -> Column:
-        return F.sum(F.when(in_year(years_back), F.col("gross_approved")))
 
+def portfolio_kpi_summary(clean: DataFrame) -> DataFrame:
+    """One row of portfolio figures with the latest vintage and the one before it."""
+    distinct = {"active_lenders": "bank_name", "states_with_loans": "state"}
+    sums = ("volume", "exposure", "terms", "guarantees", "created", "retained")
+    listed = F.when(F.col("loans") > 0, F.col("vintage_year"))
     return (
-        loans.agg(
-            F.max("vintage_year").alias("current_year"),
-            loan_count().alias("total_loans"),
-            volume().alias("total_volume"),
-            F.sum("sba_approved").alias("total_sba_exposure"),
-            mean("gross_approved").alias("avg_loan_size"),
-            mean("term_months", 1).alias("avg_term_months"),
-            mean("sba_guarantee_pct").alias("avg_guarantee_pct"),
-            jobs().alias("total_jobs_impacted"),
-            F.count_if(in_year(0)).alias("ytd_loan_count"),
-            volume_in(0).alias("ytd_volume"),
-            F.count_if(in_year(1)).alias("prior_ytd_count"),
-            volume_in(1).alias("prior_ytd_volume"),
+        by_vintage(clean, sums, distinct)
+        .agg(
+            F.max(listed).alias("current_year"),
+            counted("loans").alias("total_loans"),
+            summed("volume").alias("total_volume"),
+            summed("exposure").alias("total_sba_exposure"),
+            ratio(summed("volume"), summed("loans")).alias("avg_loan_size"),
+            ratio(summed("terms"), summed("loans"), 1).alias("avg_term_months"),
+            ratio(summed("guarantees"), summed("loans")).alias("avg_guarantee_pct"),
+            (summed("created") + summed("retained")).alias("total_jobs_impacted"),
+            counted("loans", 0).alias("ytd_loan_count"),
+            summed("volume", 0).alias("ytd_volume"),
+            counted("loans", 1).alias("prior_ytd_count"),
+            summed("volume", 1).alias("prior_ytd_volume"),
+            *[F.max(name).alias(name) for name in distinct],
         )
         .withColumn("ytd_vs_prior_pct", growth("ytd_volume", F.col("prior_ytd_volume")))
-        .withColumn("active_lenders", distinct["active_lenders"])
-        .withColumn("states_with_loans", distinct["states_with_loans"])
     )

@@ -1,18 +1,21 @@
-"""Data quality of the typed loan table."""
+"""Data quality of the typed loan table.
+
+Fixed values: the labels of checks and verdicts in its reports.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loanloom.dimensions import SECTOR_CODES, state_regions
 from loanloom.functions import buckets as B
 from loanloom.functions.dates import as_of_date
 from loanloom.functions.metrics import OUTCOMES, loan_count
 from loanloom.functions.numeric import everything, mean, pct, ratio, rounded, share_of
-from loanloom.operators.percentiles import INTEGER_WIDTHS, exact_percentiles
+from loanloom.operators.percentiles import MONEY_WIDTHS_SHORT, exact_percentiles
 
 
 PROFILED = (
@@ -51,34 +54,35 @@ def null_profile_wide(
 def amount_distribution(loans: DataFrame) -> DataFrame:
     """Spread of the approved amount, with exact percentiles."""
     probs = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    points = exact_percentiles(loans, "gross_approved", probs)
-    at = points.select(F.struct(*probs)).scalar()
     gross = F.col("gross_approved")
-    return (
-        loans.filter(gross.isNotNull())
-        .agg(
-            loan_count().alias("total_records"),
-            F.min(gross).alias("min_value"),
-            mean(gross).alias("mean"),
-            F.max(gross).alias("max_value"),
-            rounded(F.stddev_samp(gross), 2).alias("std_dev"),
-        )
-        .select(
-            F.lit("Gross Approved Amount").alias("metric"),
-            "total_records",
-            "min_value",
-            *[at[p].alias(p) for p in ("p25", "median")],
-            "mean",
-            *[at[p].alias(p) for p in ("p75", "p95", "p99")],
-            "max_value",
-            "std_dev",
-        )
+    amount = gross.cast("double")
+    parts = {
+        "_n": loan_count(), "_min": F.min(gross), "_max": F.max(gross), "_sum": F.sum(gross),
+        "_mean": F.avg(amount), "_var": F.var_pop(amount),
+    }
+    n, mean_here = F.col("_n"), F.col("_mean")
+    totals = {
+        "total_records": F.sum("_n"), "min_value": F.min("_min"), "max_value": F.max("_max"),
+        "_all": F.sum("_sum"), "_first": F.sum(n * mean_here),
+        "_second": F.sum(n * (F.col("_var") + mean_here * mean_here)),
+    }
+    count = F.col("total_records")
+    spread = F.col("_second") - F.col("_first") * F.col("_first") / count
+    return exact_percentiles(loans, "gross_approved", probs, parts=parts, totals=totals).select(
+        F.lit("Gross Approved Amount").alias("metric"),
+        F.coalesce(count, F.lit(0)).alias("total_records"),
+        "min_value", "p25", "median",
+        ratio("_all", "total_records").alias("mean"),
+        "p75", "p95", "p99", "max_value",
+        rounded(F.sqrt(spread / F.nullif(count - 1, F.lit(0))), 2).alias("std_dev"),
     )
 
 
 def iqr_outliers(loans: DataFrame, reach: float = 1.5) -> DataFrame:
     """Amounts outside the quartiles by more than ``reach`` times their distance."""
-    points = exact_percentiles(loans, "gross_approved", {"q1": 0.25, "q3": 0.75})
+    points = exact_percentiles(
+        loans, "gross_approved", {"q1": 0.25, "q3": 0.75}, widths=MONEY_WIDTHS_SHORT
+    )
     spread = (F.col("q3") - F.col("q1")) * reach
     bounds = points.select(
         F.struct((F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
@@ -103,31 +107,31 @@ def iqr_outliers(loans: DataFrame, reach: float = 1.5) -> DataFrame:
 
 
 def term_outliers(loans: DataFrame, extreme: int = 300) -> DataFrame:
-    """Spread of the terms and how many are extreme or not positive."""
-    median = exact_percentiles(
-        loans, "term_months", {"median": 0.5}, scale=1, widths=INTEGER_WIDTHS
-    ).scalar()
-    term = F.col("term_months")
-    return (
+    """Spread of the terms and how many are extreme or not positive.
+
+    All of it follows from the number of loans per term, a few hundred rows of whole months.
+    """
+    term, n = F.col("term_months"), F.col("_n")
+    upto = F.sum("_n").over(Window.orderBy(term).rowsBetween(Window.unboundedPreceding, 0))
+    middle = (F.sum("_n").over(everything()) - 1) * 0.5
+    terms = (
         loans.filter(term.isNotNull())
-        .agg(
-            loan_count().alias("total_records"),
-            F.min(term).alias("min_term"),
-            mean(term, 1).alias("avg_term"),
-            F.max(term).alias("max_term"),
-            F.count_if(term > extreme).alias("extreme_terms"),
-            F.count_if(term <= 0).alias("invalid_terms"),
-        )
-        .select(
-            F.lit("Loan Term (Months)").alias("metric"),
-            "total_records",
-            "min_term",
-            median.alias("median_term"),
-            "avg_term",
-            "max_term",
-            "extreme_terms",
-            "invalid_terms",
-        )
+        .groupBy(term)
+        .agg(loan_count().alias("_n"))
+        .withColumns({"_upto": upto, "_middle": middle})
+    )
+    lower = F.min(F.when(F.col("_upto") > F.floor("_middle"), term))
+    upper = F.min(F.when(F.col("_upto") > F.ceil("_middle"), term))
+    count = F.coalesce(F.sum("_n"), F.lit(0))
+    return terms.agg(
+        F.lit("Loan Term (Months)").alias("metric"),
+        count.alias("total_records"),
+        F.min(term).alias("min_term"),
+        F.round((lower + upper) / 2.0, 4).alias("median_term"),
+        ratio(F.sum(term * n), F.sum("_n"), 1).alias("avg_term"),
+        F.max(term).alias("max_term"),
+        F.coalesce(F.sum(F.when(term > extreme, n)), F.lit(0)).alias("extreme_terms"),
+        F.coalesce(F.sum(F.when(term <= 0, n)), F.lit(0)).alias("invalid_terms"),
     )
 
 

@@ -1,4 +1,4 @@
-"""The notebook's versions of the reports: over the typed table, amounts not filled with 0."""
+"""Reports over the typed table, with amounts that are missing left missing."""
 
 from __future__ import annotations
 

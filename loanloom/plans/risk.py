@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loanloom.functions import buckets as B
 from loanloom.functions.metrics import (
-    default_exposure, default_rate, defaulted, defaults, known, loan_count, loss_given_default,
+    by_vintage, default_exposure, default_rate, defaulted, defaults, known, loan_count, loss_given_default,
     loss_rate, losses, volume,
 )
 from loanloom.functions.numeric import everything, mean, pct, ratio, share_of
-from loanloom.plans.kpis import latest_vintage, month, named_lenders, with_states
+from loanloom.plans.kpis import counted, month, named_lenders, summed, with_states
 
 RECENT = F.desc_nulls_first
 
@@ -57,7 +57,7 @@ def monthly_default_trend(clean: DataFrame, since: dt.date = dt.date(2010, 1, 1)
     loans, bad = F.sum("total_loans").over(rolling), F.sum("defaults").over(rolling)
     return (
         known(clean)
-        .filter(F.col("approval_date") >= F.lit(since))
+        .filter((F.col("approval_date") >= F.lit(since)) & (F.col("vintage_year") >= since.year))
         .groupBy(month())
         .agg(
             loan_count().alias("total_loans"),
@@ -386,17 +386,16 @@ def expected_loss(clean: DataFrame, min_loans: int = 50, top_k: int = 20) -> Dat
 
 def risk_summary(clean: DataFrame) -> DataFrame:
     """One row of portfolio risk figures, with the defaults of the latest vintage."""
-    newest = F.col("vintage_year") == latest_vintage(clean)
-    newest_bad = F.count_if(newest & F.col("is_defaulted"))
-    return known(clean).agg(
-        loan_count().alias("total_loans"),
-        defaults().alias("total_defaults"),
-        volume().alias("total_exposure"),
-        F.sum("sba_approved").alias("total_sba_exposure"),
-        losses().alias("total_loss"),
-        default_rate().alias("portfolio_default_rate"),
-        loss_rate().alias("portfolio_loss_rate"),
-        loss_given_default().alias("portfolio_lgd"),
-        newest_bad.alias("ytd_defaults"),
-        pct(newest_bad, F.count_if(newest)).alias("ytd_default_rate"),
+    sums = ("defaults", "volume", "exposure", "losses", "bad_volume")
+    return by_vintage(clean, sums, {}).agg(
+        counted("loans").alias("total_loans"),
+        counted("defaults").alias("total_defaults"),
+        summed("volume").alias("total_exposure"),
+        summed("exposure").alias("total_sba_exposure"),
+        summed("losses").alias("total_loss"),
+        pct(summed("defaults"), summed("loans")).alias("portfolio_default_rate"),
+        pct(summed("losses"), summed("volume")).alias("portfolio_loss_rate"),
+        pct(summed("losses"), summed("bad_volume")).alias("portfolio_lgd"),
+        counted("defaults", 0).alias("ytd_defaults"),
+        pct(summed("defaults", 0), summed("loans", 0)).alias("ytd_default_rate"),
     )

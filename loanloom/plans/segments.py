@@ -12,6 +12,7 @@ from loanloom.functions.numeric import everything, mean, pct, ratio, share_of
 from loanloom.plans.cohort import compared
 from loanloom.plans.kpis import NO_LENDER, named_lenders, with_states
 from loanloom.plans.risk import exact_rate, minus_mean
+from loanloom.sources.store import stored
 
 LENDER = ["bank_name", "bank_state"]
 
@@ -232,9 +233,10 @@ def lender_ranking(clean: DataFrame, min_loans: int = 100, top_k: int = 50) -> D
 
     No window runs over all lenders. Rounded rates take at most 10,001 values, so counting
     lenders per rate gives every rank. Quartiles break ties by volume, largest first: whoever
-    precedes a shown lender within its rate is larger and therefore shown too.
+    precedes a shown lender within its rate is larger and therefore shown too. Lenders are
+    summed once and stored, one row each.
     """
-    lenders = lenders_served(clean).filter(F.col("total_loans") >= min_loans)
+    lenders = stored(lenders_served(clean).filter(F.col("total_loans") >= min_loans), "lenders")
     below = Window.orderBy("default_rate").rowsBetween(Window.unboundedPreceding, -1)
     rates = (
         lenders.groupBy("default_rate")
@@ -303,16 +305,20 @@ def lender_vs_state(
 
 
 def lender_specialisation(clean: DataFrame, min_loans: int = 20, top_k: int = 20) -> DataFrame:
-    """Sectors of the largest lenders, as shares of each lender's known sectors."""
+    """Sectors of the largest lenders, as shares of each lender's known sectors.
+
+    Lenders and sectors are summed once and stored, one row per pair.
+    """
     lender = Window.partitionBy("bank_name")
-    pairs = (
+    pairs = stored(
         named_lenders(clean)
         .groupBy("bank_name", "industry_sector")
         .agg(
             loan_count().alias("loans_in_industry"),
             default_rate().alias("industry_default_rate"),
             volume().alias("_volume"),
-        )
+        ),
+        "lender_sectors",
     )
     top = (
         pairs.groupBy("bank_name")

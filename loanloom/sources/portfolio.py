@@ -1,43 +1,69 @@
-"""The two tables the queries read, stored once per application."""
+"""The two tables the queries read, each stored on first use."""
 
 from __future__ import annotations
 
 import datetime as dt
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loanloom.operators.clean import clean
 from loanloom.sources.star_mapping import loans_from_orders, staging_from_orders
-from loanloom.sources.store import stored
+from loanloom.sources.store import input_state, stored
 
+INPUTS = ("orders", "customer", "supplier", "lineitem")
 
-class Portfolio(NamedTuple):
-    loans: DataFrame
-    clean: DataFrame
+
+class Portfolio:
+    """The typed loans and their clean form, so filters and columns reach the files.
+
+    The clean table is stored by vintage year: reports over a range of years open only those.
+    """
+
+    def __init__(self, make: Callable[[], DataFrame], as_of: dt.date | None = None):
+        self._make, self._as_of = make, as_of
+
+    @cached_property
+    def loans(self) -> DataFrame:
+        return stored(self._make(), "loans")
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return stored(clean(self.loans, self._as_of), "clean_loans", "vintage_year")
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.loans, self.clean))
+
+
+def portfolio_of(loans: DataFrame, as_of: dt.date | None = None) -> Portfolio:
+    return Portfolio(lambda: loans, as_of)
 
 
 _stored: dict[tuple, Portfolio] = {}
 _staged: dict[tuple, DataFrame] = {}
 
 
-def portfolio_of(loans: DataFrame, as_of: dt.date | None = None) -> Portfolio:
-    """Store the typed loans and their clean form, so filters and columns reach the files."""
-    raw = stored(loans, "loans")
-    return Portfolio(raw, stored(clean(raw, as_of), "clean_loans"))
+def _input(spark: SparkSession, sf_dir: str) -> tuple:
+    """Where the tables of this application come from; changed files make another input."""
+    return (
+        spark.sparkContext.applicationId,
+        sf_dir,
+        input_state(spark, [f"{sf_dir}/{name}.parquet" for name in INPUTS]),
+    )
 
 
 def star_portfolio(spark: SparkSession, sf_dir: str, as_of: dt.date | None = None) -> Portfolio:
     """The portfolio of a directory of order tables; built on first use in this application."""
-    key = (spark.sparkContext.applicationId, sf_dir, as_of)
+    key = (*_input(spark, sf_dir), as_of)
     if key not in _stored:
-        _stored[key] = portfolio_of(loans_from_orders(spark, sf_dir), as_of)
+        _stored[key] = Portfolio(lambda: loans_from_orders(spark, sf_dir), as_of)
     return _stored[key]
 
 
 def star_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw text rows of a directory of order tables; stored on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _input(spark, sf_dir)
     if key not in _staged:
         _staged[key] = stored(staging_from_orders(spark, sf_dir), "staging")
     return _staged[key]

@@ -8,31 +8,66 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _local_dir() -> str:
+    """One temporary folder for a local run."""
+    return tempfile.mkdtemp(prefix="loanloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared directory for derived tables."""
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="loanloom-")
+        return _local_dir()
     raise ValueError(f"set {CHECKPOINT_SETTING} to a directory all executors can reach")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared directory."""
+    return f"{shared_dir(spark)}/loanloom/{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path no earlier run has used."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/loanloom/{app}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
 
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write the frame once as Parquet and read it back with the same schema.
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame once as Parquet and read it back with the same schema."""
+    With ``partition_by``, filters on that column choose files; the rebalance gives each value
+    few files, and large values several.
+    """
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if partition_by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def remove_stored(spark: SparkSession) -> bool:
+    """Delete what this application has stored; frames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def input_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files below the paths, to notice that an input has changed."""
+    found = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in files.listStatus(path):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))

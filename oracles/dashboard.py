@@ -17,6 +17,7 @@ _YEAR_CTES = f"""
     py AS {grouped('', '(SELECT * FROM known, latest WHERE vintage_year = y - 1)')}"""
 
 
+# Names of dimensions.
 _DIMENSIONS = {
     "State": "state", "Industry": "industry_sector", "Loan Size": "loan_size_bucket",
     "Business Type": "business_type", "Term Category": "term_category",
@@ -38,6 +39,7 @@ _MONTHLY = f"""
       FROM {grouped('mon', RECENT)}
       WINDOW w AS (ORDER BY mon), q AS (ORDER BY mon ROWS 2 PRECEDING), y AS (ORDER BY mon ROWS 11 PRECEDING))"""
 
+# Names of the lists, and of the views below.
 _LISTS = f"""
     , s AS (SELECT state, n, vol, {pct_int('bad', 'n')} AS r, bad::DOUBLE / n AS x FROM {grouped('state')}),
     i AS (SELECT industry_sector, n, vol, {pct_int('bad', 'n')} AS r, bad::DOUBLE / n AS x FROM {grouped('industry_sector')}

@@ -24,6 +24,7 @@ def _point(p: float, digits: int = 4) -> str:
 # Loans that are booked twice: the test table for duplicates.
 TWICE = "(SELECT * FROM loans UNION ALL SELECT * FROM loans WHERE k % 28 = 0)"
 
+# Names of the checks, and labels of verdicts below.
 _VALID = {
     "pct_with_loan_id": "loan_id IS NOT NULL",
     "pct_valid_state": "length(state) = 2",

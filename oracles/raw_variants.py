@@ -1,4 +1,7 @@
-"""Check queries for the notebook's versions, over the typed table."""
+"""Check queries for the reports over the typed table.
+
+Fixed values: the labels of periods, sizes and columns.
+"""
 
 from oracles.base import (
     JUMBO, SEASON, SIZES, avg, avg_usd, day, half_up, months, pct, pct_int, scaled, sql, steps, usd,

@@ -8,6 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from loanloom.dimensions import NAICS_ROWS, SECTOR_CODES, STATE_ROWS
 from loanloom.functions import buckets as B
 from loanloom.functions import parsing as P
 from loanloom.functions.dates import whole_months, years_seasoned
@@ -151,3 +152,23 @@ def test_ratio_is_exact(spark):
 def test_rounded_double(spark):
     got = spark.sql("select 1.005D x union all select 2.675D").select(rounded("x", 2)).collect()
     assert sorted(str(r[0]) for r in got) == ["1.01", "2.68"]
+
+
+def test_lookup_tables_hold_what_is_expected():
+    """Counts, and rows of each region and of some sectors, stated here apart from the tables."""
+    assert len(NAICS_ROWS) == 24 and len(STATE_ROWS) == 54
+    sectors = {r[0]: r[1] for r in NAICS_ROWS}
+    assert len(sectors) == 24 and set(sectors) == set(SECTOR_CODES)
+    assert sectors["72"] == "Accommodation and Food Services" and sectors["23"] == "Construction"
+    assert sectors["31"] == sectors["32"] == sectors["33"] == "Manufacturing"
+    states = {r[0]: r[1:] for r in STATE_ROWS}
+    assert len(states) == 54
+    known = {
+        "CA": ("California", "West"), "TX": ("Texas", "South"), "NY": ("New York", "Northeast"),
+        "OH": ("Ohio", "Midwest"), "WA": ("Washington", "West"), "FL": ("Florida", "South"),
+    }
+    for code, (name, region) in known.items():
+        assert states[code][0] == name and states[code][1] == region
+    regions = {region for _, region, _ in states.values()}
+    assert {"West", "South", "Northeast", "Midwest"} <= regions
+    assert all(len(code) == 2 and name and division for code, (name, _, division) in states.items())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loanloom.operators.clean import clean
 from loanloom.operators.numbering import numbered
-from loanloom.operators.percentiles import INTEGER_WIDTHS, exact_percentiles
+from loanloom.operators.percentiles import MONEY_WIDTHS_SHORT, exact_percentiles
 from loanloom.plans import quality
 from loanloom.schemas import LOANS, STAGING_COLUMNS, schema_report
 from loanloom.sources import ingest
@@ -37,11 +37,27 @@ def test_percentiles_match_numpy(spark):
     assert one.p50 == pytest.approx(np.quantile(vals, 0.5), abs=1e-3)
 
 
+def test_percentiles_of_many_groups_with_totals(spark):
+    df = spark.range(30_000).select(
+        (F.col("id") % 3000).alias("g"), (F.col("id") * 7919 % 1_000_003 / 100).cast("decimal(15,2)").alias("v")
+    )
+    parts, totals = {"_n": F.count("v"), "_most": F.max("v")}, {"n": F.sum("_n"), "most": F.max("_most")}
+    got = exact_percentiles(df, "v", {"p": 0.5, "q": 0.9}, by=["g"], parts=parts, totals=totals).collect()
+    assert len(got) == 3000
+    values = {}
+    for i in range(30_000):
+        values.setdefault(i % 3000, []).append(i * 7919 % 1_000_003 / 100)
+    for r in got:
+        assert r.p == pytest.approx(np.quantile(values[r.g], 0.5), abs=1e-3)
+        assert r.q == pytest.approx(np.quantile(values[r.g], 0.9), abs=1e-3)
+        assert (r.n, float(r.most)) == (10, pytest.approx(max(values[r.g])))
+
+
 def test_percentiles_of_integers_and_nothing(spark):
     df = spark.range(1, 12).withColumn("id", F.col("id").cast("int"))
-    half = exact_percentiles(df, "id", {"m": 0.5, "q": 0.25}, scale=1, widths=INTEGER_WIDTHS)
+    half = exact_percentiles(df, "id", {"m": 0.5, "q": 0.25}, scale=1, widths=MONEY_WIDTHS_SHORT)
     assert tuple(half.collect()[0]) == (6.0, 3.5)
-    empty = exact_percentiles(df.filter("id > 99"), "id", {"m": 0.5}, scale=1, widths=INTEGER_WIDTHS)
+    empty = exact_percentiles(df.filter("id > 99"), "id", {"m": 0.5}, scale=1, widths=MONEY_WIDTHS_SHORT)
     assert [r.m for r in empty.collect()] == [None]
 
 
