@@ -247,16 +247,16 @@ def _search(nodes: DataFrame, dim: int, total: int, least: float, recall: float,
         .select("cell", F.ceil(F.col("h") / HOMES_BLOCK).alias("hs"), F.ceil(F.col("v") / VISITORS_BLOCK).alias("vs"))
     )
     cells = stored(cells, "cells")
-    deal = F.abs(F.hash("node"))
+    deal = F.hash("node")
     homes = placed.join(cells, placed.home == cells.cell).select(
-        "cell", (deal % F.col("hs")).alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)).alias("vb"),
+        "cell", F.pmod(deal, F.col("hs")).alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)).alias("vb"),
         "node", "n", "raw", "home", "visits",
     )
     visitors = (
         placed.select("node", "n", "raw", "home", F.explode("visits").alias("cell"))
         .join(cells, "cell")
         .select(
-            "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hs") - 1)).alias("hb"), (deal % F.col("vs")).alias("vb"),
+            "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hs") - 1)).alias("hb"), F.pmod(deal, F.col("vs")).alias("vb"),
             "node", "n", "raw", "home", F.lit(None).cast("array<long>").alias("visits"),
         )
     )
