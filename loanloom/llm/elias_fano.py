@@ -103,18 +103,24 @@ class WordEncoder:
     Words between white space are encoded by the library once and kept in a bounded table.
     """
 
-    #: The contractions and classes by which the tokenizer splits; fixed values.
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    PLAIN = re.compile(r"[!-~]+")
+    #: The contractions and classes by which the tokenizer splits; fixed values. They are used
+    #: only for words of ASCII signs and the letters of Latin-1 and Latin Extended-A that have no
+    #: parts to compose and one lower-case form, for which the classes are easy to write down.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿĀ-ſ]+|[0-9]|[^a-zß-öø-ÿĀ-ſ0-9]+")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿĀ-įıĲ-ňŊ-ž]+")
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.lib = Tokenizer.from_str(definition)
         top = max(self.lib.get_vocab(with_added_tokens=True).values())
         self.width = 2 if top < 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.parts: dict[str, bytes] = {}
+        #: The signs in which the tokenizer writes the bytes of letters beyond ASCII.
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.signs = {c: bytes_of(chr(c))[0][0] for c in range(0xDF, 0x180)}
         self.marked = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.splits = self._splits_as_known()
         outer = self
@@ -132,7 +138,7 @@ class WordEncoder:
 
     def _splits_as_known(self) -> bool:
         """Whether lower case, the split above and the plain model are what the library does."""
-        probe = "It's 12 o'clock, We'LL x-1!! A_b 'Tis don't"
+        probe = "It's 12 o'clock, We'LL x-1!! A_b 'Tis don't Élan naïve ÇA!Œuvre STRAßE ñŽ'sı"
         known = b"".join(self._plain(w) for w in probe.split())
         return known == self._by_library(probe)
 
@@ -146,7 +152,8 @@ class WordEncoder:
             if known is None:
                 if len(self.parts) >= KEPT_WORDS:
                     self.parts.clear()
-                ids = [t.id for t in self.lib.model.tokenize(part)]
+                written = part if part.isascii() else part.translate(self.signs)
+                ids = [t.id for t in self.lib.model.tokenize(written)]
                 known = np.array(ids, self.kind).tobytes()
                 if len(part) <= KEPT_LENGTH:
                     self.parts[part] = known
