@@ -46,8 +46,8 @@ def loans_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed loan table.
 
     Lines are summed per order before the join. The lender is the supplier with the least key
-    among the lines; every fifth order has one of the first eight, so that some lenders are
-    large. Lenders are as many as suppliers, so Spark picks the join by their size.
+    among the lines; every fifth order, and one without lines, has one of the first eight, so
+    that some lenders are large. Lenders are as many as suppliers, so Spark picks the join by their size.
     """
     k = F.col("o_orderkey")
     lines = (
@@ -61,7 +61,9 @@ def loans_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     lenders = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    lender = F.when(k % 5 == 0, F.col("first_supplier") % 8).otherwise(F.col("first_supplier"))
+    first = F.col("first_supplier")
+    few = (k % 5 == 0) | first.isNull()
+    lender = F.when(few, F.coalesce(first, k) % 8).otherwise(first)
     joined = (
         _table(spark, sf_dir, "orders")
         .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")

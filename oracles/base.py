@@ -118,7 +118,7 @@ seed AS (
   FROM orders
   LEFT JOIN customer ON c_custkey = o_custkey
   LEFT JOIN shipped ON key = o_orderkey
-  LEFT JOIN supplier ON s_suppkey = if(o_orderkey % 5 = 0, supp % 8, supp)
+  LEFT JOIN supplier ON s_suppkey = if(o_orderkey % 5 = 0 OR supp IS NULL, coalesce(supp, o_orderkey) % 8, supp)
 ),
 loans AS (
   SELECT k, printf('SBA-%08d', k) AS loan_id,

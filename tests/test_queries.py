@@ -49,6 +49,9 @@ MOVES_ROWS = {
     "assign_loan_id", "import_loans", "check_unique", "duplicate_ids", "potential_duplicates",
     "sample_loans", "write_loans", "incremental_load", "loan_size_by_industry",
 }
+# Distinct states and sectors per lender: a row per task, lender and state or sector. Lenders are
+# as many as suppliers, so these are more than a third of the few loans here, but fewer than loans.
+COUNTS_PAIRS = {"lender_summary"}
 UNWANTED = (
     "CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas",
 )
@@ -63,7 +66,7 @@ def test_query(spark, duck, clean, name):
     assert not has_window_over_rows(df)
     columns = sorted(df.columns)
     rows, _, shuffled = run(spark, df)
-    assert name in MOVES_ROWS or shuffled < 15_000 / 3
+    assert name in MOVES_ROWS or shuffled < (15_000 if name in COUNTS_PAIRS else 15_000 / 3)
     got = [tuple(r[c] for c in columns) for r in rows]
     result = duck.execute(ORACLES[name])
     types = {d[0]: str(d[1]) for d in result.description}
