@@ -110,6 +110,62 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embeddings": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+              ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.95
+        ), reached AS (
+            SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+        ), least AS (
+            SELECT a, min(b) AS b FROM reached GROUP BY a
+        ), counted AS (
+            SELECT a, count(*) AS n FROM links GROUP BY a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+               least(vec_id, coalesce(least.b, vec_id)) = vec_id AS kept
+        FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a
+    """,
+    "op9_decontamination": r"""
+        WITH items AS (
+            SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k
+            FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark)
+            WHERE len(w) > 0
+        ), bags AS (
+            SELECT item_id, n, k, said, count(*) AS wanted
+            FROM (SELECT item_id, n, k, array_to_string(w[s : s + k - 1], ' ') AS said
+                  FROM (SELECT *, unnest(range(1, n - k + 2)) AS s FROM items))
+            GROUP BY ALL
+        ), docs AS (
+            SELECT doc_id, w, len(w) AS size
+            FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents)
+        ), places AS (
+            SELECT doc_id, size, k, s, array_to_string(w[s + 1 : s + k], ' ') AS said
+            FROM (SELECT docs.*, k, unnest(range(0, size - k + 1)) AS s
+                  FROM docs JOIN (SELECT DISTINCT k FROM items) ON size >= k)
+        ), hits AS (
+            SELECT doc_id, size, item_id, n, bags.k, s, said, wanted FROM places JOIN bags USING (k, said)
+        ), windows AS (
+            SELECT doc_id, item_id, n, size, k, said, wanted,
+                   unnest(if(size < n, [0], range(greatest(0, s - n + k), least(s, size - n) + 1))) AS start
+            FROM hits
+        ), shared AS (
+            SELECT doc_id, item_id, n, size, k, start, sum(least(found, wanted)) AS common
+            FROM (SELECT doc_id, item_id, n, size, k, start, said, wanted, count(*) AS found FROM windows GROUP BY ALL)
+            GROUP BY ALL
+        ), alike AS (
+            SELECT doc_id, item_id, start,
+                   common::DOUBLE / ((n - k + 1) + (least(n, size) - k + 1) - common)::DOUBLE AS similarity
+            FROM shared
+        )
+        SELECT doc_id, item_id, similarity, start FROM alike WHERE similarity >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+    """,
     "op5_substrings": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
