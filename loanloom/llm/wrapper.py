@@ -78,8 +78,12 @@ SIDE_WORDS = frozenset(
 )
 CONTENT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption article main".split())
 
+#: A comment, a tag (its end may be missing before the next one or the end of the page; a quote
+#: without its partner is an ordinary sign), or another declaration.
 _TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?",
+    r"<!--.*?(?:--!?>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'])*+)>?"
+    r"|<[!?/][^>]*>?",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -140,6 +144,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     blocks: list[Block] = []
     # open elements: (tag, node, no content, within article or main, in a link)
     stack: list[tuple[str, Node, bool, str, bool]] = [("#root", root, False, "", False)]
+    opened: dict[str, int] = {}
     block: Block | None = None
     at, n = 0, len(page)
     silent = ""
@@ -165,11 +170,11 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if start > at and not silent:
             add(page[at:start])
         at = m.end()
-        tag = m.group(2) or m.group(5)
+        tag = m.group(2)
         if tag is None:
             continue
         tag = tag.lower()
-        closing = m.group(1) or m.group(4)
+        closing = m.group(1)
         if silent:
             if tag == silent:
                 depth += -1 if closing else 1
@@ -179,10 +184,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if closing:
             if tag in BLOCK:
                 block = None
-            if any(e[0] == tag for e in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if opened.get(tag):
+                while opened[tag] and stack[-1][0] != tag:
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -190,7 +195,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             if end:
                 at = page.find(">", at) + 1 or n
             continue
-        attributes = m.group(3) or m.group(6) or ""
+        attributes = m.group(3)
         if tag in SILENT:
             if not attributes.endswith("/"):
                 silent, depth = tag, 1
@@ -200,9 +205,9 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if tag in VOID:
             continue
         if tag in CLOSES_P:
-            _end(stack, ("p",), ("article", "main", "section", "div", "td", "th", "li", "body", "button"))
+            _end(stack, opened, ("p",), ("article", "main", "section", "div", "td", "th", "li", "body", "button"))
         if tag in ENDS:
-            _end(stack, *ENDS[tag])
+            _end(stack, opened, *ENDS[tag])
         label, side, header = _kind(tag, attributes)
         _, above, was_side, inside, link = stack[-1]
         if tag in ("article", "main") and inside != "article":
@@ -215,6 +220,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         side = was_side or side or (header and not inside)
         if not attributes.endswith("/") or tag in BLOCK:
             stack.append((tag, node, side, inside, link or tag == "a"))
+            opened[tag] = opened.get(tag, 0) + 1
     if at < n and not silent:
         add(page[at:])
     for b in blocks:
@@ -222,12 +228,16 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     return root, [b for b in blocks if b.text]
 
 
-def _end(stack: list, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+def _end(stack: list, opened: dict[str, int], tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
     """Close open elements of the given tags, the last ones first."""
+    if not any(opened.get(t) for t in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i][0] in stop:
             return
         if stack[i][0] in tags:
+            for e in stack[i:]:
+                opened[e[0]] -= 1
             del stack[i:]
             if len(tags) == 1:
                 return
