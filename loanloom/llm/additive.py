@@ -176,24 +176,33 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Additive:
         return np.bincount(bins[j] * shape[1] + bins[k], values, shape[0] * shape[1]).reshape(shape)
 
     p = sigmoid(z)
-    ranked = sorted(
-        ((-_quarters(grid(j, k, weight * (y - p)), grid(j, k, weight * p * (1 - p)))[0], j, k) for j, k in combinations(range(width), 2))
-    )
+
+    def quarters(j, k, p):
+        return _quarters(grid(j, k, weight * (y - p)), grid(j, k, weight * p * (1 - p)))
+
+    ranked = sorted((-quarters(j, k, p)[0], j, k) for j, k in combinations(range(width), 2))
     chosen = [(j, k) for _, j, k in ranked[:PAIRS]]
     tables = {c: np.zeros_like(grid(*c, weight)) for c in chosen}
     for _ in range(PAIR_ROUNDS):
         for j, k in chosen:
-            p = sigmoid(z)
-            step = RATE * _quarters(grid(j, k, weight * (y - p)), grid(j, k, weight * p * (1 - p)))[1]
+            step = RATE * quarters(j, k, sigmoid(z))[1]
             tables[j, k] += step
             z += step[bins[j], bins[k]]
     model.pairs = [(j, k, tables[j, k]) for j, k in chosen]
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Additive:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    key: str = "doc_id",
+    text: str = "text",
+    per_class: int = PER_CLASS,
+) -> Additive:
     """Train on about per_class documents of each label; only their features reach the driver."""
-    totals = {r[0]: r[1] for r in labels.where(F.col(label).isNotNull()).groupBy((F.col(label) != 0).cast("int")).count().collect()}
+    known = labels.where(F.col(label).isNotNull()).groupBy((F.col(label) != 0).cast("int").alias("y"))
+    totals = {r[0]: r[1] for r in known.count().collect()}
     chosen = balanced_sample(labels, label, key, per_class)
     sample = (
         id_and_text(docs, key, text)

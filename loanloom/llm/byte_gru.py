@@ -69,9 +69,17 @@ class ByteGru:
         def w(*shape):
             return (draw.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-        weights = {"embed": w(256, EMBEDDING) * 4, "out": w(2 * UNITS, len(languages)), "out_b": np.zeros(len(languages), np.float32)}
+        weights = {
+            "embed": w(256, EMBEDDING) * 4,
+            "out": w(2 * UNITS, len(languages)),
+            "out_b": np.zeros(len(languages), np.float32),
+        }
         for d in "fb":
-            weights |= {f"{d}_x": w(EMBEDDING, 3 * UNITS), f"{d}_h": w(UNITS, 3 * UNITS), f"{d}_b": np.zeros(3 * UNITS, np.float32)}
+            weights |= {
+                f"{d}_x": w(EMBEDDING, 3 * UNITS),
+                f"{d}_h": w(UNITS, 3 * UNITS),
+                f"{d}_b": np.zeros(3 * UNITS, np.float32),
+            }
         return cls(languages, weights)
 
     def _direction(self, d: str, steps: np.ndarray, mask: np.ndarray, keep: bool):
@@ -111,7 +119,9 @@ class ByteGru:
         p /= p.sum(axis=2, keepdims=True)
         return p, mask, both, tapes
 
-    def gradients(self, data: np.ndarray, lengths: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(
+        self, data: np.ndarray, lengths: np.ndarray, label: np.ndarray
+    ) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over positions and its gradients, by backpropagation through time."""
         p, mask, both, tapes = self.forward(data, lengths, True)
         count = mask.sum()
@@ -144,7 +154,9 @@ class ByteGru:
             grads["embed"] += g_in @ w[f"{d}_x"].T
         return loss, grads
 
-    def train(self, words: list[bytes], label: np.ndarray, steps: int = STEPS, rate: float = 0.01, seed: int = 3) -> None:
+    def train(
+        self, words: list[bytes], label: np.ndarray, steps: int = STEPS, rate: float = 0.01, seed: int = 3
+    ) -> None:
         """Adam over batches of words of about equal length."""
         data, lengths = as_matrix(words)
         by_length = np.argsort(lengths, kind="stable")
@@ -210,7 +222,13 @@ class Labeller:
         return names, scores
 
 
-def fit(labelled: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> ByteGru:
+def fit(
+    labelled: DataFrame,
+    label: str = "lang",
+    key: str = "doc_id",
+    text: str = "text",
+    per_class: int = PER_CLASS,
+) -> ByteGru:
     """Train on the rows given, of which about per_class of each language are used."""
     chosen = balanced_sample(labelled.where(F.col(text).isNotNull()), label, key, per_class)
     chosen = chosen.withColumnRenamed(label, "language")

@@ -57,7 +57,9 @@ class Paths:
             return
         places = np.arange(n - ANCHOR + 1)
         runs = self.hash(places, places + ANCHOR)
-        least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
+        views = np.lib.stride_tricks.sliding_window_view(runs, width)
+        # in parts, since argmin copies what it looks at
+        least = np.concatenate([views[i : i + 65536].argmin(axis=1) for i in range(0, len(views), 65536)])
         document = np.repeat(np.arange(len(documents)), sizes)
         starts = np.arange(n - length + 1)
         starts = starts[document[starts] == document[starts + length - 1]]
@@ -132,7 +134,13 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
         found = Paths(_words(piece.column(2).to_pylist()), length)
         pick = pa.array(found.document)
         yield pa.RecordBatch.from_arrays(
-            [_signed(found.anchor), _signed(found.span), piece.column(0).take(pick), piece.column(1).take(pick), pa.array(found.places())],
+            [
+                _signed(found.anchor),
+                _signed(found.span),
+                piece.column(0).take(pick),
+                piece.column(1).take(pick),
+                pa.array(found.places()),
+            ],
             names=["anchor", "span", "doc", "tie", "at"],
         )
 
@@ -144,7 +152,9 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     rows = stored(_rows(keyed, paths, path).join(repeated, "anchor", "left_semi"), "repeated_paths")
 
     variants = stored(
-        rows.groupBy("anchor", "span").agg(F.min(F.struct("doc", "tie", "at")).alias("first"), F.count("*").alias("n")),
+        rows.groupBy("anchor", "span").agg(
+            F.min(F.struct("doc", "tie", "at")).alias("first"), F.count("*").alias("n")
+        ),
         "variants",
     )
     later = (
@@ -194,7 +204,9 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
         .mapInArrow(windows, "anchor long, window long, doc long, tie long, start long"),
         "windows",
     )
-    firsts = cut.groupBy("anchor", "window").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("n"))
+    firsts = cut.groupBy("anchor", "window").agg(
+        F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("n")
+    )
     repeats = (
         cut.join(firsts.where("n > 1").select("anchor", "window", "first"), ["anchor", "window"])
         .where(F.struct("doc", "tie", "start") != F.col("first"))
@@ -251,9 +263,8 @@ def drop_repeats(
                         columns["kept"].append(joined.decode("utf-8", "surrogatepass"))
                     if "removed" in columns:
                         edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                        columns["removed"].append(
-                            [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
-                        )
+                        runs = zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)
+                        columns["removed"].append([{"start": int(a), "end": int(b)} for a, b in runs])
                 arrays = [pa.array(v, _ARROW[o]) for o, v in columns.items()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *arrays], names=[key, *columns])
 
@@ -263,14 +274,20 @@ def drop_repeats(
     return result.withColumn(key, F.when(F.col(key) != NULL_ID, F.col(key)))
 
 
-def without_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    length: int = 20,
+    key: str = "doc_id",
+    text: str = "text",
+    chars: str | None = "n_chars",
+) -> DataFrame:
     """The rows with all their columns, repeats removed from the text.
 
     Texts that lose nothing stay as they are; of others the words left are joined by one space,
     which may leave an empty text. A column of the number of characters follows.
     """
     keyed = _keyed(docs, key, text)
-    spans = repeated_spans(keyed, length).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(keyed, length).toDF("_doc", "_tie", "_spans")
     unique = keyed.where("tie <> 0").isEmpty()
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -297,7 +314,8 @@ def without_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text
 
     result = rows.select(*columns, "_spans").mapInArrow(clean, docs.schema)
     if chars in columns:
-        result = result.withColumn(chars, F.when(F.col(chars).isNotNull(), F.length(text)).cast(docs.schema[chars].dataType))
+        counted = F.when(F.col(chars).isNotNull(), F.length(text))
+        result = result.withColumn(chars, counted.cast(docs.schema[chars].dataType))
     return result
 
 

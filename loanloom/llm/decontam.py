@@ -221,7 +221,7 @@ def leaks(
         parts = [docs.sparkSession.createDataFrame([], schema)]
     found = reduce(DataFrame.union, parts).select(key, F.explode("hits").alias("hit"))
     return found.select(
-        key, F.col("hit.item").alias("item_id"), F.col("hit.similarity").alias("similarity"), F.col("hit.start").alias("start")
+        key, F.col("hit.item").alias("item_id"), "hit.similarity", "hit.start"
     )
 
 

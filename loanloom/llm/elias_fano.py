@@ -240,13 +240,18 @@ def write_token_files(
         out.close()
         yield pa.RecordBatch.from_pydict(
             {"shard": [shard], "path": [f"{folder}/{name}"], "n_docs": [len(ends)], "n_tokens": [total]},
-            schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
+            schema=_LISTED,
         )
 
     rows = ordered.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long")
     return stored(rows, "token_files")
 
 
+_LISTED = pa.schema(
+    [("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
+)
+
+
 class TokenFile:
     """Random access to one file."""
 
@@ -316,7 +321,11 @@ def read_token_files(files: DataFrame, outputs: tuple[str, ...] = ("ids",), key:
                     k = max(i + 1, int(np.searchsorted(ends, starts[i] + READ_IDS, "right")))
                     held = file.span(int(starts[i]), int(ends[k - 1])).astype("<u4")
                     cut = [held[a - starts[i] : b - starts[i]] for a, b in zip(starts[i:k], ends[i:k], strict=True)]
-                    columns = [pa.array(keys[i:k], pa.int64()), pa.array(starts[i:k] + before), pa.array(ends[i:k] - starts[i:k])]
+                    columns = [
+                        pa.array(keys[i:k], pa.int64()),
+                        pa.array(starts[i:k] + before),
+                        pa.array(ends[i:k] - starts[i:k]),
+                    ]
                     for o in outputs:
                         if o == "ids":
                             columns.append(pa.array([c.astype(np.int32) for c in cut], pa.list_(pa.int32())))

@@ -170,7 +170,7 @@ def representatives(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
     """
     groups = near_groups(docs, shingle, key, text)
     chosen = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "print").count()
-    chosen = stored(chosen.select(F.col(key).alias("_key"), F.col("print").alias("_print"), F.col("count").alias("_n")), "chosen")
+    chosen = stored(chosen.toDF("_key", "_print", "_n"), "chosen")
     at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("_print", LongType())])
     names = schema.names

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.llm.components import components
@@ -91,7 +91,8 @@ class Grid:
         out = []
         for i in range(len(x)):
             near_a, near_b = (np.flatnonzero(f[i] <= self.bound) for f in (far_a, far_b))
-            near_a, near_b = near_a[np.argsort(far_a[i, near_a], kind="stable")], near_b[np.argsort(far_b[i, near_b], kind="stable")]
+            near_a = near_a[np.argsort(far_a[i, near_a], kind="stable")]
+            near_b = near_b[np.argsort(far_b[i, near_b], kind="stable")]
             out.append(self._traverse(near_a, far_a[i, near_a], near_b, far_b[i, near_b], width))
         return a * width + b, out
 
@@ -237,7 +238,10 @@ def _search(nodes: DataFrame, dim: int, total: int, least: float, recall: float,
                 )
 
     placed = stored(
-        own.select("node", "n", "raw").mapInArrow(place, "node long, n long, raw binary, home long, visits array<long>"), "placed"
+        own.select("node", "n", "raw").mapInArrow(
+            place, "node long, n long, raw binary, home long, visits array<long>"
+        ),
+        "placed",
     )
     seen = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("v"))
     cells = (
@@ -248,29 +252,41 @@ def _search(nodes: DataFrame, dim: int, total: int, least: float, recall: float,
     )
     cells = stored(cells, "cells")
     deal = F.hash("node")
+
+    def each(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
     homes = placed.join(cells, placed.home == cells.cell).select(
-        "cell", F.pmod(deal, F.col("hs")).alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)).alias("vb"),
+        "cell", F.pmod(deal, F.col("hs")).alias("hb"), each("vs").alias("vb"),
         "node", "n", "raw", "home", "visits",
     )
     visitors = (
         placed.select("node", "n", "raw", "home", F.explode("visits").alias("cell"))
         .join(cells, "cell")
         .select(
-            "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hs") - 1)).alias("hb"), F.pmod(deal, F.col("vs")).alias("vb"),
+            "cell", each("hs").alias("hb"), F.pmod(deal, F.col("vs")).alias("vb"),
             "node", "n", "raw", "home", F.lit(None).cast("array<long>").alias("visits"),
         )
     )
 
     def compare(group: pa.Table) -> pa.Table:
         is_home = pa.compute.is_valid(group.column("visits"))
-        parts = [{c: t.column(c).to_pylist() for c in ("node", "n", "raw", "home", "visits")} for t in (group.filter(is_home), group.filter(pa.compute.invert(is_home)))]
+        tables = (group.filter(is_home), group.filter(pa.compute.invert(is_home)))
+        names = ("node", "n", "raw", "home", "visits")
+        parts = [{c: t.column(c).to_pylist() for c in names} for t in tables]
         found = _compare(*parts, least, kind) if parts[0]["node"] and parts[1]["node"] else ([], [], [])
         return pa.table([pa.array(x, pa.int64()) for x in found], names=["node", "links", "root"])
 
     return homes.union(visitors).groupBy("cell", "hb", "vb").applyInArrow(compare, "node long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame,
+    least: float = 0.95,
+    recall: float = RECALL,
+    key: str = "vec_id",
+    vector: str = "embedding",
+) -> DataFrame:
     """Per row: key, n_links, component_id (least id reachable over links), kept."""
     nodes, kind = _nodes(vectors, key, vector)
     dims = nodes.groupBy("dim").count().collect()
@@ -284,7 +300,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = RECALL
     joined = stored(
         nodes.join(links, "node", "left")
         .join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-        .select("raw", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")),
+        .select(
+            "raw",
+            "least",
+            (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+            F.coalesce("root", "node").alias("root"),
+        ),
         "linked",
     )
     least_id = joined.groupBy("root").agg(F.min("least").alias("component_id"))

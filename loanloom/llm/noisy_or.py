@@ -81,7 +81,14 @@ class NoisyOr:
         return float(-np.expm1(-np.logaddexp(0.0, z).sum()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> NoisyOr:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    key: str = "doc_id",
+    text: str = "text",
+    per_class: int = PER_CLASS,
+) -> NoisyOr:
     """Train on about per_class documents of each label; texts never leave the tasks."""
     known = labels.where(F.col(label).isNotNull()).groupBy((F.col(label) != 0).cast("int").alias("y")).count()
     totals = {r[0]: r[1] for r in known.collect()}
@@ -146,7 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
 
 def train(
-    y: np.ndarray, empty: np.ndarray, bags: list[list[list[int]]], n: int, share: float = 0.5, rounds: int = ROUNDS, decay: float = 1e-3
+    y: np.ndarray,
+    empty: np.ndarray,
+    bags: list[list[list[int]]],
+    n: int,
+    share: float = 0.5,
+    rounds: int = ROUNDS,
+    decay: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by full gradients with steps scaled per weight.
 
@@ -189,7 +202,8 @@ def score(docs: DataFrame, model: NoisyOr, spans: bool = False, key: str = "doc_
                 return keys, [tool.score(t) for t in texts]
             parts = [tool.sentences(t) for t in texts]
             marked = [
-                [{"start": a, "end": b, "score": float(sigmoid(np.array(z)))} for a, b, z in p if z >= 0] for p in parts
+                [{"start": a, "end": b, "score": float(sigmoid(np.array(z)))} for a, b, z in p if z >= 0]
+                for p in parts
             ]
             return keys, [tool.score(t) for t in texts], marked
 

@@ -68,7 +68,9 @@ ENDS = {
     "option": (("option",), ("select",)),
 }
 SIDE_TAGS = frozenset("nav footer aside form dialog menu".split())
-SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+SIDE_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split()
+)
 SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav "
     "navbar navigation menu sidebar aside footer masthead topbar cookie cookies consent gdpr notice "
@@ -340,18 +342,21 @@ def _reference(text: str) -> Node:
 def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per host: its reference tree and its template, pairs of a node and a hash of text."""
     rows = _with_host(pages, key, url, html).where("host IS NOT NULL")
-    firsts = rows.groupBy("host").agg(
-        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.xxhash64("html").alias("tie"), "html")).alias("first"),
-        F.count("*").alias("pages"),
-    )
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", F.xxhash64("html").alias("tie"), "html")
+    firsts = rows.groupBy("host").agg(F.min(place).alias("first"), F.count("*").alias("pages"))
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [as_json(parse(h)[0]) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.string())], names=["host", "pages", "tree"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(found, pa.string())], names=["host", "pages", "tree"]
+            )
 
     references = stored(
-        firsts.select("host", "pages", "first.html").mapInArrow(trees, "host string, pages long, tree string"), "references"
+        firsts.select("host", "pages", "first.html").mapInArrow(
+            trees, "host string, pages long, tree string"
+        ),
+        "references",
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +370,8 @@ def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     nodes += [s[0] for s in seen]
                     hashes += [s[1] for s in seen]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(hashes, pa.int64())], names=["host", "node", "said"]
+                    [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(hashes, pa.int64())],
+                    names=["host", "node", "said"],
                 )
 
     counted = (
@@ -404,9 +410,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         for batch in batches:
             for piece in pieces(batch, 2):
                 texts = []
-                for host, page, tree, template in zip(
-                    piece.column(3).to_pylist(), piece.column(2).to_pylist(), piece.column(4).to_pylist(), piece.column(5), strict=True
-                ):
+                pages_, hosts, trees = (piece.column(i).to_pylist() for i in (2, 3, 4))
+                for host, page, tree, template in zip(hosts, pages_, trees, piece.column(5), strict=True):
                     if tree is None:
                         texts.append(extract(page, None, frozenset()))
                         continue
@@ -416,7 +421,12 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                         known[host] = frozenset((t["node"], t["said"]) for t in template.as_py() or ())
                     texts.append(extract(page, _reference(tree), known[host]))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    [
+                        piece.column(0),
+                        piece.column(1),
+                        pa.array(texts, pa.string()),
+                        pa.array(map(len, texts), pa.int64()),
+                    ],
                     names=[key, url, "text", "n_chars"],
                 )
 

@@ -1,5 +1,7 @@
 """Embeddings against brute force; pages against texts known from building them."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -129,3 +131,13 @@ def test_simple_tree_matching():
     assert size == len(pairs) == 5  # root, div, p, section, p
     assert wrapper.match(a, a)[0] == a.size
     assert wrapper.from_json(wrapper.as_json(a)).size == a.size
+
+
+@pytest.mark.parametrize(
+    "bit", ["<a '", "<a \"x' ", "<", "<p ", "<!--", "<script>", "<b>", "<li>x", "</", "<svg>", "&#", "<td>a<tr>"]
+)
+def test_parsing_takes_time_in_proportion(bit):
+    began = time.process_time()
+    wrapper.parse("<article>" + bit * 20_000 + "x")
+    wrapper.parse("<div>" * 3000 + "</p>" * 20_000)
+    assert time.process_time() - began < 3
