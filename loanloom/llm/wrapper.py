@@ -21,8 +21,8 @@ without a wrapper, blocks that are mostly links are left out.
 Character references are decoded, white space in a block is one space, blocks are joined in page
 order by one space. Null and empty pages give an empty text. A page whose url has no host, or is
 null, has no wrapper. Repeated rows are treated alike, and count as pages. The reference of a
-host is the page with the least id (null ids last; of equals, the least hash of its html). An
-empty table gives an empty result.
+host is the page with the least id that is not empty (null ids last; of equals, the least hash of
+its html). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -342,7 +342,13 @@ def _reference(text: str) -> Node:
 def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per host: its reference tree and its template, pairs of a node and a hash of text."""
     rows = _with_host(pages, key, url, html).where("host IS NOT NULL")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", F.xxhash64("html").alias("tie"), "html")
+    place = F.struct(
+        (F.trim("html") == "").alias("empty"),
+        F.col("id").isNull().alias("no_id"),
+        "id",
+        F.xxhash64("html").alias("tie"),
+        "html",
+    )
     firsts = rows.groupBy("host").agg(F.min(place).alias("first"), F.count("*").alias("pages"))
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
