@@ -58,7 +58,7 @@ class Paths:
         places = np.arange(n - ANCHOR + 1)
         runs = self.hash(places, places + ANCHOR)
         views = np.lib.stride_tricks.sliding_window_view(runs, width)
-        # in parts, since argmin copies what it looks at
+        # in parts, since argmin copies what it looks at: 15 numbers for each word
         least = np.concatenate([views[i : i + 65536].argmin(axis=1) for i in range(0, len(views), 65536)])
         document = np.repeat(np.arange(len(documents)), sizes)
         starts = np.arange(n - length + 1)
