@@ -13,10 +13,13 @@ Extraction aligns each page with its host's wrapper again and leaves out
 - what is never text: scripts, styles, comments in the markup, the head;
 - what a tag, a role or a class says is a menu, header, footer, sidebar, notice, advert, form or
   reader comment (the lists below);
-- template text, except paragraphs, headings, list items and the like within <article> or <main>.
+- template text, whatever its tag and wherever it stands. Within <article> or <main> lines that
+  <br> parts are one paragraph, which goes only if all of its lines are template.
 
-Where a page has <article> (or else <main>) with text, only that is taken. Else, on a host
-without a wrapper, blocks that are mostly links are left out.
+Of what is left, only that within <article> (or else <main>) is taken if it is at least half of
+it. On a host without a template nothing tells text from notices, so there a single <article>, or
+<main>, is taken whatever its share. Where neither is taken, rows without a host lose blocks that
+are mostly links.
 
 Character references are decoded, white space in a block is one space, blocks are joined in page
 order by one space. Null and empty pages give an empty text. A page whose url has no host, or is
@@ -78,7 +81,6 @@ SIDE_WORDS = frozenset(
     "replies discussion related recommended share sharing social breadcrumb breadcrumbs newsletter subscribe "
     "signup login search pagination pager widget toolbar skip".split()
 )
-CONTENT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption article main".split())
 
 #: A comment, a tag (its end may be missing before the next one or the end of the page; a quote
 #: without its partner is an ordinary sign), or another declaration.
@@ -105,12 +107,12 @@ class Node:
 
 
 class Block:
-    """Text of one block: its node, where it stands, and how much of it is in links."""
+    """Text of one block: its node, paragraph, where it stands, and how much of it is in links."""
 
-    __slots__ = ("node", "parts", "side", "inside", "linked", "text")
+    __slots__ = ("node", "paragraph", "parts", "side", "inside", "linked", "text")
 
-    def __init__(self, node: Node, side: bool, inside: str):
-        self.node, self.side, self.inside = node, side, inside
+    def __init__(self, node: Node, paragraph: int, side: bool, inside: tuple[int, bool]):
+        self.node, self.paragraph, self.side, self.inside = node, paragraph, side, inside
         self.parts: list[str] = []
         self.linked = 0
         self.text = ""
@@ -144,22 +146,21 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     """The tree and the blocks of text, in page order; silent elements are left out."""
     root = Node("#root", "#root", False)
     blocks: list[Block] = []
-    # open elements: (tag, node, no content, within article or main, in a link)
-    stack: list[tuple[str, Node, bool, str, bool]] = [("#root", root, False, "", False)]
+    # open elements: (tag, node, no content, (number of the outermost article, within main), in a link)
+    stack: list[tuple[str, Node, bool, tuple[int, bool], bool]] = [("#root", root, False, (0, False), False)]
     opened: dict[str, int] = {}
     block: Block | None = None
     at, n = 0, len(page)
     silent = ""
-    depth = 0
+    depth = articles = paragraph = 0
 
     def add(text: str) -> None:
         nonlocal block
         if block is None:
             if not text.strip():
                 return
-            _, node, side, inside, _ = next(e for e in reversed(stack) if e[0] in BLOCK or e[0] == "#root")
-            top = stack[-1]
-            block = Block(node, side or top[2], inside or top[3])
+            node = next(e[1] for e in reversed(stack) if e[0] in BLOCK or e[0] == "#root")
+            block = Block(node, paragraph, stack[-1][2], stack[-1][3])
             blocks.append(block)
         block.parts.append(text)
         if stack[-1][4]:
@@ -186,6 +187,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if closing:
             if tag in BLOCK:
                 block = None
+                paragraph += tag != "br"
             if opened.get(tag):
                 while opened[tag] and stack[-1][0] != tag:
                     opened[stack.pop()[0]] -= 1
@@ -204,6 +206,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             continue
         if tag in BLOCK:
             block = None
+            paragraph += tag != "br"
         if tag in VOID:
             continue
         if tag in CLOSES_P:
@@ -212,14 +215,17 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             _end(stack, opened, *ENDS[tag])
         label, side, header = _kind(tag, attributes)
         _, above, was_side, inside, link = stack[-1]
-        if tag in ("article", "main") and inside != "article":
-            inside = tag
+        if tag == "article" and not inside[0]:
+            articles += 1
+            inside = (articles, inside[1])
+        elif tag == "main":
+            inside = (inside[0], True)
         node = above
         if tag in BLOCK and len(stack) <= DEPTH:
             node = above.children.get(label)
             if node is None:
                 node = above.children[label] = Node(tag, label, side)
-        side = was_side or side or (header and not inside)
+        side = was_side or side or (header and not any(inside))
         if not attributes.endswith("/") or tag in BLOCK:
             stack.append((tag, node, side, inside, link or tag == "a"))
             opened[tag] = opened.get(tag, 0) + 1
@@ -319,21 +325,30 @@ def extract(page: str, reference: Node | None, template: frozenset[tuple[int, in
     else:
         blocks, places = parse(page)[1], {}
     blocks = [b for b in blocks if not b.side]
-    semantic = next((s for s in ("article", "main") if any(b.inside == s for b in blocks)), "")
-    if semantic:
-        blocks = [b for b in blocks if b.inside == semantic]
+    if template:
+        varies = [(places.get(b.node.number, -1), _hash(b.text)) not in template for b in blocks]
+        kept = {b.paragraph for b, v in zip(blocks, varies, strict=True) if v and any(b.inside)}
+        blocks = [b for b, v in zip(blocks, varies, strict=True) if v or b.paragraph in kept]
+    within = _within(blocks, bool(template))
+    if within:
+        blocks = within
     elif reference is None:
         blocks = [b for b in blocks if b.linked * 2 <= len(b.text)]
-    if template:
-        blocks = [
-            b
-            for b in blocks
-            if (semantic and b.node.tag in CONTENT_TAGS)
-            or (places.get(b.node.number, -1), _hash(b.text)) not in template
-        ]
     return " ".join(b.text for b in blocks)
 
 
+def _within(blocks: list[Block], template: bool) -> list[Block]:
+    """The blocks in <article>, or else in <main>, if they are the main part of all."""
+    size = sum(len(b.text) for b in blocks)
+    articles = [b for b in blocks if b.inside[0]]
+    if articles and not template and len({b.inside[0] for b in articles}) == 1:
+        return articles
+    if sum(len(b.text) for b in articles) * 2 >= size:
+        return articles
+    main = [b for b in blocks if b.inside[1]]
+    return main if not template or sum(len(b.text) for b in main) * 2 >= size else []
+
+
 @lru_cache(maxsize=512)
 def _reference(text: str) -> Node:
     return from_json(text)

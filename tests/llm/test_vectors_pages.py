@@ -141,3 +141,29 @@ def test_parsing_takes_time_in_proportion(bit):
     wrapper.parse("<article>" + bit * 20_000 + "x")
     wrapper.parse("<div>" * 3000 + "</p>" * 20_000)
     assert time.process_time() - began < 3
+
+
+PAGES_OF = "page_id long, url string, html string"
+
+
+def texts_of(spark, pages):
+    """Main texts of pages, which are (url, html), in their order."""
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], PAGES_OF)
+    return [r.text for r in sorted(wrapper.main_text(frame.repartition(3)).collect())]
+
+
+def test_template_within_article(spark):
+    pages, wanted = [], []
+    for i in range(6):
+        notice = "<p>Read our letter</p><ul><li>Follow us</ul>"
+        pages.append(("http://a.example/", f"<article><h1>Title {i}</h1><p>Words {i}</p>{notice}</article>"))
+        wanted.append(f"Title {i} Words {i}")
+    for i in range(6):
+        cards = "".join(f"<article><p>card {i} {k}</p></article>" for k in "ab")
+        pages.append(("http://b.example/", f"<main><p>{f'Long words {i} ' * 9}</p>{cards}</main><div>Always</div>"))
+        wanted.append(f"{f'Long words {i} ' * 9}card {i} a card {i} b")
+    for i in range(6):
+        card = f"<article><p>card {i}</p></article>"
+        pages.append(("http://c.example/", f"<div>Always</div><div class=x>{f'Long words {i} ' * 9}</div>{card}"))
+        wanted.append(f"{f'Long words {i} ' * 9}card {i}")
+    assert texts_of(spark, pages) == wanted
