@@ -53,6 +53,12 @@ SHARE, PAGES = 0.5, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noframes".split())
 SILENT = RAW | frozenset("head svg math canvas object audio video map select button datalist".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: What ends other silent elements whose own end is missing.
+SECTIONS = frozenset("article aside body footer form header main nav section".split())
+#: Elements within svg and math that hold ordinary text and blocks.
+FOREIGN = ("foreignobject", "desc", "annotation-xml")
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu "
@@ -83,10 +89,10 @@ SIDE_WORDS = frozenset(
 )
 
 #: A comment, a tag (its end may be missing before the next one or the end of the page; a quote
-#: without its partner is an ordinary sign), or another declaration.
+#: that doesn't begin a value, or has no partner, is an ordinary sign), or another declaration.
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'])*+)>?"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>?"
     r"|<[!?/][^>]*>?",
     re.S,
 )
@@ -151,8 +157,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     opened: dict[str, int] = {}
     block: Block | None = None
     at, n = 0, len(page)
-    silent = ""
-    depth = articles = paragraph = 0
+    silent, lost = "", False  # the open silent element, and whether its end is missing
+    within: dict[str, int] = {}  # elements open in it
+    ends: dict[str, int] = {}
+    articles = paragraph = 0
 
     def add(text: str) -> None:
         nonlocal block
@@ -166,23 +174,42 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if stack[-1][4]:
             block.linked += len(text.strip())
 
+    def has_end(tag: str) -> bool:
+        if ends.get(tag, -1) < at:
+            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            ends[tag] = end.start() if end else n
+        return ends[tag] < n
+
     for m in _TAG.finditer(page):
         start = m.start()
         if start < at:
             continue
-        if start > at and not silent:
-            add(page[at:start])
+        if start > at:
+            if silent == "head" and page[at:start].strip():
+                silent = ""
+            if not silent:
+                add(page[at:start])
         at = m.end()
         tag = m.group(2)
         if tag is None:
             continue
         tag = tag.lower()
         closing = m.group(1)
-        if silent:
-            if tag == silent:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    silent = ""
+        attributes = m.group(3)
+        if silent and closing:
+            if within.get(tag):
+                within[tag] -= 1
+                continue
+            if tag != silent and not opened.get(tag):
+                continue
+            ended, silent = silent, ""
+            if tag == ended:
+                continue
+        elif silent and _ends_silent(silent, lost, tag, within):
+            silent = ""
+        elif silent and (tag not in RAW or attributes.endswith("/")):
+            if tag not in VOID and not attributes.endswith("/"):
+                within[tag] = within.get(tag, 0) + 1
             continue
         if closing:
             if tag in BLOCK:
@@ -199,10 +226,9 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             if end:
                 at = page.find(">", at) + 1 or n
             continue
-        attributes = m.group(3)
         if tag in SILENT:
             if not attributes.endswith("/"):
-                silent, depth = tag, 1
+                silent, lost, within = tag, not has_end(tag), {}
             continue
         if tag in BLOCK:
             block = None
@@ -229,13 +255,24 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if not attributes.endswith("/") or tag in BLOCK:
             stack.append((tag, node, side, inside, link or tag == "a"))
             opened[tag] = opened.get(tag, 0) + 1
-    if at < n and not silent:
+    if at < n and silent in ("", "head"):
         add(page[at:])
     for b in blocks:
         b.text = " ".join(_html.unescape("".join(b.parts)).split())
     return root, [b for b in blocks if b.text]
 
 
+def _ends_silent(silent: str, lost: bool, tag: str, within: dict[str, int]) -> bool:
+    """Whether a start tag shows that a silent element is over."""
+    if silent == "head":
+        return tag not in HEAD and tag != "head"
+    if silent in ("svg", "math"):
+        return tag in BLOCK and not any(within.get(t) for t in FOREIGN)
+    if silent == "select":
+        return tag in ("select", "input", "textarea") or tag in BLOCK - {"option", "hr", "legend", "div"}
+    return (silent == "button" and tag == "button") or tag in SECTIONS or (lost and tag in BLOCK)
+
+
 def _end(stack: list, opened: dict[str, int], tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
     """Close open elements of the given tags, the last ones first."""
     if not any(opened.get(t) for t in tags):

@@ -167,3 +167,33 @@ def test_template_within_article(spark):
         pages.append(("http://c.example/", f"<div>Always</div><div class=x>{f'Long words {i} ' * 9}</div>{card}"))
         wanted.append(f"{f'Long words {i} ' * 9}card {i}")
     assert texts_of(spark, pages) == wanted
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<head><title>T</title><body><p>x", "x"),
+        ("<html><head><meta charset=x><script>'<p>no'</script><div>x</div></html>", "x"),
+        ("<head><title>T</title>x <b>y</b>", "x y"),
+        ("<head><title>T</title>x", "x"),
+        ("<div><svg><path></div><p>x</p>", "x"),
+        ("<svg><g><text>no</text><p>x</p>", "x"),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>x", "x"),
+        ("<body><select><option>no<p>x</p></body>", "x"),
+        ("<button>no<article><p>x</p></article><button>no</button>", "x"),
+        ("<button><div>no</div></button>x", "x"),
+        ("<span><map><area></span>x", "x"),
+        ("<object>no<object>no</object>no</object>x", "x"),
+        (f"<div data-x='{{\"a\":\"{'<b>y</b>' * 2000}\"}}'>x</div>", "x"),
+        ("<p title=it's>x</p><p title=that's>y</p>", "x y"),
+    ],
+)
+def test_unclosed_silent_elements_and_long_values(html, text):
+    assert wrapper.extract(html, None, frozenset()) == text
+
+
+@pytest.mark.parametrize("bit", ["<button>", "<a x='", "<a x=\"y' ", "<a x= ", "<head>", "<svg><p>", "<a =\""])
+def test_parsing_odd_ends_takes_time_in_proportion(bit):
+    began = time.process_time()
+    wrapper.parse("<article>" + bit * 20_000 + "x")
+    assert time.process_time() - began < 3
