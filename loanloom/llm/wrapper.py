@@ -13,6 +13,9 @@ Extraction aligns each page with its host's wrapper again and leaves out
 - what is never text: scripts, styles, comments in the markup, the head;
 - what a tag, a role or a class says is a menu, header, footer, sidebar, notice, advert, form or
   reader comment (the lists below);
+  A class word doesn't count if it says that something is or isn't there (has-sidebar), nor for an
+  <article> or <main> below, unless it is a word for reader comments. If nothing else is left of a
+  page, the text that class words took is given back, but for blocks that are mostly links;
 - template text, whatever its tag and wherever it stands. Within <article> or <main> lines that
   <br> parts are one paragraph, which goes only if all of its lines are template.
 
@@ -76,7 +79,7 @@ ENDS = {
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
     "option": (("option",), ("select",)),
 }
-SIDE_TAGS = frozenset("nav footer aside form dialog menu".split())
+SIDE_TAGS = frozenset("nav footer aside dialog menu".split())
 SIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split()
 )
@@ -88,6 +91,10 @@ SIDE_WORDS = frozenset(
     "signup login search pagination pager widget toolbar skip".split()
 )
 
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus reply replies discussion".split())
+#: Beginnings of a class that tell of a layout, not of the element.
+_TELLS = re.compile(r"(?:has|have|no|not|with|without|hide|hides|show|shows)(?:[-_]|(?=[A-Z]))")
+
 #: A comment, a tag (its end may be missing before the next one or the end of the page; a quote
 #: that doesn't begin a value, or has no partner, is an ordinary sign), or another declaration.
 _TAG = re.compile(
@@ -96,7 +103,7 @@ _TAG = re.compile(
     r"|<[!?/][^>]*>?",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -115,45 +122,57 @@ class Node:
 class Block:
     """Text of one block: its node, paragraph, where it stands, and how much of it is in links."""
 
-    __slots__ = ("node", "paragraph", "parts", "side", "inside", "linked", "text")
+    __slots__ = ("node", "paragraph", "parts", "side", "marks", "inside", "linked", "text")
 
-    def __init__(self, node: Node, paragraph: int, side: bool, inside: tuple[int, bool]):
-        self.node, self.paragraph, self.side, self.inside = node, paragraph, side, inside
+    def __init__(self, node: Node, paragraph: int, side: bool, marks: tuple, inside: tuple[int, bool]):
+        self.node, self.paragraph, self.side, self.marks, self.inside = node, paragraph, side, marks, inside
         self.parts: list[str] = []
         self.linked = 0
         self.text = ""
 
 
 @lru_cache(maxsize=4096)
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label, whether the element is no content, and whether it is a page header."""
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, str]:
+    """Label, whether the element is no content, whether it is a page header, and by its class or
+    id "side", "header", "comment" or nothing."""
     side = tag in SIDE_TAGS
-    first, header = "", tag == "header"
-    if attributes:
-        for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).strip()
-            if name == "role":
-                side |= value.lower() in SIDE_ROLES
-            elif name == "hidden":
-                side |= value.lower() in ("", "hidden", "true")
-            elif name == "style":
-                side |= bool(_HIDDEN.search(value))
-            else:
-                words = {w.lower() for w in _CLASS_WORD.findall(value)}
-                if tag not in ("html", "body", "article", "main"):
-                    side |= bool(words & SIDE_WORDS)
-                    header |= "header" in words
-                if name == "class" and value:
-                    first = "." + value.split()[0]
-    return tag + first, side, header
+    first, says = "", "side" if tag == "form" else ""
+    seen = set()
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).strip()
+        if name in seen:
+            continue
+        seen.add(name)
+        if name == "role":
+            side |= value.lower() in SIDE_ROLES
+        elif name == "hidden":
+            side |= value.lower() in ("", "hidden", "true")
+        elif name == "style":
+            side |= bool(_HIDDEN.search(value))
+        elif name in ("class", "id"):
+            tokens = [t for t in value.split() if not _TELLS.match(t)]
+            words = {w.lower() for t in tokens for w in _CLASS_WORD.findall(t)}
+            if tag not in ("html", "body", "article", "main"):
+                if words & COMMENT_WORDS:
+                    says = "comment"
+                elif words & SIDE_WORDS:
+                    says = says or "side"
+                elif "header" in words:
+                    says = says or "header"
+            if name == "class" and value:
+                first = "." + value.split()[0]
+    return tag + first, side, tag == "header", says
 
 
 def parse(page: str) -> tuple[Node, list[Block]]:
     """The tree and the blocks of text, in page order; silent elements are left out."""
     root = Node("#root", "#root", False)
     blocks: list[Block] = []
-    # open elements: (tag, node, no content, (number of the outermost article, within main), in a link)
-    stack: list[tuple[str, Node, bool, tuple[int, bool], bool]] = [("#root", root, False, (0, False), False)]
+    # open elements: (tag, node, no content, (number of the outermost article, within main), in a link, marks:
+    # (node, label, kind) of those whose class says that they are no content)
+    stack: list[tuple[str, Node, bool, tuple[int, bool], bool, tuple]] = [
+        ("#root", root, False, (0, False), False, ())
+    ]
     opened: dict[str, int] = {}
     block: Block | None = None
     at, n = 0, len(page)
@@ -164,14 +183,17 @@ def parse(page: str) -> tuple[Node, list[Block]]:
 
     def add(text: str) -> None:
         nonlocal block
+        _, _, side, inside, link, marks = stack[-1]
+        if block is not None and (block.side, block.marks) != (side, marks) and text.strip():
+            block = None  # an inline element within the block that is no content, or its end
         if block is None:
             if not text.strip():
                 return
             node = next(e[1] for e in reversed(stack) if e[0] in BLOCK or e[0] == "#root")
-            block = Block(node, paragraph, stack[-1][2], stack[-1][3])
+            block = Block(node, paragraph, side, marks, inside)
             blocks.append(block)
         block.parts.append(text)
-        if stack[-1][4]:
+        if link:
             block.linked += len(text.strip())
 
     def has_end(tag: str) -> bool:
@@ -239,8 +261,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             _end(stack, opened, ("p",), ("article", "main", "section", "div", "td", "th", "li", "body", "button"))
         if tag in ENDS:
             _end(stack, opened, *ENDS[tag])
-        label, side, header = _kind(tag, attributes)
-        _, above, was_side, inside, link = stack[-1]
+        label, side, header, says = _kind(tag, attributes)
+        _, above, was_side, inside, link, marks = stack[-1]
+        if tag in ("article", "main"):
+            marks = tuple(k for k in marks if k[2] == "comment")
         if tag == "article" and not inside[0]:
             articles += 1
             inside = (articles, inside[1])
@@ -252,8 +276,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             if node is None:
                 node = above.children[label] = Node(tag, label, side)
         side = was_side or side or (header and not any(inside))
+        if says and len(marks) < DEPTH and (says != "header" or not any(inside)):
+            marks = (*marks, (node, label, says))
         if not attributes.endswith("/") or tag in BLOCK:
-            stack.append((tag, node, side, inside, link or tag == "a"))
+            stack.append((tag, node, side, inside, link or tag == "a", marks))
             opened[tag] = opened.get(tag, 0) + 1
     if at < n and silent in ("", "head"):
         add(page[at:])
@@ -366,6 +392,8 @@ def extract(page: str, reference: Node | None, template: frozenset[tuple[int, in
         varies = [(places.get(b.node.number, -1), _hash(b.text)) not in template for b in blocks]
         kept = {b.paragraph for b, v in zip(blocks, varies, strict=True) if v and any(b.inside)}
         blocks = [b for b, v in zip(blocks, varies, strict=True) if v or b.paragraph in kept]
+    unmarked = [b for b in blocks if not b.marks]
+    blocks = unmarked or [b for b in blocks if b.linked * 2 <= len(b.text)]
     within = _within(blocks, bool(template))
     if within:
         blocks = within

@@ -197,3 +197,24 @@ def test_parsing_odd_ends_takes_time_in_proportion(bit):
     began = time.process_time()
     wrapper.parse("<article>" + bit * 20_000 + "x")
     assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='content has-sidebar'><article><p>x</p></article></div>", "x"),
+        ("<div class='layout no-sidebar'><article><p>x</p></article><div class=sidebar>no</div></div>", "x"),
+        ("<div class='sidebar-layout'><main><p>x</p></main><div class=sidebar>no</div></div>", "x"),
+        ("<div class='with-sidebar'><div><p>x</p></div><div class=sidebar>no</div></div>", "x"),
+        ("<div class='page-sidebar-wrap'><p>x</p></div>", "x"),
+        ("<div class=comments><article>no</article></div><p>x</p>", "x"),
+        ("<form id=f><main>x</main></form><form>no</form>", "x"),
+        ("<p title='Hidden gems' data-hidden aria-hidden=false>x</p><p hidden>no</p>", "x"),
+        ("<p data-class=social alt='class=menu id=ad'>x</p>", "x"),
+        ("<p><a class=social>no</a> rest of <i>it</i><span hidden>no</span> all</p>", "rest of it all"),
+        ("<p>x <span class=ad>no</span></p><div class=menu>no</div>", "x"),
+        ("<div class=menu><a>no</a></div>", ""),
+    ],
+)
+def test_class_words_take_no_content(html, text):
+    assert wrapper.extract(html, None, frozenset()) == text
