@@ -21,8 +21,8 @@ Extraction aligns each page with its host's wrapper again and leaves out
 
 Of what is left, only that within <article> (or else <main>) is taken if it is at least half of
 it. On a host without a template nothing tells text from notices, so there a single <article>, or
-<main>, is taken whatever its share. Where neither is taken, rows without a host lose blocks that
-are mostly links.
+<main>, is taken whatever its share. Where neither is taken there, blocks that are mostly links are
+left out.
 
 Character references are decoded, white space in a block is one space, blocks are joined in page
 order by one space. Null and empty pages give an empty text. A page whose url has no host, or is
@@ -397,7 +397,7 @@ def extract(page: str, reference: Node | None, template: frozenset[tuple[int, in
     within = _within(blocks, bool(template))
     if within:
         blocks = within
-    elif reference is None:
+    elif not template:
         blocks = [b for b in blocks if b.linked * 2 <= len(b.text)]
     return " ".join(b.text for b in blocks)
 

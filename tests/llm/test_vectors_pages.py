@@ -218,3 +218,9 @@ def test_parsing_odd_ends_takes_time_in_proportion(bit):
 )
 def test_class_words_take_no_content(html, text):
     assert wrapper.extract(html, None, frozenset()) == text
+
+
+def test_unmarked_menus_on_hosts_without_a_template(spark):
+    menu = "<div class=top><a href=/>Home</a> <a href=/b>Other pages</a></div>"
+    pages = [(f"http://{h}.example/{i}", f"{menu}<div>Words {h}{i}, a <a href=/>link</a></div>") for h, i in ("a1", "b1", "b2")]
+    assert texts_of(spark, pages) == ["Words a1, a link", "Words b1, a link", "Words b2, a link"]
