@@ -1,21 +1,24 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host share a template. Each page is parsed to a tree, in which siblings with the same
-label (tag and first class) count as one repeated node. The first page of a host is its
-reference. Every page is aligned with it by simple tree matching: two nodes match if their labels
-are equal, and their children are matched in order so that most nodes match. Over all pages of
-the host it is counted how often the same text stands at the same node of the reference; text
-that is there on at least half of the pages, and on three, is template, and what varies is
-content.
+label (tag and first class, any number in it alike) count as one repeated node. Simple tree
+matching aligns two nodes only if the labels of them and of all above them are equal, so trees of
+any number of pages are aligned at once by these paths, and no page has to stand for the others.
+Over all pages of the host it is counted how often the same text stands at the same node; text
+that is there on at least half of the pages that have the node, and on three that are not all
+alike, is template, and what varies is content. A kind of page that few pages of a host have, with
+nodes of its own, so has a template of its own.
 
-Extraction aligns each page with its host's wrapper again and leaves out
+Extraction aligns each page with its host's template again and leaves out
 
 - what is never text: scripts, styles, comments in the markup, the head;
 - what a tag, a role or a class says is a menu, header, footer, sidebar, notice, advert, form or
   reader comment (the lists below);
   A class word doesn't count if it says that something is or isn't there (has-sidebar), nor for an
-  <article> or <main> below, unless it is a word for reader comments. If nothing else is left of a
-  page, the text that class words took is given back, but for blocks that are mostly links;
+  <article> or <main> below, unless it is a word for reader comments, nor on hosts where that
+  element holds most of the text on at least half of the pages that have it, and on three. If
+  nothing else is left of a page, the text that class words took is given back, but for blocks
+  that are mostly links;
 - template text, whatever its tag and wherever it stands. Within <article> or <main> lines that
   <br> parts are one paragraph, which goes only if all of its lines are template.
 
@@ -26,9 +29,8 @@ left out.
 
 Character references are decoded, white space in a block is one space, blocks are joined in page
 order by one space. Null and empty pages give an empty text. A page whose url has no host, or is
-null, has no wrapper. Repeated rows are treated alike, and count as pages. The reference of a
-host is the page with the least id that is not empty (null ids last; of equals, the least hash of
-its html). An empty table gives an empty result.
+null, has no template. Repeated rows are treated alike, and count as pages; copies of one page alone
+make no template. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,8 +51,10 @@ from loanloom.sources.store import stored
 
 #: Elements nested deeper than this count as their ancestor there; their text is kept.
 DEPTH = 100
-#: Share of a host's pages, and number of pages, on which template text stands.
+#: Share of the pages that have a node, and number of pages, on which template text stands.
 SHARE, PAGES = 0.5, 3
+#: Stands for text at a node that holds most of a page.
+LARGE = 0
 
 #: Kinds of elements, roles and class words; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -104,17 +108,18 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_DIGITS = re.compile(r"\d+")
 _CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    """An element: label, whether it is no content, children by label, and its number."""
+    """An element: label, whether it is no content, children by label, hash of its path, and number."""
 
-    __slots__ = ("tag", "label", "side", "children", "number", "size")
+    __slots__ = ("tag", "label", "side", "children", "path", "number", "size")
 
-    def __init__(self, tag: str, label: str, side: bool):
-        self.tag, self.label, self.side = tag, label, side
+    def __init__(self, tag: str, label: str, side: bool, path: int = 0):
+        self.tag, self.label, self.side, self.path = tag, label, side, path
         self.children: dict[str, Node] = {}
         self.number = self.size = 0
 
@@ -160,16 +165,25 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, str]:
                 elif "header" in words:
                     says = says or "header"
             if name == "class" and value:
-                first = "." + value.split()[0]
+                first = "." + _DIGITS.sub("#", value.split()[0])
     return tag + first, side, tag == "header", says
 
 
+@lru_cache(maxsize=65536)
+def _path_below(path: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), path & (1 << 64) - 1) - (1 << 63)
+
+
+def _path(above: Node, label: str) -> int:
+    return _path_below(above.path, label)
+
+
 def parse(page: str) -> tuple[Node, list[Block]]:
     """The tree and the blocks of text, in page order; silent elements are left out."""
     root = Node("#root", "#root", False)
     blocks: list[Block] = []
     # open elements: (tag, node, no content, (number of the outermost article, within main), in a link, marks:
-    # (node, label, kind) of those whose class says that they are no content)
+    # (path, kind) of those whose class says that they are no content)
     stack: list[tuple[str, Node, bool, tuple[int, bool], bool, tuple]] = [
         ("#root", root, False, (0, False), False, ())
     ]
@@ -264,7 +278,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         label, side, header, says = _kind(tag, attributes)
         _, above, was_side, inside, link, marks = stack[-1]
         if tag in ("article", "main"):
-            marks = tuple(k for k in marks if k[2] == "comment")
+            marks = tuple(k for k in marks if k[1] == "comment")
         if tag == "article" and not inside[0]:
             articles += 1
             inside = (articles, inside[1])
@@ -274,10 +288,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if tag in BLOCK and len(stack) <= DEPTH:
             node = above.children.get(label)
             if node is None:
-                node = above.children[label] = Node(tag, label, side)
+                node = above.children[label] = Node(tag, label, side, _path(above, label))
         side = was_side or side or (header and not any(inside))
         if says and len(marks) < DEPTH and (says != "header" or not any(inside)):
-            marks = (*marks, (node, label, says))
+            marks = (*marks, (_path(above, label), says))
         if not attributes.endswith("/") or tag in BLOCK:
             stack.append((tag, node, side, inside, link or tag == "a", marks))
             opened[tag] = opened.get(tag, 0) + 1
@@ -372,27 +386,36 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def aligned(page: str, reference: Node) -> tuple[list[Block], dict[int, int]]:
-    """The blocks of a page, and the reference's number for the number of its matched nodes."""
+def places(page: str) -> tuple[set[int], set[tuple[int, int]], int]:
+    """Paths of the nodes of a page, pairs of a path and a hash of the text there, and a hash of all.
+
+    An element that its class calls no content has the text LARGE if it holds most of the text.
+    """
     root, blocks = parse(page)
-    number(root)
-    return blocks, dict(match(root, reference)[1])
-
-
-def extract(page: str, reference: Node | None, template: frozenset[tuple[int, int]]) -> str:
-    """The main text of a page; template: pairs of a node of the reference and a hash of text."""
-    if not page:
-        return ""
-    if template and reference is not None:
-        blocks, places = aligned(page, reference)
-    else:
-        blocks, places = parse(page)[1], {}
-    blocks = [b for b in blocks if not b.side]
+    paths, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        paths.add(node.path)
+        todo += node.children.values()
+    said = {(b.node.path, _hash(b.text)) for b in blocks}
+    whole = xxhash.xxh64_intdigest(repr([(b.node.path, b.text) for b in blocks]).encode()) - (1 << 63)
+    usual = [b for b in blocks if not b.side]
+    held: dict[int, int] = {}
+    for b in usual:
+        for path in {m[0] for m in b.marks}:
+            held[path] = held.get(path, 0) + len(b.text)
+    size = sum(len(b.text) for b in usual)
+    return paths | held.keys(), said | {(path, LARGE) for path, n in held.items() if n * 2 > size}, whole
+
+
+def extract(page: str, template: frozenset[tuple[int, int]]) -> str:
+    """The main text of a page; template: pairs of a path and a hash of text."""
+    blocks = [b for b in parse(page)[1] if not b.side] if page else []
     if template:
-        varies = [(places.get(b.node.number, -1), _hash(b.text)) not in template for b in blocks]
+        varies = [(b.node.path, _hash(b.text)) not in template for b in blocks]
         kept = {b.paragraph for b, v in zip(blocks, varies, strict=True) if v and any(b.inside)}
         blocks = [b for b, v in zip(blocks, varies, strict=True) if v or b.paragraph in kept]
-    unmarked = [b for b in blocks if not b.marks]
+    unmarked = [b for b in blocks if all((m[0], LARGE) in template for m in b.marks)]
     blocks = unmarked or [b for b in blocks if b.linked * 2 <= len(b.text)]
     within = _within(blocks, bool(template))
     if within:
@@ -414,67 +437,44 @@ def _within(blocks: list[Block], template: bool) -> list[Block]:
     return main if not template or sum(len(b.text) for b in main) * 2 >= size else []
 
 
-@lru_cache(maxsize=512)
-def _reference(text: str) -> Node:
-    return from_json(text)
-
-
 def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per host: its reference tree and its template, pairs of a node and a hash of text."""
+    """Per host that has one: its template, pairs of a node's path and a hash of text."""
     rows = _with_host(pages, key, url, html).where("host IS NOT NULL")
-    place = F.struct(
-        (F.trim("html") == "").alias("empty"),
-        F.col("id").isNull().alias("no_id"),
-        "id",
-        F.xxhash64("html").alias("tie"),
-        "html",
-    )
-    firsts = rows.groupBy("host").agg(F.min(place).alias("first"), F.count("*").alias("pages"))
-
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [as_json(parse(h)[0]) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(found, pa.string())], names=["host", "pages", "tree"]
-            )
-
-    references = stored(
-        firsts.select("host", "pages", "first.html").mapInArrow(
-            trees, "host string, pages long, tree string"
-        ),
-        "references",
-    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
-                hosts, nodes, hashes = [], [], []
-                for host, page, tree in zip(*(c.to_pylist() for c in piece.columns[:3]), strict=True):
-                    blocks, places = aligned(page, _reference(tree))
-                    seen = {(places[b.node.number], _hash(b.text)) for b in blocks if b.node.number in places}
-                    hosts += [host] * len(seen)
-                    nodes += [s[0] for s in seen]
-                    hashes += [s[1] for s in seen]
+                hosts, nodes, hashes, wholes = [], [], [], []
+                for host, page in zip(*(c.to_pylist() for c in piece.columns[:2]), strict=True):
+                    paths, said, whole = places(page)
+                    found = [*((path, None) for path in paths), *said]
+                    hosts += [host] * len(found)
+                    nodes += [f[0] for f in found]
+                    hashes += [f[1] for f in found]
+                    wholes += [whole] * len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(hashes, pa.int64())],
-                    names=["host", "node", "said"],
+                    [pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (nodes, hashes, wholes))],
+                    names=["host", "node", "said", "page"],
                 )
 
-    counted = (
-        rows.join(references, "host")
-        .select("host", "html", "tree")
-        .mapInArrow(count, "host string, node int, said long")
+    # a null text counts the pages that have the node
+    counted = stored(
+        rows.select("host", "html")
+        .mapInArrow(count, "host string, node long, said long, page long")
         .groupBy("host", "node", "said")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= PAGES)
+        .agg(F.count("*").alias("n"), (F.min("page") < F.max("page")).alias("differ"))
+        .where(F.col("n") >= PAGES),
+        "counted",
     )
+    have = counted.where("said IS NULL").select("host", "node", F.col("n").alias("pages"))
     template = (
-        counted.join(references.select("host", "pages"), "host")
+        counted.where("said IS NOT NULL AND differ")
+        .join(have, ["host", "node"])
         .where(F.col("n") >= SHARE * F.col("pages"))
         .groupBy("host")
         .agg(F.collect_list(F.struct("node", "said")).alias("template"))
     )
-    return stored(references.join(template, "host", "left").select("host", "tree", "template"), "wrappers")
+    return stored(template, "wrappers")
 
 
 def _with_host(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -496,16 +496,13 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         for batch in batches:
             for piece in pieces(batch, 2):
                 texts = []
-                pages_, hosts, trees = (piece.column(i).to_pylist() for i in (2, 3, 4))
-                for host, page, tree, template in zip(hosts, pages_, trees, piece.column(5), strict=True):
-                    if tree is None:
-                        texts.append(extract(page, None, frozenset()))
-                        continue
+                pages_, hosts = (piece.column(i).to_pylist() for i in (2, 3))
+                for host, page, template in zip(hosts, pages_, piece.column(4), strict=True):
                     if host not in known:
                         if len(known) >= 512:
                             known.clear()
                         known[host] = frozenset((t["node"], t["said"]) for t in template.as_py() or ())
-                    texts.append(extract(page, _reference(tree), known[host]))
+                    texts.append(extract(page, known[host]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),
@@ -517,6 +514,6 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 )
 
     rows = _with_host(pages, key, url, html).join(found, "host", "left")
-    return rows.select("id", "url", "html", "host", "tree", "template").mapInArrow(
+    return rows.select("id", "url", "html", "host", "template").mapInArrow(
         run, f"{key} long, {url} string, text string, n_chars long"
     )

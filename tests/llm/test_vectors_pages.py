@@ -189,7 +189,7 @@ def test_template_within_article(spark):
     ],
 )
 def test_unclosed_silent_elements_and_long_values(html, text):
-    assert wrapper.extract(html, None, frozenset()) == text
+    assert wrapper.extract(html, frozenset()) == text
 
 
 @pytest.mark.parametrize("bit", ["<button>", "<a x='", "<a x=\"y' ", "<a x= ", "<head>", "<svg><p>", "<a =\""])
@@ -217,10 +217,43 @@ def test_parsing_odd_ends_takes_time_in_proportion(bit):
     ],
 )
 def test_class_words_take_no_content(html, text):
-    assert wrapper.extract(html, None, frozenset()) == text
+    assert wrapper.extract(html, frozenset()) == text
 
 
 def test_unmarked_menus_on_hosts_without_a_template(spark):
     menu = "<div class=top><a href=/>Home</a> <a href=/b>Other pages</a></div>"
     pages = [(f"http://{h}.example/{i}", f"{menu}<div>Words {h}{i}, a <a href=/>link</a></div>") for h, i in ("a1", "b1", "b2")]
     assert texts_of(spark, pages) == ["Words a1, a link", "Words b1, a link", "Words b2, a link"]
+
+
+def test_template_of_every_kind_of_page(spark):
+    stub = ("http://a.example/", "<p>Not found</p>")
+    pages, wanted = [stub], ["Not found"]
+    for i in range(12):
+        pages.append(("http://a.example/", f"<div class=top>Always</div><div class=c{i}>Words {i}</div><div>Legal</div>"))
+        wanted.append(f"Words {i}")
+    for i in range(4):
+        pages.append(("http://a.example/", f"<section><div>Shop notice</div><p>Thing {i}</p></section>"))
+        wanted.append(f"Thing {i}")
+    for i in range(4):
+        pages.append(("http://b.example/", "<section class=copy><p>Same page four times</p></section>"))
+        wanted.append("Same page four times")
+    for i in range(4):
+        pages.append(("http://c.example/", f"<div class=content-sidebar><div>Long words of {i}</div></div><div class=ad>ad {i}</div><p>{i}</p>"))
+        wanted.append(f"Long words of {i} {i}")
+    assert texts_of(spark, pages) == wanted
+
+
+def test_matched_nodes_have_equal_paths():
+    a, b = (wrapper.parse(h)[0] for h in ("<div class=a1><p>x<ul><li>y</ul></div><p>", "<p><div class=a2><h1>z</h1><ul><li></div>"))
+    paths = []
+    for root in (a, b):
+        wrapper.number(root)
+        todo, found = [root], {}
+        while todo:
+            node = todo.pop()
+            found[node.number] = node.path
+            todo += node.children.values()
+        paths.append(found)
+    size, pairs = wrapper.match(a, b)
+    assert size == 4 and all(paths[0][i] == paths[1][j] for i, j in pairs)
