@@ -135,6 +135,11 @@ def _with_keys(prints: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, print and component_id (least key reachable over links of 2 bits or fewer) per row."""
+    return _rooted(docs, shingle, key, text).select(key, "print", "component_id")
+
+
+def _rooted(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """As near_groups, and root: the least print of the group, which no other group has."""
     rows = stored(fingerprints(docs, shingle, key, text), "fingerprints")
     nodes = stored(rows.groupBy("print").agg(F.min(key).alias("least")), "distinct_prints")
     keyed = stored(
@@ -159,18 +164,21 @@ def near_groups(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: st
         "members",
     )
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = members.join(least, "root").select("print", "component_id")
-    return rows.join(groups, "print").select(key, "print", "component_id")
+    groups = members.join(least, "root").select("print", "root", "component_id")
+    return rows.join(groups, "print").select(key, "print", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, all columns as they are: that with the least key.
 
-    Repeated rows are in one group, so one of them stays.
+    Repeated rows are in one group, so one of them stays. If the least key is null or has several
+    texts in a group, that with the least fingerprint stays.
     """
-    groups = near_groups(docs, shingle, key, text)
-    chosen = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "print").count()
-    chosen = stored(chosen.toDF("_key", "_print", "_n"), "chosen")
+    groups = _rooted(docs, shingle, key, text)
+    counted = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root", key, "print").count()
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("print"), F.col(key), F.col("count"))).alias("first"))
+    chosen = first.select(F.col(f"first.{key}").alias("_key"), F.col("first.print").alias("_print"), F.col("first.count").alias("_n"))
+    chosen = stored(chosen, "chosen")
     at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("_print", LongType())])
     names = schema.names

@@ -8,7 +8,7 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
-from loanloom.llm import noisy_or
+from loanloom.llm import golay, noisy_or
 from loanloom.llm.common import table
 from loanloom.llm.queries import PIECE_MODEL, TOXIC, training_labels
 
@@ -67,3 +67,16 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, docs, no_docs):
     changed = clean.where(F.col("text").isNotNull() & (F.length("text") != F.col("n_chars"))).count()
     assert changed == 0
     assert WORD.findall("a b") == ["a", "b"]
+
+
+def test_one_row_of_a_group_whose_least_id_is_null_or_repeated(spark):
+    words = [f"w{i}" for i in range(400)]
+    first = " ".join(words)
+    near = (" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(400))
+    near = next(t for t in near if 1 <= (golay.fingerprint(first, 3) ^ golay.fingerprint(t, 3)).bit_count() <= 2)
+    alone = "another text of its own"
+    for ids in ((None, None), (1, 1), (None, 1), (1, 2)):
+        rows = [(ids[0], first), (ids[1], near), (ids[0], first), (ids[0], alone)]
+        kept = golay.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r.text == alone for r in kept) == [False, True], ids
+        assert all(r.doc_id == min((i for i in ids if i is not None), default=None) for r in kept if r.text != alone)
