@@ -66,10 +66,10 @@ class NoisyOr:
         """Start, end and log-odds of each sentence."""
         out, start = [], 0
         ends = [(m.start(), m.end()) for m in _STOPS.finditer(text)] + [(len(text), len(text))]
-        lower = text.lower() if len(text.lower()) == len(text) else text
-        for end, after in ends:
+        # lower case may have another length, but has the same stops
+        for (end, after), sentence in zip(ends, _STOPS.split(text.lower()), strict=True):
             z = self.bias
-            for w in set(_WORD.findall(lower, start, end)):
+            for w in set(_WORD.findall(sentence)):
                 found = self.words.get(w)
                 z += self.word(w) if found is None else found
             out.append((start, end, z))

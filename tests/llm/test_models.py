@@ -109,3 +109,12 @@ def test_additive_model_needs_its_pairs():
     model = additive.train(x, y, np.ones(len(y)))
     assert model.pairs[0][:2] == (3, 7)
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def test_toxic_capitals_beside_a_letter_whose_lower_case_is_longer():
+    model = noisy_or.NoisyOr({"<bad>": 9.0}, -5.0)
+    text = "İİ. BADΣ! Bad words.\nEnd"
+    assert model.score("İ. BAD") == model.score("x. bad") > 0.9
+    found = model.sentences(text)
+    assert [text[a:b] for a, b, _ in found] == ["İİ", " BADΣ", " Bad words", "End"]
+    assert [z for _, _, z in found] == [-5.0, -5.0, 4.0, -5.0]
