@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loanloom.llm import (
     additive,
     byte_gru,
+    curriculum,
     debruijn,
     decontam,
     elias_fano,
@@ -16,6 +17,8 @@ from loanloom.llm import (
     multi_index,
     noisy_or,
     piece_codec,
+    resample,
+    rotation,
     wrapper,
 )
 from loanloom.llm.common import bucket_of, table
@@ -24,6 +27,9 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Least score of a document that counts as toxic.
 TOXIC = 0.3
+#: Weights over the training of the first, second, third source, and so on in turn: they amount to
+#: 5, 2 and 1; large sources fade, small ones grow.
+SCHEDULES = (((0, 7.5), (1, 2.5)), ((0, 2), (1, 2)), ((0, 0.5), (1, 1.5)))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +102,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read_token_files(files, ("ids_crc32",))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+    return rotation.fill_in_middle(table(spark, sf_dir, "documents"), wanted)
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their share of the mix; position: when training first meets one, null if never."""
+    mixed = curriculum.mix(table(spark, sf_dir, "documents"), SCHEDULES)
+    first = F.when(F.size("times") > 0, F.col("times")[0])
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_main_text": op2_main_text,
@@ -107,6 +130,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_mixture": op12_mixture,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -188,4 +214,68 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(said, '')) AS kept_sha256
         FROM words LEFT JOIN joined ON words.doc_id = joined.doc_id
     """,
+    "op11_fill_in_middle": r"""
+        WITH drawn AS (
+            SELECT doc_id, t, len(w) AS n, w, [('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT FOR i IN range(4)] AS h
+            FROM (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w
+                  FROM documents)
+        ), cut AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                   CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR h[3] % 100 >= 50 THEN 'plain'
+                        WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ), parts AS (
+            SELECT doc_id, n, form, t, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m,
+                   array_to_string(w[b + 1 : n], '') AS s
+            FROM cut
+        )
+        SELECT doc_id, n::BIGINT AS n, form,
+               if(form = 'plain', NULL, length(p))::BIGINT AS prefix_chars,
+               if(form = 'plain', NULL, length(m))::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
+    "op12_mixture": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   ('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1 : 15])::BIGINT AS draw
+            FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind
+            FROM docs GROUP BY source
+        ), weighed AS (
+            SELECT *, [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS most FROM sources
+        ), rounds AS (
+            SELECT 0 AS round, source, kind, source_size, weight, most, false AS is_full FROM weighed
+            UNION ALL
+            SELECT round + 1, source, kind, source_size, weight, most, is_full OR weight * words > most * open
+            FROM (SELECT *, sum(source_size::DOUBLE) OVER () - sum(if(is_full, most, 0)) OVER () AS words,
+                         sum(if(is_full, 0, weight)) OVER () AS open
+                  FROM rounds WHERE round <= (SELECT count(*) FROM weighed))
+        ), targets AS (
+            SELECT source, kind, source_size,
+                   if(is_full, most, least(most, (sum(source_size::DOUBLE) OVER () - sum(if(is_full, most, 0)) OVER ())
+                                                 * weight / sum(if(is_full, 0, weight)) OVER ())) AS target
+            FROM rounds WHERE round = (SELECT max(round) FROM rounds)
+        ), placed AS (
+            SELECT doc_id, size, source_size, target, kind, floor(target)::BIGINT AS demand,
+                   (sum(size) OVER (PARTITION BY docs.source ORDER BY draw, doc_id NULLS LAST, size
+                                    ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before
+            FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
+        ), counted AS (
+            SELECT *, if(size > 0, demand // source_size, 0) AS passes,
+                   if(size > 0, greatest(0, least(size, demand % source_size - before)), 0) AS over FROM placed
+        ), timed AS (
+            SELECT *, if(passes * size + over > 0, before::DOUBLE / target, NULL) AS part FROM counted
+        )
+        SELECT doc_id, size, source_size, target, (passes * size + over)::BIGINT AS taken,
+               CASE WHEN part IS NULL THEN NULL WHEN part = 0 THEN 0.0::DOUBLE WHEN kind = 1 THEN 2.0 * (part * 2.0) / (2.0 + sqrt(4.0 + 0.0 * part))
+                    WHEN kind = 0 THEN 2.0 * (part * 5.0) / (7.5 + sqrt(56.25 + -10.0 * (part * 5.0)))
+                    ELSE 2.0 * (part * 1.0) / (0.5 + sqrt(0.25 + 2.0 * (part * 1.0))) END::DOUBLE AS position
+        FROM timed
+    """,
 }
