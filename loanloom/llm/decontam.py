@@ -9,8 +9,9 @@ Every place of every text is looked at, but most windows are ruled out exactly:
 and n shingles can only be that similar if they share least * (m + n) / (1 + least) of them, so
 a window with fewer places whose shingle occurs in any item is none. The others get a 64-bit
 SimHash. A multi-index has the items' fingerprints in 8 blocks of 8 bits: two fingerprints at a
-distance of RADIUS = 23 or less differ in at most 2 bits of one block, so a look at each block's
-neighbours finds all items within the radius. What it finds is compared shingle by shingle.
+distance of RADIUS = 23 or less differ in at most 2 bits of one block. Each item is listed under
+all values within 2 bits of its own, so one look per block finds all items within the radius.
+What it finds is compared shingle by shingle.
 A similarity of 0.8 makes about 10 of the 64 bits differ; 23 is over four deviations from that.
 
 The benchmark is a query set; it goes to the tasks in blocks of bounded size, one pass over the
@@ -20,9 +21,11 @@ are all reported, repeated rows alike; null ids stay null. Empty tables give an
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,9 @@ _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _NEAR = [
     [v for v in range(256) if (u ^ v).bit_count() <= RADIUS // 8] for u in range(256)
 ]
+_NEAR = np.array(_NEAR)
+#: Pairs of a window and an item whose fingerprints are compared at once.
+_PAIRS = 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -71,7 +77,6 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int | None, str]], least: float):
         self.least = least
         self.ids, self.bags, prints, self.sizes = [], [], [], []
-        self.lists: dict[tuple[int, int, int], list[int]] = {}
         known: dict[int, list[np.ndarray]] = {}
         for item, text in items:
             words = words_of(text)
@@ -81,20 +86,18 @@ class ItemIndex:
             start = np.arange(n - k + 1)
             hashes = RunHashes(words).hash(start, start + k)
             known.setdefault(k, []).append(hashes)
-            at = len(self.ids)
             self.ids.append(item)
             self.sizes.append(n)
             self.bags.append(Counter(_shingles(words)))
             prints.append(int(_simhash(hashes[None, :])[0]))
-            for block in range(8):
-                self.lists.setdefault((n, block, prints[-1] >> 8 * block & 255), []).append(at)
-        self.prints = prints
+        self.prints = np.array(prints, np.uint64)
+        self.lengths = sorted(set(self.sizes))
+        self._index()
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
         self.sieves = {}
         for k, hashes in self.known.items():
             self.sieves[k] = np.zeros(_SIEVE, bool)
             self.sieves[k][(hashes & np.uint64(_SIEVE - 1)).astype(np.int64)] = True
-        self.lengths = sorted(set(self.sizes))
         self.seen: dict[bytes, list[tuple[int, float]]] = {}
 
     def hits(self, hashes: np.ndarray, k: int) -> np.ndarray:
@@ -104,17 +107,45 @@ class ItemIndex:
         found[at] = np.isin(hashes[at], self.known[k])
         return found
 
-    def matches(self, n: int, fingerprint: int, words: list[bytes]) -> list[tuple[int, float]]:
-        """Items of n words that a window matches, with the similarity."""
+    def _index(self) -> None:
+        """Lists of items by (length, block, value), each item under all values near its own."""
+        place = np.searchsorted(self.lengths, self.sizes)
+        values = self.prints.view(np.uint8).reshape(-1, 8)
+        lists = (place[:, None] * 8 + np.arange(8)) * 256
+        lists = (lists[:, :, None] + _NEAR[values]).reshape(len(values), 8 * _NEAR.shape[1])
+        order = np.argsort(lists.ravel(), kind="stable")
+        self.members = (order // max(1, lists.shape[1])).astype(np.int32)
+        counts = np.bincount(lists.ravel(), minlength=len(self.lengths) * 2048)
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
+
+    def near(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a window (its place in prints) and an item of n words within the radius."""
+        first = self.lengths.index(n) * 2048
+        lists = first + 256 * np.arange(8) + prints.view(np.uint8).reshape(-1, 8)
+        counts = (self.ends - self.starts)[lists]
+        each = np.cumsum(counts.sum(axis=1))
+        found = []
+        a = 0
+        while a < len(prints):
+            b = max(a + 1, int(np.searchsorted(each, (each[a - 1] if a else 0) + _PAIRS, "right")))
+            some = counts[a:b].ravel()
+            inner = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            item = self.members[np.repeat(self.starts[lists[a:b]].ravel(), some) + inner]
+            window = np.repeat(np.arange(a, b), counts[a:b].sum(axis=1))
+            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+            # a pair is found once for each block that is near
+            found.append(np.unique(window[close] * len(self.ids) + item[close]))
+            a = b
+        pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
+
+    def matches(self, n: int, near: list[int], words: list[bytes]) -> list[tuple[int, float]]:
+        """Those of the items near a window, of n words each, that it matches, with the similarity."""
         key = b"%d " % n + b" ".join(words)
         if key not in self.seen:
-            near = set()
-            for block in range(8):
-                for value in _NEAR[fingerprint >> 8 * block & 255]:
-                    near.update(self.lists.get((n, block, value), ()))
-            near = [i for i in near if (self.prints[i] ^ fingerprint).bit_count() <= RADIUS]
-            bag = Counter(_shingles(words)) if near else Counter()
-            alike = [(i, similarity(self.bags[i], bag)) for i in sorted(near)]
+            bag = Counter(_shingles(words))
+            alike = [(i, similarity(self.bags[i], bag)) for i in near]
             if len(self.seen) >= KEPT_WINDOWS:
                 self.seen.clear()
             self.seen[key] = [(i, s) for i, s in alike if s >= self.least]
@@ -140,14 +171,13 @@ class ItemIndex:
             hit = np.zeros(len(words), bool)
             hit[start] = self.hits(hashes[start], k)
             if hit.any():
-                prepared[k] = hashes, np.concatenate([[0], np.cumsum(hit)])
+                prepared[k] = hashes, np.concatenate([[0], np.cumsum(hit)]), np.flatnonzero(hit)
         for n in self.lengths:
             k = min(SHINGLE, n)
             if k not in prepared:
                 continue
-            hashes, count = prepared[k]
-            whole = np.arange(max(0, len(words) - n + 1))
-            whole = whole[count[whole + n - k + 1] - count[whole] >= self._needed(n - k + 1, n - k + 1)]
+            hashes, count, places = prepared[k]
+            whole = self._crowded(places, n - k + 1, len(words) - n)
             whole = whole[document[whole] == document[whole + n - 1]] if len(whole) else whole
             self._verify(n, n - k + 1, whole, n, hashes, words, document, begin, out)
             for size in np.unique(sizes[(sizes < n) & (sizes >= k)]):
@@ -157,6 +187,18 @@ class ItemIndex:
                 self._verify(n, m, short, int(size), hashes, words, document, begin, out)
         return out
 
+    def _crowded(self, places: np.ndarray, m: int, last: int) -> np.ndarray:
+        """Starts up to `last` of runs of m shingles with enough hits; places: the hits, in order."""
+        need = math.ceil(self._needed(m, m))
+        if len(places) < need or last < 0:
+            return np.zeros(0, np.int64)
+        # runs that hold `need` hits in a row start within a range; ranges rise, so overlaps are cut
+        low = np.maximum(places[need - 1 :] - (m - 1), 0)
+        high = np.minimum(places[: len(places) - need + 1], last)
+        low = np.maximum(low, np.concatenate([[0], np.maximum.accumulate(np.where(low <= high, high, -1))[:-1] + 1]))
+        size = np.maximum(high - low + 1, 0)
+        return np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
     def _needed(self, m: int, n: int) -> float:
         return self.least * (m + n) / (1 + self.least) - 1e-9
 
@@ -165,11 +207,14 @@ class ItemIndex:
         for i in range(0, len(start), step):
             some = start[i : i + step]
             prints = _simhash(hashes[some[:, None] + np.arange(m)])
-            for s, fingerprint in zip(some.tolist(), prints.tolist(), strict=True):
-                for item, alike in self.matches(n, fingerprint, words[s : s + size]):
-                    best = out[document[s]]
-                    if item not in best or alike > best[item][0]:
-                        best[item] = alike, s - int(begin[document[s]])
+            window, item = self.near(n, prints)
+            edges = np.flatnonzero(np.diff(window, prepend=-1, append=-1)).tolist()
+            for a, b in pairwise(edges):
+                s = int(some[window[a]])
+                best = out[document[s]]
+                for j, alike in self.matches(n, item[a:b].tolist(), words[s : s + size]):
+                    if j not in best or alike > best[j][0]:
+                        best[j] = alike, s - int(begin[document[s]])
 
 
 def _blocks(benchmark: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
