@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +32,23 @@ def bucket_of(key: str | Column, n: int) -> Column:
     return (F.crc32(key.cast("string").cast("binary")) % n).cast("int")
 
 
-def pieces(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of about PIECE_BYTES of the given text column."""
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of the frame has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pieces(batch: pa.RecordBatch, text: int = 1, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about `most` bytes of the given text column."""
     sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
-        if i > start and held + (size or 0) > PIECE_BYTES:
+        if i > start and held + (size or 0) > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size or 0
@@ -78,7 +88,6 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, ...]:
     """Powers of the multiplier and of its inverse modulo 2^64."""
     return tuple(
@@ -100,7 +109,7 @@ class RunHashes:
     def __init__(self, words: list[bytes]):
         n = len(words)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        power, self.inverse = _powers(1 << max(20, (n + 1).bit_length()))
+        power, self.inverse = _powers(n)
         sums = (hashes * power[:n]).cumsum(dtype=np.uint64)
         self.prefix = np.concatenate([np.zeros(1, np.uint64), sums])
 

@@ -32,11 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import RunHashes, pieces
+from loanloom.llm.common import RunHashes, free_names, pieces
 from loanloom.sources.store import stored
 
 #: Words of an anchor.
 ANCHOR = 6
+#: Text whose paths are built at once; arrays over its words take some 25 times as much.
+PIECE = 2 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -83,7 +85,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _rows(docs: DataFrame, make_batch, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 2):
+            for piece in pieces(batch, 2, PIECE):
                 yield from make_batch(piece)
 
     return docs.mapInArrow(run, schema)
@@ -173,7 +175,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 2):
+            for piece in pieces(batch, 2, PIECE // 4):
                 found = Paths(_unpacked(piece.column(2).to_pylist()), length)
                 chosen, base = piece.column(3), found.places()
                 wanted = np.zeros(len(base), bool)
@@ -287,14 +289,15 @@ def without_repeats(
     which may leave an empty text. A column of the number of characters follows.
     """
     keyed = _keyed(docs, key, text)
-    spans = repeated_spans(keyed, length).toDF("_doc", "_tie", "_spans")
+    doc, tie, marks = free_names(docs, "doc", "tie", "spans")
+    spans = repeated_spans(keyed, length).toDF(doc, tie, marks)
     unique = keyed.where("tie <> 0").isEmpty()
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         "*",
-        F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("_doc"),
-        (F.lit(0).cast("long") if unique else F.xxhash64(whole)).alias("_tie"),
-    ).join(spans, ["_doc", "_tie"], "left")
+        F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias(doc),
+        (F.lit(0).cast("long") if unique else F.xxhash64(whole)).alias(tie),
+    ).join(spans, [doc, tie], "left")
     at = docs.columns.index(text)
     columns = [c for c in docs.columns]
 
@@ -312,7 +315,7 @@ def without_repeats(
                 arrays[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    result = rows.select(*columns, "_spans").mapInArrow(clean, docs.schema)
+    result = rows.select(*columns, marks).mapInArrow(clean, docs.schema)
     if chars in columns:
         counted = F.when(F.col(chars).isNotNull(), F.length(text))
         result = result.withColumn(chars, counted.cast(docs.schema[chars].dataType))

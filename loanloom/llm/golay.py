@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from loanloom.llm.common import id_and_text, map_texts, pieces
+from loanloom.llm.common import free_names, id_and_text, map_texts, pieces
 from loanloom.llm.components import components
 from loanloom.sources.store import stored
 
@@ -135,12 +135,15 @@ def _with_keys(prints: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, print and component_id (least key reachable over links of 2 bits or fewer) per row."""
-    return _rooted(docs, shingle, key, text).select(key, "print", "component_id")
+    rows = stored(fingerprints(docs, shingle, key, text), "fingerprints")
+    return rows.join(_groups(rows, key), "print").select(key, "print", "component_id")
 
 
-def _rooted(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """As near_groups, and root: the least print of the group, which no other group has."""
-    rows = stored(fingerprints(docs, shingle, key, text), "fingerprints")
+def _groups(rows: DataFrame, key: str) -> DataFrame:
+    """Per print: component_id, and root, the least print of the group, which no other group has.
+
+    rows: stored keys and prints.
+    """
     nodes = stored(rows.groupBy("print").agg(F.min(key).alias("least")), "distinct_prints")
     keyed = stored(
         _with_keys(nodes.select("print")).select("print", F.explode("keys").alias("key")), "keyed"
@@ -164,8 +167,7 @@ def _rooted(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
         "members",
     )
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = members.join(least, "root").select("print", "root", "component_id")
-    return rows.join(groups, "print").select(key, "print", "root", "component_id")
+    return members.join(least, "root").select("print", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,13 +176,9 @@ def representatives(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
     Repeated rows are in one group, so one of them stays. If the least key is null or has several
     texts in a group, that with the least fingerprint stays.
     """
-    groups = _rooted(docs, shingle, key, text)
-    counted = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root", key, "print").count()
-    first = counted.groupBy("root").agg(F.min(F.struct(F.col("print"), F.col(key), F.col("count"))).alias("first"))
-    chosen = first.select(F.col(f"first.{key}").alias("_key"), F.col("first.print").alias("_print"), F.col("first.count").alias("_n"))
-    chosen = stored(chosen, "chosen")
     at = docs.columns.index(text)
-    schema = StructType([*docs.schema.fields, StructField("_print", LongType())])
+    mark, = free_names(docs, "print")
+    schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
     names = schema.names
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +187,15 @@ def representatives(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
                 prints = np.array([fingerprint(t or "", shingle) for t in piece.column(at).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(prints.view(np.int64))], names=names)
 
-    rows = docs.mapInArrow(add, schema)
-    same = rows[key].cast("long").eqNullSafe(chosen["_key"]) & (rows["_print"] == chosen["_print"])
-    kept = rows.join(chosen.select("_key", "_print"), same, "left_semi")
-    if not chosen.where("_n > 1").isEmpty():
-        kept = kept.dropDuplicates([key, "_print"])
-    return kept.drop("_print")
+    # stored with the texts, so that each is hashed once
+    marked = stored(docs.mapInArrow(add, schema), "marked")
+    rows = marked.select(F.col(key).cast("long").alias("key"), F.col(mark).alias("print"))
+    groups = rows.join(_groups(rows, "key"), "print")
+    counted = groups.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("root", "key", "print").count()
+    first = counted.groupBy("root").agg(F.min(F.struct("print", "key", "count")).alias("first"))
+    chosen = stored(first.select("first.*"), "chosen")
+    same = marked[key].cast("long").eqNullSafe(chosen["key"]) & (marked[mark] == chosen["print"])
+    kept = marked.join(chosen.select("key", "print"), same, "left_semi")
+    if not chosen.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key, mark])
+    return kept.drop(mark)

@@ -18,6 +18,12 @@ DOCS = T.StructType(
         T.StructField("doc", T.StringType()),
         T.StructField("tie", T.StringType()),
         T.StructField("spans", T.StringType()),
+        T.StructField("_print", T.StringType()),
+        T.StructField("_doc", T.StringType()),
+        T.StructField("_Tie", T.StringType()),
+        T.StructField("_spans", T.StringType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("count", T.StringType()),
         T.StructField("n_chars", T.LongType()),
     ]
 )
@@ -56,7 +62,7 @@ def odd_texts() -> list[tuple[int | None, str | None]]:
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    rows = [(i, t, "en", "p", "s", "c", "d", "t", "sp", 7) for i, t in odd_texts()]
+    rows = [(i, t, "en", "p", "s", "c", "d", "t", "sp", "p", "d", "t", "s", "k", "c", 7) for i, t in odd_texts()]
     return spark.createDataFrame(rows, DOCS).repartition(4, "n_chars", F.xxhash64("text"))
 
 

@@ -79,7 +79,7 @@ def slow_middle(key, text):
 
 
 def test_fill_in_middle_of_odd_texts(spark, docs, no_docs):
-    extra = [(i, t, "e", "p", "s", "c", "d", "t", "sp", 1) for i, t in ((50, "a <P> b"), (51, "x <M>"), (55, "<S>"), (61, "c d e f " * 9))]
+    extra = [(i, t, "e", *["x"] * 12, 1) for i, t in ((50, "a <P> b"), (51, "x <M>"), (55, "<S>"), (61, "c d e f " * 9))]
     rows = docs.union(spark.createDataFrame(extra, docs.schema))
     found = rotation.fill_in_middle(rows)
     wanted = [slow_middle(i, t) for i, t in [*odd_texts(), *((r[0], r[1]) for r in extra)]]
@@ -253,7 +253,7 @@ def test_resampling_of_odd_texts(spark, docs, no_docs, monkeypatch):
     more = [(None if i % 50 == 0 else 100 + i, " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(15, 60)))) for i in range(600)]
     more += [(200, "a " * 30)] * 30
     rows = [*odd_texts(), *more]
-    df = docs.union(spark.createDataFrame([(i, t, "e", "p", "s", "c", "d", "t", "sp", 1) for i, t in more], docs.schema))
+    df = docs.union(spark.createDataFrame([(i, t, "e", *["x"] * 12, 1) for i, t in more], docs.schema))
     target = ["a b c d", None, "", "A-b w1 w2 w3 w5"]
     items = spark.createDataFrame([(None, t) for t in target], "item_id long, text string")
     found = resample.resampled(df, items)
