@@ -34,7 +34,7 @@ from loanloom.sources.store import stored
 #: Points (time, weight) of a schedule; times go from 0 to 1.
 Schedule = Sequence[tuple[float, float]]
 #: Documents that are summed in one go.
-RUN = 1 << 14
+RUN = 1 << 11
 _BLANK = " \t\n\x0b\x0c\r"
 
 
