@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from loanloom.functions.metrics import known
 from loanloom.functions.numeric import currency
 from loanloom.plans import cohort, dashboard, kpis, quality, raw_variants, risk, segments
-from loanloom.schemas import LOANS, STAGING_COLUMNS
+from loanloom.schemas import STAGING_COLUMNS
 from loanloom.sources import ingest
 from loanloom.sources.portfolio import star_portfolio, star_staging
 from loanloom.sources.store import new_table_path
@@ -140,7 +141,7 @@ def _write_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     loans = _broken(star_portfolio(spark, sf_dir, AS_OF).loans)
     path = new_table_path(spark, "loans_by_year")
     ingest.write_loans(loans, path)
-    return comparable(spark.read.schema(loans.schema).parquet(path).drop("balance_gross"))
+    return comparable(ingest.read_loans(spark, path).drop("balance_gross"))
 
 
 def _incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,16 +150,44 @@ def _incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "loans_incremental")
     early = F.col("approvalfiscalyear") < "2013"
     ingest.write_loans(ingest.import_loans(staging.filter(early), AS_OF), path)
-    have = spark.read.schema(LOANS).parquet(path)
-    later = ingest.import_loans(staging.filter(~early), AS_OF, ingest.next_number(have))
+    first = ingest.loan_table(spark, path).last_number() + 1
+    later = ingest.import_loans(staging.filter(~early), AS_OF, first)
     open_loans = F.when(_key() % 17 == 1, F.lit("OPEN")).otherwise(F.col("loan_status"))
     ingest.incremental_load(spark, later.withColumn("loan_status", open_loans), path)
-    stored = spark.read.schema(LOANS).parquet(path)
     return comparable(
-        stored.select("loan_id", "business_name", "approval_date", "approval_fy", "created_at")
+        ingest.read_loans(spark, path).select(
+            "loan_id", "business_name", "approval_date", "approval_fy", "created_at"
+        )
     )
 
 
+def _load_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans per version and year: a first load, a batch, and the same batch again, which adds nothing."""
+    loans = star_portfolio(spark, sf_dir, AS_OF).loans
+    path = new_table_path(spark, "loans_versions")
+    ingest.write_loans(loans.filter("approval_date < '2010-01-01'"), path)
+    for _ in range(2):
+        ingest.incremental_load(spark, loans.filter("approval_date < '2014-07-01'"), path, batch="to mid 2014")
+    ingest.incremental_load(spark, loans, path, batch="the rest")
+    counts = [
+        ingest.read_loans(spark, path, v)
+        .groupBy("approval_fy")
+        .agg(F.count(F.lit(1)).alias("loan_count"))
+        .select(F.lit(v).alias("version"), "approval_fy", "loan_count")
+        for v in range(1, ingest.loan_table(spark, path).version + 1)
+    ]
+    return comparable(reduce(DataFrame.union, counts))
+
+
+def _stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a batch's ids are stored: found by the ranges and filters of the files."""
+    loans = star_portfolio(spark, sf_dir, AS_OF).loans
+    path = new_table_path(spark, "loans_keyed")
+    ingest.write_loans(loans.filter(_key() % 3 != 1), path)
+    batch = loans.filter(_key() % 5 < 2)
+    return comparable(ingest.loan_table(spark, path).stored_keys(batch))
+
+
 def _odd_ids(loans: DataFrame) -> DataFrame:
     """A table in which some loans are booked twice and some have no id."""
     gone = F.when(_key() % 53 != 0, F.col("loan_id"))
@@ -199,6 +228,8 @@ def ingest_queries() -> dict[str, Query]:
         "check_unique": _on_loans(lambda loans: ingest.check_unique(_twice(loans))),
         "write_loans": _write_loans,
         "incremental_load": _incremental_load,
+        "load_history": _load_history,
+        "stored_ids": _stored_ids,
         "sample_loans": _on_loans(
             lambda loans: ingest.sample_loans(_odd_ids(loans)).select(
                 "loan_id", "business_name", "approval_date", "gross_approved"

@@ -11,8 +11,8 @@ from loanloom.functions import parsing as P
 from loanloom.functions.dates import as_of_date
 from loanloom.functions.numeric import mean, ratio, share_of
 from loanloom.operators.numbering import numbered
-from loanloom.schemas import STAGING, STAGING_COLUMNS, as_loans
-from loanloom.sources.store import stored
+from loanloom.schemas import LOANS, STAGING, STAGING_COLUMNS, as_loans
+from loanloom.sources.versions import LoadConflict, Table
 
 ID_ORDER = ("approvalfiscalyear", "approvaldate", "borrname")
 # The raw columns that the import uses.
@@ -235,33 +235,53 @@ def check_unique(df: DataFrame, key: str = "loan_id") -> DataFrame:
     return counts.filter("duplicate_count > 1")
 
 
-def _append(loans: DataFrame, path: str, mode: str) -> None:
-    """Store by fiscal year; the rebalance splits large years over several files."""
-    (
-        loans.hint("rebalance", "approval_fy")
-        .write.mode(mode)
-        .partitionBy("approval_fy")
-        .parquet(path)
-    )
-
-
 def _refuse(ids: DataFrame, what: str) -> None:
     found = [r[0] for r in ids.select("loan_id").limit(5).collect()]
     if found:
         raise ValueError(f"{what}, for example {', '.join(map(str, found))}")
 
 
-def write_loans(loans: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+def loan_table(spark: SparkSession, path: str, version: int | None = None) -> Table:
+    """The stored loans at their newest version, or at an older one."""
+    return Table(spark, path, LOANS, part="approval_fy", key="loan_id", day="approval_date", version=version)
+
+
+def read_loans(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The loans that the newest version has (or an older one, while it is kept)."""
+    return loan_table(spark, path, version).rows()
+
+
+def write_loans(
+    loans: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    batch: str | None = None,
+    table: Table | None = None,
+) -> DataFrame:
     """Store the loans that satisfy the constraints by fiscal year; the others are returned.
 
-    Nothing is written if an id is missing or occurs twice.
+    All of it is published in one step, as the next version: readers see the old table or the new one, also
+    if the load is stopped at any point. Nothing is published if an id is missing, occurs twice or
+    (with mode "append") is stored already, or if another load was published since ``table`` was opened.
+    The rows are written once; ids are checked in what is written.
     """
-    checked = stored(validate_constraints(as_loans(loans)), "checked")
-    good = checked.filter(F.size("rejected_reasons") == 0).drop("rejected_reasons")
-    _refuse(good.filter("loan_id IS NULL"), "loans without an id")
-    _refuse(check_unique(good), "ids that occur twice")
-    _append(good, path, mode)
-    return checked.filter(F.size("rejected_reasons") > 0)
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode {mode}")
+    table = table or loan_table(loans.sparkSession, path)
+    checked = validate_constraints(as_loans(loans))
+    load = table.write(checked.withColumn("rejected", F.size("rejected_reasons") > 0))
+    good = table.written(load)
+    try:
+        _refuse(good.filter("loan_id IS NULL"), "loans without an id")
+        _refuse(check_unique(good), "ids that occur twice")
+        if mode == "append":
+            _refuse(table.stored_keys(good), "ids stored already")
+        table.describe(load)
+        table.publish(load, batch, replace=mode == "overwrite")
+    except (ValueError, LoadConflict):
+        table.forget(load)
+        raise
+    return table.written(load, rejected=True)
 
 
 def newer_loans(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -270,16 +290,24 @@ def newer_loans(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.filter(latest.isNull() | (F.col("approval_date") > latest))
 
 
-def incremental_load(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
+def incremental_load(
+    spark: SparkSession, incoming: DataFrame, path: str, batch: str | None = None
+) -> DataFrame:
     """Append the newer loans to a stored table; those that break a constraint are returned.
 
-    Nothing is written if an id is missing, occurs twice or is stored already; ``next_number``
-    of the stored table gives ids that go on from it.
+    The latest stored day is known per file, and only files that can hold one of the new ids are
+    read. Nothing is loaded if an id is missing, occurs twice or is stored already; ``next_number``
+    of the stored table gives ids that go on from it. A load that was published meanwhile makes
+    this one fail with ``LoadConflict``; it can then be run again. A batch whose key the table has
+    taken in before adds nothing and returns no rows.
     """
-    existing = spark.read.schema(as_loans(incoming).schema).parquet(path)
-    newer = stored(newer_loans(existing, as_loans(incoming)), "newer")
-    _refuse(existing.join(newer.select("loan_id"), "loan_id", "left_semi"), "ids stored already")
-    return write_loans(newer, path, mode="append")
+    table = loan_table(spark, path)
+    loans = as_loans(incoming)
+    if table.has_batch(batch):
+        return validate_constraints(loans).limit(0)
+    latest = table.latest_day()
+    newer = loans if latest is None else loans.filter(F.col("approval_date") > F.lit(latest))
+    return write_loans(newer, path, "append", batch, table)
 
 
 def _sample_key(seed: int) -> Column:

@@ -183,6 +183,11 @@ ORACLES = {
     )
     SELECT printf('SBA-%08d', n) AS loan_id, business_name, {day('approval_date')} AS approval_date,
       {whole('approval_fy')} AS approval_fy, '2015-09-01 00:00:00' AS created_at FROM kept"""),
+    "load_history": sql(f"""
+    SELECT version::BIGINT AS version, {whole('approval_fy')} AS approval_fy, count(*) AS loan_count
+    FROM loans JOIN (VALUES (1, DATE '2010-01-01'), (2, DATE '2014-07-01'), (3, DATE '9999-01-01')) v(version, before)
+      ON approval_date < before GROUP BY ALL"""),
+    "stored_ids": sql("SELECT loan_id FROM loans WHERE k % 3 <> 1 AND k % 5 < 2"),
     "sample_loans": sql(f"""
     , booked AS (
       SELECT * FROM loans UNION ALL FROM loans WHERE rev_line_of_credit = 'Y' AND low_doc = 'Y'
