@@ -121,6 +121,17 @@ def _read_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_raw_csv(spark, _csv_folders(spark, sf_dir))
 
 
+def _read_quoted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows whose streets have line breaks and quotes in them, from one file of each folder."""
+    path = new_table_path(spark, "quoted_csv")
+    k = F.col("source_key")
+    breaks = F.when(k % 7 == 0, F.lit('\n"rear",\n\n2nd floor')).when(k % 5 == 0, F.lit("\n")).otherwise(F.lit(""))
+    staging = star_staging(spark, sf_dir).withColumn("borrstreet", F.concat("borrstreet", breaks))
+    rows = staging.withColumn("batch", k % 2).repartition(2, "batch").drop("source_key")
+    ingest.write_raw_csv(rows, path, partition_by="batch")
+    return ingest.read_quoted_csv(spark, [f"{path}/batch={i}" for i in range(2)])
+
+
 def _rejected_raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ingest.rejected_raw_rows(spark, _csv_folders(spark, sf_dir))
     fields = F.split(ingest.RAW_LINE, ",")
@@ -205,6 +216,7 @@ def _imported(staging: DataFrame) -> DataFrame:
 def ingest_queries() -> dict[str, Query]:
     return {
         "read_raw_csv": _read_raw_csv,
+        "read_quoted_csv": _read_quoted_csv,
         "rejected_raw_rows": _rejected_raw_rows,
         "count_by_source": _count_by_source,
         "import_loans": _on_staging(_imported),

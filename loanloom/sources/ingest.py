@@ -12,6 +12,7 @@ from loanloom.functions.dates import as_of_date
 from loanloom.functions.numeric import mean, ratio, share_of
 from loanloom.operators.numbering import numbered
 from loanloom.schemas import LOANS, STAGING, STAGING_COLUMNS, as_loans
+from loanloom.sources.quoted_csv import read_quoted
 from loanloom.sources.versions import LoadConflict, Table
 
 ID_ORDER = ("approvalfiscalyear", "approvaldate", "borrname")
@@ -56,7 +57,7 @@ def read_raw_csv(spark: SparkSession, paths, multi_line: bool = False) -> DataFr
     A header with other names or another order is an error. Rows with too few or too many
     fields are left out; ``rejected_raw_rows`` returns them. Large files are split. A quoted
     line break makes its row two rejected ones, unless ``multi_line`` is set, which reads each
-    file in one task.
+    file in one task; ``read_quoted_csv`` reads such files by many tasks.
     """
     raw = _raw_csv(spark, paths, multi_line)
     return raw.filter(F.col(RAW_LINE).isNull() & _parsed()).drop(RAW_LINE)
@@ -74,6 +75,28 @@ def rejected_raw_rows(spark: SparkSession, paths, multi_line: bool = False) -> D
     )
 
 
+def read_quoted_csv(spark: SparkSession, paths) -> DataFrame:
+    """The same rows as ``read_raw_csv`` with ``multi_line``, large files split between tasks.
+
+    Costs one stored copy and one shuffle of the lines. A quote that is never closed takes the rest of
+    its file there; here a record of over ``quoted_csv.LONGEST`` lines is rejected line by line.
+    """
+    raw = read_quoted(spark, paths, STAGING, RAW_LINE)
+    return raw.filter(F.col(RAW_LINE).isNull()).select(*STAGING_COLUMNS)
+
+
+def rejected_quoted_rows(spark: SparkSession, paths) -> DataFrame:
+    """The rows ``read_quoted_csv`` leaves out: the file and folder, first field, and whole record."""
+    raw = read_quoted(spark, paths, STAGING, RAW_LINE).filter(F.col(RAW_LINE).isNotNull())
+    path = F.split("file", "/")
+    return raw.select(
+        F.element_at(path, -2).alias("folder"),
+        F.element_at(path, -1).alias("file"),
+        F.col(STAGING_COLUMNS[0]),
+        F.col(RAW_LINE),
+    )
+
+
 def write_raw_csv(staging: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Write text rows in the layout ``read_raw_csv`` reads."""
     writer = staging.write.option("header", True).option("escape", '"')

@@ -212,3 +212,6 @@ ORACLES = {
       {pct('c', 'sum(c) OVER ()')} AS pct_of_total
     FROM (SELECT loan_status, count(*) AS c FROM loans GROUP BY 1)"""),
 }
+_STREET = "(k % 500)::VARCHAR || ' Main St, Unit 2'"
+_BREAKS = """CASE WHEN k % 7 = 0 THEN chr(10) || '"rear",' || chr(10) || chr(10) || '2nd floor' WHEN k % 5 = 0 THEN chr(10) ELSE '' END"""
+ORACLES["read_quoted_csv"] = ORACLES["read_raw_csv"].replace(_STREET, f"{_STREET} || {_BREAKS}").replace(f"WHERE {WHOLE}", "")
