@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loanloom.operators.clean import clean
 from loanloom.operators.numbering import numbered
-from loanloom.operators.percentiles import MONEY_WIDTHS_SHORT, exact_percentiles
+from loanloom.operators.percentiles import exact_percentiles
 from loanloom.plans import quality
 from loanloom.schemas import LOANS, STAGING_COLUMNS, schema_report
 from loanloom.sources import ingest
@@ -55,12 +55,34 @@ def test_percentiles_of_many_groups_with_totals(spark):
 
 def test_percentiles_of_integers_and_nothing(spark):
     df = spark.range(1, 12).withColumn("id", F.col("id").cast("int"))
-    half = exact_percentiles(df, "id", {"m": 0.5, "q": 0.25}, scale=1, widths=MONEY_WIDTHS_SHORT)
+    half = exact_percentiles(df, "id", {"m": 0.5, "q": 0.25}, scale=1)
     assert tuple(half.collect()[0]) == (6.0, 3.5)
-    empty = exact_percentiles(df.filter("id > 99"), "id", {"m": 0.5}, scale=1, widths=MONEY_WIDTHS_SHORT)
+    empty = exact_percentiles(df.filter("id > 99"), "id", {"m": 0.5}, scale=1)
     assert [r.m for r in empty.collect()] == [None]
 
 
+@pytest.mark.parametrize("accuracy", [20, 300, 10_000])
+def test_percentiles_within_brackets(spark, accuracy):
+    rng = random.Random(accuracy)
+    groups = {
+        "spread": [rng.randint(-(10**9), 10**9) for _ in range(8000)],
+        "one value": [5] * 6000,
+        "two values": [7] * 3000 + [9] * 3001,
+        "hot": [rng.randint(0, 1000) for _ in range(500)] + [500] * 4000,
+        "sorted": list(range(5000)),
+        "few": [3, 1, 2],
+    }
+    rows = [(g, x) for g, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(6)
+    probs = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.501, "f": 0.99, "g2": 1.0}
+    got = exact_percentiles(df, "v", probs, by=["g"], scale=1, accuracy=accuracy)
+    for r in got.collect():
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.quantile(groups[r.g], p), abs=1e-3), (r.g, name)
+    every = exact_percentiles(df, "v", probs, scale=1, accuracy=accuracy).collect()[0]
+    assert [every[n] for n in probs] == pytest.approx([np.quantile([x for _, x in rows], p) for p in probs.values()], abs=1e-3)
+
+
 def test_numbering_with_one_hot_key(spark):
     hot = spark.range(0, 30_000, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).when(F.col("id") % 3 == 1, "same").alias("k"),
