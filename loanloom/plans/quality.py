@@ -15,6 +15,7 @@ from loanloom.functions import buckets as B
 from loanloom.functions.dates import as_of_date
 from loanloom.functions.metrics import OUTCOMES, loan_count
 from loanloom.functions.numeric import everything, mean, pct, ratio, rounded, share_of
+from loanloom.operators.duplicates import repeated
 from loanloom.operators.percentiles import exact_percentiles
 
 
@@ -239,10 +240,7 @@ def potential_duplicates(loans: DataFrame, top_k: int = 20) -> DataFrame:
     """Named loans that agree on borrower, place, day and amount. Missing values agree too."""
     same = ["business_name", "city", "state", "approval_date", "gross_approved"]
     return (
-        loans.filter("business_name IS NOT NULL")
-        .groupBy(*same)
-        .agg(loan_count().alias("potential_duplicates"))
-        .filter("potential_duplicates > 1")
+        repeated(loans.filter("business_name IS NOT NULL"), same, "potential_duplicates")
         .orderBy(F.desc("potential_duplicates"), *[F.asc_nulls_last(c) for c in same])
         .limit(top_k)
     )

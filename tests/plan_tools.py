@@ -41,8 +41,8 @@ def has_window_over_rows(df):
     return any(_reads_unreduced(w.children().apply(0)) for w in _windows(root))
 
 
-def run(spark, df):
-    """Collected rows, rows read from files and rows shuffled by all stages that ran for it.
+def run(spark, df, size=False):
+    """Collected rows, rows read from files and rows (or bytes) shuffled by all stages that ran for it.
 
     ``df`` may be a function that makes the frame, so that what it stores on the way counts.
     """
@@ -53,4 +53,5 @@ def run(spark, df):
     store = spark._jsparkSession.sparkContext().statusStore()
     stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
     ran = [s for s in map(store.lastStageAttempt, stages) if s.numCompleteTasks() > 0]
-    return rows, sum(s.inputRecords() for s in ran), sum(s.shuffleWriteRecords() for s in ran)
+    shuffled = (s.shuffleWriteBytes() if size else s.shuffleWriteRecords() for s in ran)
+    return rows, sum(s.inputRecords() for s in ran), sum(shuffled)

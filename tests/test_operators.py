@@ -2,18 +2,22 @@
 
 import datetime as dt
 import random
+from collections import Counter
 from decimal import Decimal
 
 import numpy as np
 import pytest
+from plan_tools import run
 from pyspark.sql import functions as F
 
 from loanloom.operators.clean import clean
+from loanloom.operators.duplicates import repeated
 from loanloom.operators.numbering import numbered
 from loanloom.operators.percentiles import exact_percentiles
 from loanloom.plans import quality
 from loanloom.schemas import LOANS, STAGING_COLUMNS, schema_report
 from loanloom.sources import ingest
+from loanloom.sources.portfolio import star_portfolio
 
 D = dt.date
 
@@ -83,6 +87,26 @@ def test_percentiles_within_brackets(spark, accuracy):
     assert [every[n] for n in probs] == pytest.approx([np.quantile([x for _, x in rows], p) for p in probs.values()], abs=1e-3)
 
 
+@pytest.mark.parametrize("spread", [1, 3, None])
+def test_repeated_groups_with_hashes_that_collide(spark, spread):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 300), None) for _ in range(600)] + [("hot", 1, "x")] * 500
+    df = spark.createDataFrame(rows, "s string, n int, t string").repartition(4)
+    few = (lambda *c: F.pmod(F.xxhash64(*c), F.lit(spread))) if spread else F.xxhash64
+    found = {tuple(r)[:3]: r.times for r in repeated(df, ["s", "n", "t"], "times", few).collect()}
+    assert found == {k: v for k, v in Counter(rows).items() if v > 1}
+    assert repeated(df.limit(0), ["s"], "times").collect() == []
+
+
+def test_repeated_groups_shuffle_less(spark):
+    loans = star_portfolio(spark, "/root/testdata/sf0.01", D(2015, 9, 1)).loans
+    key = ["business_name", "city", "state", "approval_date", "gross_approved"]
+    whole = loans.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    few = run(spark, lambda: repeated(loans, key, "n"), size=True)
+    all_columns = run(spark, whole, size=True)
+    assert sorted(few[0], key=str) == sorted(all_columns[0], key=str) and few[2] < 0.75 * all_columns[2]
+
+
 def test_numbering_with_one_hot_key(spark):
     hot = spark.range(0, 30_000, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).when(F.col("id") % 3 == 1, "same").alias("k"),
