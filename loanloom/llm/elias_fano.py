@@ -1,6 +1,7 @@
 """Token ids in binary files, with document boundaries in Elias-Fano coding.
 
-Documents are sorted by id over all files; a file holds one range of them:
+Documents are sorted by id over all files; a file holds one range of them, at most FILE_DOCS
+documents and about FILE_IDS ids, so neither its writer nor its reader grows with the table:
 
     "EFT1" | ids of all documents, 2 or 4 bytes each | boundaries | document ids | footer | size
 
@@ -8,7 +9,7 @@ Boundaries (and the document ids, which rise too) are Elias-Fano coded: of n ris
 below u, the low log2(u / n) bits are packed, and the rest is a bit vector with a one for every
 number after as many zeros as its high bits say. That takes about 2 + log2(u / n) bits a
 number. The place of every 256th one is kept as a 32-bit number, so select(i) looks at a few
-words. The footer is JSON and tells where each part lies.
+words, and a block of boundaries is read between two selects. The footer is JSON and tells where each part lies.
 
 Rows are sorted by id, null ids first, then by a hash of the text; repeated rows are kept, each
 as a document. A null or empty text is a document with the end id alone. An empty table gives
@@ -21,6 +22,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.llm.common import id_and_text, pieces
@@ -41,7 +43,11 @@ EVERY = 256
 #: Words and parts of words kept per Python worker; a full table is emptied.
 KEPT_WORDS = 500_000
 KEPT_LENGTH = 64
-#: Ids that a reader holds at once, unless one document has more.
+#: A file is closed when it has that many documents or ids; a document is never split.
+FILE_DOCS = 1 << 16
+FILE_IDS = 1 << 24
+#: Boundaries and ids that a reader holds at once, unless one document has more ids.
+READ_DOCS = 1 << 12
 READ_IDS = 4_000_000
 
 
@@ -69,8 +75,8 @@ class EliasFano:
         high[ones.astype(np.int64)] = 1
         return cls(n, low_bits, low, np.packbits(high, bitorder="little"))
 
-    def select(self, i: int) -> int:
-        """The i-th number."""
+    def _place(self, i: int) -> int:
+        """Where the i-th one stands in the high bits."""
         place = int(self.sample[i // EVERY])
         left, byte = i % EVERY, place >> 3
         word = int(self.high[byte]) >> (place & 7) << (place & 7)
@@ -80,22 +86,32 @@ class EliasFano:
             word = int(self.high[byte])
         for _ in range(left):
             word &= word - 1
-        place = byte * 8 + (word & -word).bit_length() - 1
+        return byte * 8 + (word & -word).bit_length() - 1
+
+    def select(self, i: int) -> int:
+        """The i-th number."""
         start = i * self.low_bits
         span = int.from_bytes(self.low[start >> 3 : (start + self.low_bits + 7) >> 3].tobytes(), "little")
-        return (place - i) << self.low_bits | (span >> (start & 7)) & ((1 << self.low_bits) - 1)
+        return (self._place(i) - i) << self.low_bits | (span >> (start & 7)) & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All numbers at once."""
-        if self.n == 0:
+    def block(self, i: int, k: int) -> np.ndarray:
+        """Numbers i to k - 1; only the bits between the two are looked at."""
+        if i >= k:
             return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little")).astype(np.uint64)
-        high = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits)
-        wide = np.zeros((self.n, 64), np.uint8)
-        wide[:, : self.low_bits] = bits.reshape(self.n, self.low_bits)
+        first, last = self._place(i), self._place(k - 1)
+        byte, start = first >> 3, i * self.low_bits
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : (last >> 3) + 1], bitorder="little")) + byte * 8
+        ones = ones[(ones >= first) & (ones <= last)].astype(np.uint64)
+        bits = np.unpackbits(self.low[start >> 3 : (k * self.low_bits + 7) >> 3], bitorder="little")[start & 7 :]
+        wide = np.zeros((k - i, 64), np.uint8)
+        wide[:, : self.low_bits] = bits[: (k - i) * self.low_bits].reshape(k - i, self.low_bits)
+        high = (ones - np.arange(i, k, dtype=np.uint64)) << np.uint64(self.low_bits)
         return high | np.packbits(wide, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
+    def values(self) -> np.ndarray:
+        """All numbers at once."""
+        return self.block(0, self.n)
+
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins characters over white space.
@@ -175,6 +191,49 @@ def _encoder(definition: str) -> WordEncoder:
     return WordEncoder(definition)
 
 
+class _NewFile:
+    """One file while it is written; holds the ids and boundaries of its documents."""
+
+    def __init__(self, folder: str, name: str, tool: WordEncoder, end_id: int):
+        files, base = pa.fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        self.path = f"{folder}/{name}"
+        self.out = files.open_output_stream(f"{base}/{name}")
+        self.out.write(MAGIC)
+        self.tool, self.end = tool, np.array([end_id], tool.kind).tobytes()
+        self.keys, self.ends, self.nulls, self.tokens = array("q"), array("q"), 0, 0
+
+    def add(self, doc: int | None, text: str) -> None:
+        raw = self.tool.encode(text) + self.end
+        self.out.write(raw)
+        self.tokens += len(raw) // self.tool.width
+        self.ends.append(self.tokens)
+        if doc is None:
+            self.nulls += 1
+        else:
+            self.keys.append(doc)
+
+    def close(self) -> None:
+        keys = np.array(self.keys, np.int64)
+        first = int(keys[0]) if len(keys) else 0
+        width = self.tool.width
+        footer = {"width": width, "docs": len(self.ends), "tokens": self.tokens}
+        footer |= {"null_ids": self.nulls, "first_id": first}
+        at = len(MAGIC) + self.tokens * width
+        # ids may lie further apart than signed numbers reach
+        offsets = keys.view(np.uint64) - np.int64(first).view(np.uint64)
+        for part, values in (("ends", np.array(self.ends, np.uint64)), ("ids", offsets)):
+            code = EliasFano.of(values)
+            for kind, raw in (("low", code.low), ("high", code.high)):
+                self.out.write(raw.tobytes())
+                footer[f"{part}_{kind}"] = [at, len(raw)]
+                at += len(raw)
+            footer[part] = [code.n, code.low_bits]
+        tail = json.dumps(footer).encode()
+        self.out.write(tail + len(tail).to_bytes(8, "little"))
+        self.out.close()
+
+
 def write_token_files(
     docs: DataFrame,
     tokenizer_path: str,
@@ -182,11 +241,14 @@ def write_token_files(
     folder: str,
     key: str = "doc_id",
     text: str = "text",
+    file_docs: int = FILE_DOCS,
+    file_ids: int = FILE_IDS,
 ) -> DataFrame:
-    """Write the files and return one row per file: shard, path, n_docs, n_tokens.
+    """Write the files and return one row per file: shard, part, path, n_docs, n_tokens.
 
-    A file's name has the task attempt that wrote it; the returned table, itself stored, names
-    one file per shard, so those of lost or repeated attempts are never read.
+    A shard is what one task writes, in as many parts as the limits ask for. A file's name has the
+    task attempt that wrote it; the returned table, itself stored, names the files of one attempt
+    per shard, so those of lost or repeated attempts are never read.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -203,52 +265,37 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, context = _encoder(definition.value), TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        files, base = pa.fs.FileSystem.from_uri(folder)
-        end = np.array([end_id], tool.kind).tobytes()
-        name, out, keys, ends, nulls = f"shard-{shard:06d}-{attempt}.eft", None, [], [], 0
-        total = 0
+        file, part = None, 0
+
+        def closed() -> pa.RecordBatch:
+            file.close()
+            row = dict(zip(_LISTED.names, (shard, part, file.path, len(file.ends), file.tokens), strict=True))
+            return pa.RecordBatch.from_pylist([row], schema=_LISTED)
+
         for batch in batches:
             for piece in pieces(batch):
-                if out is None:
-                    files.create_dir(base, recursive=True)
-                    out = files.open_output_stream(f"{base}/{name}")
-                    out.write(MAGIC)
-                for one, doc in zip(piece.column(1).to_pylist(), piece.column(0).to_pylist(), strict=True):
-                    raw = tool.encode(one) + end
-                    out.write(raw)
-                    total += len(raw) // tool.width
-                    ends.append(total)
-                    if doc is None:
-                        nulls += 1
-                    else:
-                        keys.append(doc)
-        if out is None:
-            return
-        first = keys[0] if keys else 0
-        offsets = np.array([k - first for k in keys], np.uint64)
-        footer = {"width": tool.width, "docs": len(ends), "tokens": total, "null_ids": nulls, "first_id": first}
-        at = len(MAGIC) + total * tool.width
-        for part, values in (("ends", np.array(ends, np.uint64)), ("ids", offsets)):
-            code = EliasFano.of(values)
-            for kind, raw in (("low", code.low), ("high", code.high)):
-                out.write(raw.tobytes())
-                footer[f"{part}_{kind}"] = [at, len(raw)]
-                at += len(raw)
-            footer[part] = [code.n, code.low_bits]
-        tail = json.dumps(footer).encode()
-        out.write(tail + len(tail).to_bytes(8, "little"))
-        out.close()
-        yield pa.RecordBatch.from_pydict(
-            {"shard": [shard], "path": [f"{folder}/{name}"], "n_docs": [len(ends)], "n_tokens": [total]},
-            schema=_LISTED,
-        )
-
-    rows = ordered.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long")
+                for doc, one in zip(*(c.to_pylist() for c in piece.columns[:2]), strict=True):
+                    if file is None:
+                        file = _NewFile(folder, f"shard-{shard:06d}-{part:06d}-{attempt}.eft", tool, end_id)
+                    file.add(doc, one)
+                    if len(file.ends) >= file_docs or file.tokens >= file_ids:
+                        yield closed()
+                        file, part = None, part + 1
+        if file is not None:
+            yield closed()
+
+    rows = ordered.mapInArrow(write, "shard int, part int, path string, n_docs long, n_tokens long")
     return stored(rows, "token_files")
 
 
 _LISTED = pa.schema(
-    [("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
+    [
+        ("shard", pa.int32()),
+        ("part", pa.int32()),
+        ("path", pa.string()),
+        ("n_docs", pa.int64()),
+        ("n_tokens", pa.int64()),
+    ]
 )
 
 
@@ -278,9 +325,17 @@ class TokenFile:
         nulls = self.footer["null_ids"]
         return None if i < nulls else self.footer["first_id"] + self.ids.select(i - nulls)
 
-    def doc_ids(self) -> list[int | None]:
-        first = self.footer["first_id"]
-        return [None] * self.footer["null_ids"] + [first + int(v) for v in self.ids.values()]
+    def doc_ids(self, i: int = 0, k: int | None = None) -> list[int | None]:
+        """Ids of documents i to k - 1, or to the last."""
+        k = len(self) if k is None else k
+        nulls, first = self.footer["null_ids"], self.footer["first_id"]
+        known = self.ids.block(max(0, i - nulls), max(0, k - nulls)).tolist()
+        return [None] * (min(k, nulls) - min(i, nulls)) + [first + v for v in known]
+
+    def boundaries(self, i: int, k: int) -> np.ndarray:
+        """Start of document i, then the ends of documents i to k - 1."""
+        start = self.ends.select(i - 1) if i else 0
+        return np.concatenate([[start], self.ends.block(i, k).astype(np.int64)])
 
     def span(self, start: int, end: int) -> np.ndarray:
         """Ids from one place of the file to another."""
@@ -296,43 +351,49 @@ class TokenFile:
 def read_token_files(files: DataFrame, outputs: tuple[str, ...] = ("ids",), key: str = "doc_id") -> DataFrame:
     """Per document: its id, start (ids of all documents before it), n_tokens, and the outputs.
 
-    Outputs are ids (array) and ids_crc32 (of the ids as little-endian unsigned 32-bit integers).
-    The list of files has one row per shard, so it goes through the driver.
+    files: what write_token_files returned. Outputs are ids (array) and ids_crc32 (of the ids as
+    little-endian unsigned 32-bit integers). One row per shard, that is per writing task, is
+    numbered in one task and broadcast; files are numbered within their shard.
     """
-    spark = files.sparkSession
     kinds = {"ids": "array<int>", "ids_crc32": "long"}
     schema = f"{key} long, start long, n_tokens long" + "".join(f", {o} {kinds[o]}" for o in outputs)
-    rows, base = [], 0
-    for r in files.orderBy("shard").collect():
-        rows.append((r.shard, r.path, base))
-        base += r.n_tokens
-    if not rows:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame(rows, "shard int, path string, base long").repartitionByRange(len(rows), "shard")
+    own = F.col("n_tokens")
+    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
+    before = shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - own).alias("before"))
+    within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("part")) - own
+    listed = (
+        files.withColumn("within", within)
+        .join(F.broadcast(before), "shard")
+        .select("shard", "part", "path", (F.col("before") + F.col("within")).alias("base"))
+        .repartitionByRange(max(1, files.count()), "shard", "part")
+    )
+
+    def rows_of(file: TokenFile, before: int, i: int, k: int) -> Iterator[pa.RecordBatch]:
+        ends, keys = file.boundaries(i, k), file.doc_ids(i, k)
+        at = 0
+        while at < k - i:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + READ_IDS, "right")) - 1)
+            held = file.span(int(ends[at]), int(ends[to])).astype("<u4")
+            cut = np.split(held, ends[at + 1 : to] - ends[at])
+            columns = [
+                pa.array(keys[at:to], pa.int64()),
+                pa.array(ends[at:to] + before),
+                pa.array(np.diff(ends[at : to + 1])),
+            ]
+            for o in outputs:
+                if o == "ids":
+                    columns.append(pa.array([c.astype(np.int32) for c in cut], pa.list_(pa.int32())))
+                else:
+                    columns.append(pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "n_tokens", *outputs])
+            at = to
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for path, before in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 file = TokenFile(path)
-                ends, keys = file.ends.values().astype(np.int64), file.doc_ids()
-                starts = np.concatenate([[0], ends[:-1]])
-                i = 0
-                while i < len(ends):
-                    k = max(i + 1, int(np.searchsorted(ends, starts[i] + READ_IDS, "right")))
-                    held = file.span(int(starts[i]), int(ends[k - 1])).astype("<u4")
-                    cut = [held[a - starts[i] : b - starts[i]] for a, b in zip(starts[i:k], ends[i:k], strict=True)]
-                    columns = [
-                        pa.array(keys[i:k], pa.int64()),
-                        pa.array(starts[i:k] + before),
-                        pa.array(ends[i:k] - starts[i:k]),
-                    ]
-                    for o in outputs:
-                        if o == "ids":
-                            columns.append(pa.array([c.astype(np.int32) for c in cut], pa.list_(pa.int32())))
-                        else:
-                            columns.append(pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()))
-                    yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "n_tokens", *outputs])
-                    i = k
+                for i in range(0, len(file), READ_DOCS):
+                    yield from rows_of(file, before, i, min(i + READ_DOCS, len(file)))
 
     return listed.mapInArrow(read, schema)
 

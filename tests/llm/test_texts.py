@@ -86,6 +86,37 @@ def test_elias_fano_gives_every_number(values):
     assert [code.select(i) for i in range(len(values))] == values
 
 
+def test_token_files_end_at_their_limits(spark):
+    """Of many small documents no writer and no reader holds more than a file, and a file is bounded."""
+    docs = spark.range(20_000).selectExpr(
+        "if(id % 500 = 0, null, id * 1000003 - 7e9) as doc_id", "repeat('ab ', cast(id % 5 as int)) as text"
+    )
+    whole = elias_fano.write_token_files(docs, WORD_TOKENIZER, 2, elias_fano.new_folder(docs))
+    small = elias_fano.write_token_files(
+        docs, WORD_TOKENIZER, 2, elias_fano.new_folder(docs), file_docs=700, file_ids=1500
+    )
+    assert whole.count() <= 8 and small.agg({"n_docs": "max"}).first()[0] <= 700
+    assert small.agg({"n_tokens": "max"}).first()[0] < 1500 + 20
+    assert small.agg({"n_docs": "sum"}).first()[0] == 20_000
+    one, two = (
+        elias_fano.read_token_files(f, ("ids", "ids_crc32")).orderBy("start").collect() for f in (whole, small)
+    )
+    assert one == two and len(one) == 20_000 and sum(r.doc_id is None for r in one) == 40
+    last = elias_fano.TokenFile(small.orderBy("shard", "part").collect()[-1].path)
+    n = len(last)
+    assert [last.doc_id(i) for i in range(n)] == last.doc_ids(0, n)
+    assert last.doc_ids(n // 3, n) == last.doc_ids(0, n)[n // 3 :] == [r.doc_id for r in two[-n:]][n // 3 :]
+
+
+@given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=900).map(sorted), st.data())
+@settings(max_examples=60, deadline=None)
+def test_elias_fano_reads_any_block(values, data):
+    code = elias_fano.EliasFano.of(np.array(values, np.uint64))
+    i = data.draw(st.integers(0, len(values)))
+    k = data.draw(st.integers(i, len(values)))
+    assert code.block(i, k).tolist() == values[i:k]
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(1).integers(1, 2000, 50_000)).astype(np.uint64)
     code = elias_fano.EliasFano.of(values)
@@ -118,7 +149,7 @@ def test_token_files_of_odd_texts(docs, no_docs, spark):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         start += r.n_tokens
     assert start == sum(len(x) for v in wanted.values() for x in v)
-    one = elias_fano.TokenFile(files.orderBy("shard").first().path)
+    one = elias_fano.TokenFile(files.orderBy("shard", "part").first().path)
     assert one.doc_id(0) is None and [one.doc_id(i) for i in range(len(one))] == one.doc_ids()
     assert list(one.tokens(0)) in wanted[None]
     empty = elias_fano.write_token_files(no_docs, WORD_TOKENIZER, 2, elias_fano.new_folder(no_docs))
@@ -261,6 +292,54 @@ def test_chains_of_links_are_one_group(spark):
     assert {roots[i] for i in range(1, 301)} == {0} and roots[2000] == roots[1500] == 1000
 
 
+def test_links_are_those_of_all_pairs_also_at_crowded_keys(spark):
+    draw = np.random.default_rng(11)
+    found = set(draw.integers(0, 1 << 64, 40, dtype=np.uint64).tolist())
+    for base in list(found)[:12]:  # copies at 0 to 3 bits
+        for flips in (1, 2, 3):
+            at = draw.choice(64, flips, replace=False)
+            found.add(base ^ sum(1 << int(b) for b in at))
+    base = int(draw.integers(0, 1 << 63))
+    # one key for many that are far apart, and many within a few bits of one
+    found |= {base ^ (int(far) << 46) for far in draw.choice(1 << 18, 150, replace=False)}
+    found |= {base ^ (1 << i) ^ (1 << j) for i in range(0, 64, 3) for j in range(i)}
+    # a chain of two bits, and one at three bits that has no link
+    chain = int(draw.integers(0, 1 << 63))
+    found |= {chain, chain ^ 3, chain ^ 15, chain ^ (7 << 40) ^ 15}
+    prints = sorted(found)
+    root = {p: p for p in prints}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    for n, p in enumerate(prints):
+        for q in prints[:n]:
+            if (p ^ q).bit_count() <= 2:
+                a, b = sorted((top(p), top(q)), key=signed.get)
+                root[b] = a
+    rows = spark.createDataFrame([(v,) for v in signed.values()], "print long")
+    edges = [(r.a, r.b) for r in golay.links(rows).collect()]
+    assert all(((a ^ b) % (1 << 64)).bit_count() <= 2 for a, b in edges)
+    from loanloom.llm.components import components
+
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {signed[p]: signed[top(p)] for p in prints if top(p) != p}
+
+
+def test_longer_keys_meet_at_two_bits():
+    draw = np.random.default_rng(5)
+    a = draw.integers(0, 1 << 63, 500, dtype=np.uint64)
+    b = a ^ (np.uint64(1) << draw.integers(0, 64, len(a)).astype(np.uint64))
+    b ^= np.uint64(1) << draw.integers(0, 64, len(a)).astype(np.uint64)
+    for p, q, x, y in zip(a, b, golay.keys(a), golay.keys(b), strict=True):
+        both = np.array(sorted(set(x) & set(y)), np.int64)
+        one, two = (golay.longer_keys(np.full(len(both), v), both) for v in (p, q))
+        assert any(set(m) & set(n) for m, n in zip(one, two, strict=True))
+
+
 # benchmark passages
 
 
