@@ -8,13 +8,15 @@ the three is free of errors (pigeonhole); it is taken as it is, and joined with
 of the next segment (18 bits are filled up with zeros). The perfect (23, 12) Golay code has one
 codeword within 3 bits of every word. A segment's indices are those that its 23-bit word and all
 its one-bit neighbours decode to, 1 or 6 of them. Two segments at distance 2 or less have a word
-within one bit of both, so they share an index. Fingerprints that share no key with another
-are therefore not linked to any.
+within one bit of both, so they share an index. Linked fingerprints therefore share a key.
 
-Verification. Those that do share a key are joined on the words within one bit of them: two
-fingerprints have such a word in common exactly if they differ in at most 2 bits. Every member
-is linked to the least member at that word, so a group of any size gives a linear number of
-links and no pair is missed.
+Verification. The fingerprints at one key are compared by the number of bits in which they
+differ. A key of more than CROWD fingerprints is made longer for them by an index of the third
+segment, which linked ones share as well. Where more than CROWD share the longer key too, the
+distance is verified through common neighbours instead: two fingerprints have a word within one
+bit of both exactly if they differ in at most 2 bits, so every one is linked to the least at
+each of these 65 words. No key gives more than CROWD / 2 links or 65 words a fingerprint, and no
+pair is missed.
 
 Rows without words have the fingerprint 0, as null and empty texts do. Repeated rows and equal
 fingerprints are one node. A null id is kept, in the component of its fingerprint, and never is
@@ -42,6 +44,11 @@ GENERATOR = 0b101011100011
 SEED = 42
 #: First bit and length of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Fingerprints at one key that are compared with each other.
+CROWD = 32
+#: Bits of a codeword index, and the place of the segment's number in a key.
+INDEX_BITS = 12
+NUMBER_AT = 60
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -71,15 +78,33 @@ def indices(words: np.ndarray) -> np.ndarray:
     return (near ^ _error_of()[_syndromes(near)]) >> np.uint32(11)
 
 
+def _segments(prints: np.ndarray) -> list[np.ndarray]:
+    prints = prints.astype(np.uint64)
+    return [(prints >> np.uint64(at)) & np.uint64((1 << n) - 1) for at, n in SEGMENTS]
+
+
+def _distinct(rows: np.ndarray) -> list[list[int]]:
+    return [np.unique(row).view(np.int64).tolist() for row in rows]
+
+
 def keys(prints: np.ndarray) -> list[list[int]]:
     """Distinct join keys of each 64-bit fingerprint."""
-    prints = prints.astype(np.uint64)
-    parts = [(prints >> np.uint64(at)) & np.uint64((1 << n) - 1) for at, n in SEGMENTS]
+    parts = _segments(prints)
     columns = []
     for i, exact in enumerate(parts):
         near = indices(parts[(i + 1) % 3]).astype(np.uint64)
-        columns.append(np.uint64(i) << np.uint64(60) | exact[:, None] << np.uint64(12) | near)
-    return [np.unique(row).view(np.int64).tolist() for row in np.concatenate(columns, axis=1)]
+        columns.append(np.uint64(i << NUMBER_AT) | exact[:, None] << np.uint64(INDEX_BITS) | near)
+    return _distinct(np.concatenate(columns, axis=1))
+
+
+def longer_keys(prints: np.ndarray, short: np.ndarray) -> list[list[int]]:
+    """Each fingerprint's key, made longer by the indices of the segment that the key leaves out."""
+    short = short.view(np.uint64)
+    number = short >> np.uint64(NUMBER_AT)
+    body = short & np.uint64((1 << NUMBER_AT) - 1)
+    third = np.choose(((number + np.uint64(2)) % np.uint64(3)).astype(np.intp), _segments(prints))
+    head = number << np.uint64(NUMBER_AT) | body << np.uint64(INDEX_BITS)
+    return _distinct(head[:, None] | indices(third).astype(np.uint64))
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -122,15 +147,62 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     return map_texts(id_and_text(docs, key, text), make, f"{key} long, print long")
 
 
-def _with_keys(prints: DataFrame) -> DataFrame:
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """Print and key, a row per key; rows that have a key already get longer ones."""
+
     def add(batches):
         for batch in batches:
-            found = batch.column(0).to_numpy().view(np.uint64)
+            prints = batch.column(0).to_numpy().view(np.uint64)
+            found = keys(prints) if batch.num_columns == 1 else longer_keys(prints, batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys(found), pa.list_(pa.int64()))], names=["print", "keys"]
+                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["print", "keys"]
             )
 
-    return prints.mapInArrow(add, "print long, keys array<long>")
+    keyed = rows.mapInArrow(add, "print long, keys array<long>")
+    return stored(keyed.select("print", F.explode("keys").alias("key")), "keyed")
+
+
+def _compared(at_keys: DataFrame) -> DataFrame:
+    """Links (a, b) between the prints of each key, all pairs of which are within 2 bits."""
+    near = (
+        "flatten(transform(prints, (a, i) -> transform(filter("
+        f"slice(prints, i + 2, {CROWD}), b -> bit_count(a ^ b) <= 2), b -> named_struct('a', a, 'b', b))))"
+    )
+    listed = at_keys.groupBy("key").agg(F.sort_array(F.collect_list("print")).alias("prints"))
+    return listed.select(F.inline(F.expr(near))).distinct()
+
+
+def _neighbour_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of prints to the least one that has a word within one bit in common with them."""
+    points = stored(
+        prints.select(
+            "print",
+            F.expr(
+                "explode(concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i))))"
+            ).alias("point"),
+        ),
+        "points",
+    )
+    centres = points.groupBy("point").agg(F.min("print").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return points.join(centres, "point").where("print <> a").select("a", F.col("print").alias("b"))
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of 2 bits or fewer that connect all distinct prints that such links connect.
+
+    prints: a stored column of distinct longs.
+    """
+    found, rows = None, prints.select("print")
+    for _ in ("keys", "longer keys"):
+        keyed = _with_keys(rows)
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        at_keys = stored(keyed.join(shared, "key"), "at_keys")
+        pairs = _compared(at_keys.where(F.col("n") <= CROWD))
+        found = pairs if found is None else found.union(pairs)
+        rows = at_keys.where(F.col("n") > CROWD).select("print", "key")
+        if rows.isEmpty():
+            return found
+    return found.union(_neighbour_links(rows.select("print").distinct()))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,23 +217,7 @@ def _groups(rows: DataFrame, key: str) -> DataFrame:
     rows: stored keys and prints.
     """
     nodes = stored(rows.groupBy("print").agg(F.min(key).alias("least")), "distinct_prints")
-    keyed = stored(
-        _with_keys(nodes.select("print")).select("print", F.explode("keys").alias("key")), "keyed"
-    )
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keyed.join(shared, "key", "left_semi").select("print").distinct()
-    points = stored(
-        near.select(
-            "print",
-            F.expr(
-                "explode(concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i))))"
-            ).alias("point"),
-        ),
-        "points",
-    )
-    centres = points.groupBy("point").agg(F.min("print").alias("a"), F.count("*").alias("n")).where("n > 1")
-    edges = points.join(centres, "point").where("print <> a").select("a", F.col("print").alias("b"))
-    roots = components(edges).select(F.col("a").alias("print"), F.col("b").alias("root"))
+    roots = components(links(nodes)).select(F.col("a").alias("print"), F.col("b").alias("root"))
     members = stored(
         nodes.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root")),
         "members",
