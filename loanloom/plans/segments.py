@@ -9,6 +9,7 @@ from loanloom.functions.metrics import (
     default_rate, defaults, jobs, known, loan_count, loss_rate, losses, volume,
 )
 from loanloom.functions.numeric import everything, mean, pct, ratio, share_of
+from loanloom.operators.ranks import ranked
 from loanloom.plans.cohort import compared
 from loanloom.plans.kpis import NO_LENDER, named_lenders, with_states
 from loanloom.plans.risk import exact_rate, minus_mean
@@ -273,6 +274,30 @@ def lender_ranking(clean: DataFrame, min_loans: int = 100, top_k: int = 50) -> D
     )
 
 
+def lender_ranks(clean: DataFrame, min_loans: int = 1) -> DataFrame:
+    """Every lender with at least the minimum: rank by volume, rank and quartile by default rate.
+
+    Lenders may be many, so neither order is a window over all of them. Equal rates share a rank;
+    quartiles take the larger of two lenders with one rate first.
+    """
+    lenders = stored(
+        lenders_served(clean)
+        .filter(F.col("total_loans") >= min_loans)
+        .select(*LENDER, "total_loans", "total_volume", "default_rate"),
+        "all_lenders",
+    )
+    names = dict.fromkeys(LENDER, False)
+    by_volume = ranked(lenders, {"total_volume": True}, names, rank="volume_rank")
+    return ranked(
+        by_volume,
+        {"default_rate": False},
+        {"total_volume": True, **names},
+        rank="performance_rank",
+        dense_rank="rate_step",
+        ntile=("performance_quartile", 4),
+    )
+
+
 def lender_vs_state(
     clean: DataFrame, min_loans: int = 100, min_lenders: int = 3, top_k: int = 30
 ) -> DataFrame:

@@ -322,6 +322,7 @@ def segment_queries() -> dict[str, Query]:
     plain = (
         s.state_ranking, s.best_worst_states, s.regional_performance, s.industry_performance,
         s.subsector_vs_sector, s.industry_concentration, s.industry_trend, s.lender_ranking,
+        s.lender_ranks,
         s.lender_vs_state, s.lender_specialisation, s.state_concentration, s.geographic_hhi,
         s.cross_state_flows, s.in_out_of_state, s.state_industry_matrix,
         s.business_location_size, s.geographic_summary, s.industry_summary, s.lender_summary,

@@ -75,6 +75,13 @@ ORACLES = {
       ntile(4) OVER (ORDER BY r, vol DESC, bank_name, bank_state) AS performance_quartile,
       {GAP} AS vs_avg_default_rate
     FROM s ORDER BY vol DESC, bank_name, bank_state LIMIT 50"""),
+    "lender_ranks": sql(f"""
+    , s AS (SELECT *, {pct_int('bad', 'n')} AS r FROM {grouped('bank_name, bank_state', LENDERS, SERVED)} WHERE n >= 1)
+    SELECT bank_name, bank_state, n AS total_loans, {usd('vol')} AS total_volume, {scaled('r', 2)} AS default_rate,
+      rank() OVER (ORDER BY vol DESC NULLS LAST) AS volume_rank, rank() OVER (ORDER BY r NULLS LAST) AS performance_rank,
+      dense_rank() OVER (ORDER BY r NULLS LAST) AS rate_step,
+      ntile(4) OVER (ORDER BY r NULLS LAST, vol DESC NULLS LAST, bank_name, bank_state) AS performance_quartile
+    FROM s"""),
     "lender_vs_state": sql(f"""
     , s AS (SELECT bank_name, bank_state, n, {pct_int('bad', 'n')} AS r FROM {grouped('bank_name, bank_state', LENDERS)} WHERE n >= 100),
     h AS (SELECT bank_state, {quotient('sum(r)', 'count(*)', 1)} AS hr FROM s GROUP BY 1 HAVING count(*) >= 3)
