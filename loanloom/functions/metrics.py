@@ -60,23 +60,27 @@ def jobs() -> Column:
 
 
 def per_value(
-    loans: DataFrame, sides: dict[str, str], *metrics: Column, total: str | None = None
+    loans: DataFrame,
+    sides: dict[str, str],
+    *metrics: Column,
+    total: str | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Metrics per value of each column on its own: columns ``side`` and ``value``, then metrics.
 
     Grouping sets: one scan, and what is shuffled is one row per task and value. Grouping by
     the combination of the columns first would shuffle nearly every loan. ``total`` names a
-    side with one row of all loans.
+    side with one row of all loans. Columns ``by``, which come first, divide every group further.
     """
     columns = list(sides.values())
-    side, value = F, F
+    side = value = F.when(F.lit(False), "")  # so that there may be no sides
     for name, column in sides.items():
         own = F.grouping(column) == 0
         side = side.when(own, F.lit(name))
         value = value.when(own, F.col(column).cast("string"))
-    sets = [[c] for c in columns] + ([[]] if total else [])
+    sets = [[c, *by] for c in columns] + ([[*by]] if total else [])
     return (
-        loans.groupingSets(sets, *columns)
+        loans.groupingSets(sets, *columns, *by)
         .agg(side.otherwise(F.lit(total)).alias("side"), value.alias("value"), *metrics)
         .drop(*columns)
     )

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loanloom.functions import buckets as B
 from loanloom.functions.dates import as_of_date
 from loanloom.functions.metrics import (
-    OUTCOMES, by_vintage, default_rate, defaults, known, known_sums, loan_count, loss_rate, losses,
-    per_value, volume,
+    OUTCOMES, by_vintage, defaults, known, known_sums, loan_count, losses, per_value, volume,
 )
 from loanloom.functions.numeric import everything, mean, pct, ratio
 from loanloom.plans.kpis import counted, growth, last_five_years, month, summed
@@ -35,24 +34,30 @@ DIMENSIONS = {
     "Vintage Year": "vintage_year",
 }
 
+# Columns whose values the summary counts, by the name of the count.
+REPRESENTED = {
+    "active_lenders": "bank_name",
+    "states_with_loans": "state",
+    "industries_represented": "industry_sector",
+}
+
 
 def executive_summary(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """One row: the portfolio, its risk, the latest vintage and the one before."""
-    distinct = {
-        "active_lenders": "bank_name",
-        "states_with_loans": "state",
-        "industries_represented": "industry_sector",
-    }
     sums = (
         "defaults", "volume", "exposure", "terms", "guarantees", "created", "retained", "losses",
         "bad_volume",
     )
+    return summary_of(by_vintage(clean, sums, REPRESENTED), as_of)
 
+
+def summary_of(years: DataFrame, as_of: dt.date | None) -> DataFrame:
+    """The summary from rows as ``by_vintage`` gives them."""
     def rate_in(years_back: int) -> Column:
         return pct(summed("defaults", years_back), summed("loans", years_back))
 
     return (
-        by_vintage(clean, sums, distinct)
+        years
         .agg(
             counted("loans").alias("total_loans"),
             summed("volume").alias("total_volume"),
@@ -75,7 +80,7 @@ def executive_summary(clean: DataFrame, as_of: dt.date | None = None) -> DataFra
             counted("loans", 1).alias("prior_loans"),
             summed("volume", 1).alias("prior_volume"),
             rate_in(1).alias("prior_default_rate"),
-            *[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in distinct],
+            *[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in REPRESENTED],
         )
         .withColumn("volume_growth_pct", growth("ytd_volume", F.col("prior_volume")))
         .withColumn("default_rate_change", F.col("ytd_default_rate") - F.col("prior_default_rate"))
@@ -88,6 +93,21 @@ def monthly_trends(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 
     All windows step over listed months, so a month without loans shifts the comparison.
     """
+    return trends_of(
+        last_five_years(known(clean), as_of)
+        .groupBy(month())
+        .agg(
+            loan_count().alias("loans"),
+            volume().alias("volume"),
+            mean("gross_approved").alias("avg_loan_size"),
+            defaults().alias("defaults"),
+            losses().alias("chargeoff"),
+        )
+    )
+
+
+def trends_of(months: DataFrame) -> DataFrame:
+    """The trends from sums per month."""
     by_month = Window.orderBy("month")
     quarter, year = by_month.rowsBetween(-2, 0), by_month.rowsBetween(-11, 0)
 
@@ -99,16 +119,7 @@ def monthly_trends(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 
     year_loans, year_bad = F.sum("loans").over(year), F.sum("defaults").over(year)
     return (
-        last_five_years(known(clean), as_of)
-        .groupBy(month())
-        .agg(
-            loan_count().alias("loans"),
-            volume().alias("volume"),
-            mean("gross_approved").alias("avg_loan_size"),
-            defaults().alias("defaults"),
-            losses().alias("chargeoff"),
-        )
-        .select(
+        months.select(
             "*",
             back("loans", 1).alias("prev_month_loans"),
             growth("loans", back("loans", 1)).alias("mom_loan_growth"),
@@ -132,10 +143,16 @@ def monthly_trends(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 def ytd_comparison(clean: DataFrame) -> DataFrame:
     """Loans and volume per calendar month for the latest vintage and the two before."""
     sums = known_sums()
-    months = (
+    return to_date_of(
         clean.groupBy("vintage_year", F.col("vintage_month").alias("month"))
         .agg(sums["loans"].alias("_loans"), sums["volume"].alias("_volume"))
-        .withColumn("_age", F.max("vintage_year").over(everything()) - F.col("vintage_year"))
+    )
+
+
+def to_date_of(months: DataFrame) -> DataFrame:
+    """The comparison from loans and volume per vintage year and calendar month."""
+    months = months.withColumn(
+        "_age", F.max("vintage_year").over(everything()) - F.col("vintage_year")
     )
     shown = {0: "cy", 1: "py", 2: "py2"}
     columns = []
@@ -167,10 +184,11 @@ def segment_totals(clean: DataFrame, dimensions: dict[str, str]) -> DataFrame:
 
 def dimension_drilldown(clean: DataFrame, dimensions: dict[str, str] | None = None) -> DataFrame:
     """The same figures along each of seven dimensions."""
-    return _drilldown(segment_totals(clean, dimensions or DIMENSIONS))
+    return drilldown_of(segment_totals(clean, dimensions or DIMENSIONS))
 
 
-def _drilldown(totals: DataFrame) -> DataFrame:
+def drilldown_of(totals: DataFrame) -> DataFrame:
+    """The drill-down from ``segment_totals``."""
     return totals.select(
         "dimension",
         F.col("value").alias("dimension_value"),
@@ -184,11 +202,14 @@ def _drilldown(totals: DataFrame) -> DataFrame:
 
 def top_rankings(clean: DataFrame, top_k: int = 10) -> DataFrame:
     """States with the largest volume."""
+    states = known(clean).groupBy(F.col("state").alias("entity"))
+    return top_states_of(states.agg(volume().alias("metric_value")), top_k)
+
+
+def top_states_of(states: DataFrame, top_k: int) -> DataFrame:
+    """The list from the volume per state."""
     return (
-        known(clean)
-        .groupBy(F.col("state").alias("entity"))
-        .agg(volume().alias("metric_value"))
-        .select(
+        states.select(
             F.lit("Top States by Volume").alias("ranking_category"),
             "entity",
             "metric_value",
@@ -206,10 +227,11 @@ def comprehensive_rankings(clean: DataFrame, min_loans: int = 500, top_k: int =
     The cut goes by the rounded value; ranks go by the exact one.
     """
     sides = {"State": "state", "Industry": "industry_sector"}
-    return _rankings(segment_totals(clean, sides), min_loans, top_k)
+    return rankings_of(segment_totals(clean, sides), min_loans, top_k)
 
 
-def _rankings(totals: DataFrame, min_loans: int = 500, top_k: int = 10) -> DataFrame:
+def rankings_of(totals: DataFrame, min_loans: int = 500, top_k: int = 10) -> DataFrame:
+    """The lists from ``segment_totals``."""
     totals = totals.filter(
         F.col("dimension").isin("State", "Industry")
         & ((F.col("dimension") != "Industry") | (F.col("value") != B.UNKNOWN))
@@ -256,60 +278,61 @@ def _rankings(totals: DataFrame, min_loans: int = 500, top_k: int = 10) -> DataF
     )
 
 
+# Sides of the snapshot: values are counted, or the most common one is shown.
+SNAPSHOT_SIDES = {
+    "Lender": "bank_name",
+    "State": "state",
+    "Industry": "industry_sector",
+    "Loan Size": "loan_size_bucket",
+}
+
+
 def portfolio_snapshot(clean: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """One row for quick reference, from one scan: figures of all loans, and modes."""
-    loans = known(clean)
-    sides = {
-        "lender": "bank_name",
-        "state": "state",
-        "industry": "industry_sector",
-        "size": "loan_size_bucket",
-    }
+    sums = [column.alias(name) for name, column in known_sums().items()]
+    days = [F.min("approval_date").alias("first_day"), F.max("approval_date").alias("last_day")]
+    return snapshot_of(per_value(known(clean), SNAPSHOT_SIDES, *sums, *days, total="all"), as_of)
+
+
+def snapshot_of(totals: DataFrame, as_of: dt.date | None) -> DataFrame:
+    """The snapshot from sums and days per side, and those of all loans."""
     billion, million = F.lit(10**9), F.lit(10**6)
-    figures = [
-        loan_count().alias("total_loans"),
-        ratio(volume(), billion).alias("total_volume_billions"),
-        ratio(F.sum("sba_approved"), billion).alias("sba_exposure_billions"),
-        mean("gross_approved", 0).alias("avg_loan_size"),
-        mean("term_months", 0).alias("avg_term_months"),
-        mean("sba_guarantee_pct", 1).alias("avg_guarantee_pct"),
-        default_rate().alias("default_rate_pct"),
-        ratio(losses(), million).alias("total_chargeoff_millions"),
-        loss_rate(3).alias("loss_rate_pct"),
-        F.sum("jobs_created").alias("total_jobs_created"),
-        F.sum("jobs_retained").alias("total_jobs_retained"),
-        F.min("approval_date").alias("earliest_loan"),
-        F.max("approval_date").alias("latest_loan"),
-        F.min("vintage_year").alias("first_vintage"),
-        F.max("vintage_year").alias("latest_vintage"),
-    ]
-    values = per_value(loans, sides, *figures, total="all")
 
     def on(side: str, value: Column) -> Column:
         return F.when(F.col("side") == side, value)
 
+    def whole(name: str) -> Column:
+        return F.max(on("all", F.col(name)))
+
     def most_common(side: str) -> Column:
         # Smallest (-count, value): the most loans, then the first name.
-        first = F.min(on(side, F.struct((-F.col("total_loans")).alias("n"), F.col("value"))))
-        return first["value"]
-
-    shown = (
-        "total_volume_billions", "sba_exposure_billions", "avg_loan_size", "avg_term_months",
-        "avg_guarantee_pct", "default_rate_pct", "total_chargeoff_millions", "loss_rate_pct",
-        "total_jobs_created", "total_jobs_retained", "earliest_loan", "latest_loan",
-        "first_vintage", "latest_vintage",
-    )
-    return values.agg(
+        return F.min(on(side, F.struct((-F.col("loans")).alias("n"), F.col("value"))))["value"]
+
+    loans, amount = whole("loans"), whole("volume")
+    return totals.agg(
         F.lit(PORTFOLIO_NAME).alias("portfolio_name"),
         as_of_date(as_of).alias("snapshot_date"),
-        F.coalesce(F.max(on("all", F.col("total_loans"))), F.lit(0)).alias("total_loans"),
-        *[F.max(on("all", F.col(name))).alias(name) for name in shown],
-        F.count(on("lender", F.col("total_loans"))).alias("num_lenders"),
-        F.count(on("state", F.col("total_loans"))).alias("num_states"),
-        F.count(on("industry", F.col("total_loans"))).alias("num_industries"),
-        most_common("size").alias("most_common_size_bucket"),
-        most_common("industry").alias("largest_industry"),
-        most_common("state").alias("largest_state"),
+        F.coalesce(loans, F.lit(0)).alias("total_loans"),
+        ratio(amount, billion).alias("total_volume_billions"),
+        ratio(whole("exposure"), billion).alias("sba_exposure_billions"),
+        ratio(amount, loans, 0).alias("avg_loan_size"),
+        ratio(whole("terms"), loans, 0).alias("avg_term_months"),
+        ratio(whole("guarantees"), loans, 1).alias("avg_guarantee_pct"),
+        pct(whole("defaults"), loans).alias("default_rate_pct"),
+        ratio(whole("losses"), million).alias("total_chargeoff_millions"),
+        pct(whole("losses"), amount, 3).alias("loss_rate_pct"),
+        whole("created").alias("total_jobs_created"),
+        whole("retained").alias("total_jobs_retained"),
+        whole("first_day").alias("earliest_loan"),
+        whole("last_day").alias("latest_loan"),
+        F.year(whole("first_day")).alias("first_vintage"),
+        F.year(whole("last_day")).alias("latest_vintage"),
+        F.count(on("Lender", F.col("loans"))).alias("num_lenders"),
+        F.count(on("State", F.col("loans"))).alias("num_states"),
+        F.count(on("Industry", F.col("loans"))).alias("num_industries"),
+        most_common("Loan Size").alias("most_common_size_bucket"),
+        most_common("Industry").alias("largest_industry"),
+        most_common("State").alias("largest_state"),
     )
 
 
@@ -321,12 +344,13 @@ def risk_watchlist(
     ``elevated`` and ``high`` are tenths of the portfolio's rate. Vintages need no minimum.
     """
     totals = segment_totals(clean, WATCHED)
-    return _watchlist(totals, min_loans, elevated, high)
+    return watchlist_of(totals, min_loans, elevated, high)
 
 
-def _watchlist(
+def watchlist_of(
     totals: DataFrame, min_loans: int = 100, elevated: int = 12, high: int = 15
 ) -> DataFrame:
+    """The list from ``segment_totals``."""
     totals = totals.filter(F.col("dimension").isin(*WATCHED))
     kind, by_year = F.col("dimension"), F.col("dimension") == "Vintage Year"
 
@@ -386,11 +410,11 @@ def dashboard_counts(clean: DataFrame, as_of: dt.date | None = None) -> DataFram
         "Executive Summary": one_row,
         "Monthly Trends": rows_of(months.filter("recent > 0").select("month").distinct()),
         "YTD Comparison": rows_of(to_date.select("vintage_month").distinct()),
-        "Dimension Drilldown": rows_of(_drilldown(totals)),
+        "Dimension Drilldown": rows_of(drilldown_of(totals)),
         "Top Rankings": rows_of(totals.filter("dimension = 'State'").limit(10)),
-        "Comprehensive Rankings": rows_of(_rankings(totals)),
+        "Comprehensive Rankings": rows_of(rankings_of(totals)),
         "Portfolio Snapshot": one_row,
-        "Risk Watchlist": rows_of(_watchlist(totals)),
+        "Risk Watchlist": rows_of(watchlist_of(totals)),
     }
     rows = [
         F.struct(F.lit(name).alias("view_name"), n.alias("record_count"))

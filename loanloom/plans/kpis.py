@@ -435,13 +435,21 @@ def counted(name: str, years_back: int | None = None) -> Column:
     return F.coalesce(summed(name, years_back), F.lit(0))
 
 
+# Columns whose values the summary counts, by the name of the count.
+ACTIVE = {"active_lenders": "bank_name", "states_with_loans": "state"}
+
+
 def portfolio_kpi_summary(clean: DataFrame) -> DataFrame:
     """One row of portfolio figures with the latest vintage and the one before it."""
-    distinct = {"active_lenders": "bank_name", "states_with_loans": "state"}
     sums = ("volume", "exposure", "terms", "guarantees", "created", "retained")
+    return kpis_of(by_vintage(clean, sums, ACTIVE))
+
+
+def kpis_of(years: DataFrame) -> DataFrame:
+    """The summary from rows as ``by_vintage`` gives them."""
     listed = F.when(F.col("loans") > 0, F.col("vintage_year"))
     return (
-        by_vintage(clean, sums, distinct)
+        years
         .agg(
             F.max(listed).alias("current_year"),
             counted("loans").alias("total_loans"),
@@ -455,7 +463,7 @@ def portfolio_kpi_summary(clean: DataFrame) -> DataFrame:
             summed("volume", 0).alias("ytd_volume"),
             counted("loans", 1).alias("prior_ytd_count"),
             summed("volume", 1).alias("prior_ytd_volume"),
-            *[F.max(name).alias(name) for name in distinct],
+            *[F.max(name).alias(name) for name in ACTIVE],
         )
         .withColumn("ytd_vs_prior_pct", growth("ytd_volume", F.col("prior_ytd_volume")))
     )

@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 from loanloom.functions.metrics import known
 from loanloom.functions.numeric import currency
-from loanloom.plans import cohort, dashboard, kpis, quality, raw_variants, risk, segments
+from loanloom.operators import bitmaps
+from loanloom.plans import cohort, dashboard, kpis, quality, raw_variants, risk, segments, view_state
 from loanloom.schemas import STAGING_COLUMNS
 from loanloom.sources import ingest
 from loanloom.sources.portfolio import star_portfolio, star_staging
-from loanloom.sources.store import new_table_path
+from loanloom.sources.store import new_table_path, stored
 
 AS_OF = dt.date(2015, 9, 1)
 
@@ -349,6 +350,34 @@ def dashboard_queries() -> dict[str, Query]:
     } | {"volume_labels": _on_clean(_volume_labels)}
 
 
+def _on_state(fn, *args) -> Query:
+    """From the state of the views after three loads."""
+    return lambda spark, d: comparable(
+        fn(view_state.read_state(star_portfolio(spark, d, AS_OF).loaded), *args)
+    )
+
+
+def _distinct_counts(clean: DataFrame) -> DataFrame:
+    """Distinct lenders, states and sectors in all, per state, per sector and per vintage year."""
+    loans, columns = known(clean), view_state.COUNTED
+    codes = stored(bitmaps.dictionary(bitmaps.value_counts(loans, columns)), "codes")
+    sides = view_state.WITHIN | {"Vintage Year": "vintage_year"}
+    return bitmaps.distinct_counts(bitmaps.words(loans, columns, codes, sides, total="all"), list(columns))
+
+
+def state_queries() -> dict[str, Query]:
+    v = view_state
+    reports = {
+        f"view_{name}": _on_state(fn, *([AS_OF] if name in v.DATED else []))
+        for name, fn in v.REPORTS.items()
+    }
+    return reports | {
+        "view_sums": _on_state(lambda state: state.sums),
+        "lenders_reached": _on_state(v.lenders_reached),
+        "distinct_counts": _on_clean(_distinct_counts),
+    }
+
+
 def raw_queries() -> dict[str, Query]:
     r = raw_variants
     plain = (
@@ -365,6 +394,6 @@ def raw_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Query]:
     families = (
         ingest_queries, quality_queries, kpi_queries, risk_queries, cohort_queries,
-        segment_queries, dashboard_queries, raw_queries,
+        segment_queries, dashboard_queries, state_queries, raw_queries,
     )
     return {name: query for family in families for name, query in family().items()}

@@ -11,6 +11,7 @@ from loanloom.functions import parsing as P
 from loanloom.functions.dates import as_of_date
 from loanloom.functions.numeric import mean, ratio, share_of
 from loanloom.operators.numbering import numbered
+from loanloom.plans import view_state
 from loanloom.schemas import LOANS, STAGING, STAGING_COLUMNS, as_loans
 from loanloom.sources.quoted_csv import read_quoted
 from loanloom.sources.versions import LoadConflict, Table
@@ -280,6 +281,7 @@ def write_loans(
     mode: str = "overwrite",
     batch: str | None = None,
     table: Table | None = None,
+    views: bool | None = None,
 ) -> DataFrame:
     """Store the loans that satisfy the constraints by fiscal year; the others are returned.
 
@@ -287,6 +289,9 @@ def write_loans(
     if the load is stopped at any point. Nothing is published if an id is missing, occurs twice or
     (with mode "append") is stored already, or if another load was published since ``table`` was opened.
     The rows are written once; ids are checked in what is written.
+
+    ``views`` keeps the state of the report views with the table (``plans.view_state``); a table that
+    has it keeps it, unless told otherwise. Rows and state become visible in the same step.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode {mode}")
@@ -300,7 +305,10 @@ def write_loans(
         if mode == "append":
             _refuse(table.stored_keys(good), "ids stored already")
         table.describe(load)
-        table.publish(load, batch, replace=mode == "overwrite")
+        keep = table.views() is not None if views is None else views
+        if keep:
+            view_state.extend(table, load, good, replace=mode == "overwrite")
+        table.publish(load, batch, replace=mode == "overwrite", views=keep)
     except (ValueError, LoadConflict):
         table.forget(load)
         raise

@@ -6,11 +6,13 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loanloom.operators.clean import clean
 from loanloom.sources.star_mapping import loans_from_orders, staging_from_orders
-from loanloom.sources.store import input_state, stored
+from loanloom.sources.ingest import incremental_load, loan_table, write_loans
+from loanloom.sources.store import input_state, new_table_path, stored
+from loanloom.sources.versions import Table
 
 INPUTS = ("orders", "customer", "supplier", "lineitem")
 
@@ -32,6 +34,15 @@ class Portfolio:
     def clean(self) -> DataFrame:
         return stored(clean(self.loans, self._as_of), "clean_loans", "vintage_year")
 
+    @cached_property
+    def loaded(self) -> Table:
+        """The loans as a table with view state: a first load, and two more up to later days."""
+        path = new_table_path(self.loans.sparkSession, "loans_with_views")
+        write_loans(self.loans.filter("approval_date < '2010-01-01'"), path, views=True)
+        for upto in ("2014-07-01", "9999-01-01"):
+            incremental_load(self.loans.sparkSession, self.loans.filter(F.col("approval_date") < upto), path)
+        return loan_table(self.loans.sparkSession, path)
+
     def __iter__(self) -> Iterator[DataFrame]:
         return iter((self.loans, self.clean))
 

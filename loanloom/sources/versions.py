@@ -2,6 +2,7 @@
 
     <table>/data/load=<load>/rejected=false/<part>=...    rows of one load, never changed
     <table>/known/<load>/files, filters                   what is known of its files
+    <table>/known/<load>/views/...                        state of report views up to this load, if kept
     <table>/versions/00000007                             which loads make up a version
 
 A load writes to folders of its own, which no reader knows. Then the list of loads of the next
@@ -240,13 +241,25 @@ class Table:
             .write.parquet(f"{folder}/filters")
         )
 
-    def publish(self, load: str, batch: str | None = None, replace: bool = False) -> int:
+    def views(self, load: str | None = None) -> str | None:
+        """Where a load keeps the state of report views; without a load, where this version has it, if it does."""
+        if load is None:
+            if not self.loads or not self.loads[-1].get("views"):
+                return None
+            load = self.loads[-1]["load"]
+        return f"{self.path}/{KNOWN}/{load}/views"
+
+    def publish(
+        self, load: str, batch: str | None = None, replace: bool = False, views: bool = False
+    ) -> int:
         """Make a load part of the table, or with ``replace`` all of it; the number of the version.
 
+        ``views`` says that the load has written the state of report views, which is published with it.
+
         ``LoadConflict`` if there is a version after the one that this table was opened at.
         """
         loads = [] if replace else list(self.loads)
-        loads.append({"load": load, "batch": batch})
+        loads.append({"load": load, "batch": batch, "views": views})
         staged = f"{self.path}/{VERSIONS}/.staged-{uuid.uuid4().hex}"
         _write(self.spark, staged, json.dumps(loads))
         if not _move_if_free(self.spark, staged, self._version(self.version + 1)):
