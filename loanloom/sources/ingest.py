@@ -14,6 +14,7 @@ from loanloom.operators.numbering import numbered
 from loanloom.plans import view_state
 from loanloom.schemas import LOANS, STAGING, STAGING_COLUMNS, as_loans
 from loanloom.sources.quoted_csv import read_quoted
+from loanloom.sources.store import stored
 from loanloom.sources.versions import LoadConflict, Table
 
 ID_ORDER = ("approvalfiscalyear", "approvaldate", "borrname")
@@ -353,27 +354,21 @@ def _sample_key(seed: int) -> Column:
 def sample_loans(loans: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
     """Exactly ``n`` loans (all if there are fewer), random but the same for the same seed.
 
-    The order is that of a hash of seed and id. The loans are counted by the first four digits
-    of the hash, at most 65,536 counts, and only those up to the digits where the count reaches
-    ``n`` are sorted. Whatever the ids, at least ``n`` are left to choose from, and each task
-    sorts no more than ``n`` of them.
+    The order is that of a hash of seed and id. From the number of loans (file footers, for a stored table)
+    follows a bound that just above ``n`` hashes lie below; the loans below it are stored in one read, and
+    only these are sorted. If they are fewer than ``n``, which takes many loans that share an id, the bound is
+    raised and the loans are read again, so that there are exactly ``n`` whatever the ids.
     """
     keyed = loans.withColumn("_key", _sample_key(seed))
-    counts = keyed.groupBy(F.substring("_key", 1, 4).alias("_digits")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0))
-    last = (
-        counts.withColumn("_before", upto - F.col("_n"))
-        .filter(F.col("_before") < n)
-        .agg(F.max("_digits"))
-        .scalar()
-    )
+    share = (n + 6 * n**0.5 + 100) / max(1, loans.count())  # six deviations above n
+    while True:
+        below = F.col("_key") < f"{int(share * 2**64):016x}" if share < 1 else F.lit(True)
+        chosen = stored(keyed.filter(below), "sample")
+        if share >= 1 or chosen.count() >= n:
+            break
+        share *= 8
     whole_row = F.xxhash64(*[F.col(c) for c in loans.columns])
-    return (
-        keyed.filter(F.substring("_key", 1, 4) <= last)
-        .orderBy("_key", F.col("loan_id").asc_nulls_last(), whole_row)
-        .limit(n)
-        .drop("_key")
-    )
+    return chosen.orderBy("_key", F.col("loan_id").asc_nulls_last(), whole_row).limit(n).drop("_key")
 
 
 def import_report(loans: DataFrame) -> DataFrame:
