@@ -7,7 +7,10 @@ any number of pages are aligned at once by these paths, and no page has to stand
 Over all pages of the host it is counted how often the same text stands at the same node; text
 that is there on at least half of the pages that have the node, and on three that are not all
 alike, is template, and what varies is content. A kind of page that few pages of a host have, with
-nodes of its own, so has a template of its own.
+nodes of its own, so has a template of its own. Structure can be template too where the words change: a
+node outside <article> and <main> that at least half of all pages of the host have, and three that are
+not all alike, is a menu if over all these pages at least half of its text is in links and it holds under
+half of the host's text.
 
 Extraction aligns each page with its host's template again and leaves out
 
@@ -19,6 +22,7 @@ Extraction aligns each page with its host's template again and leaves out
   element holds most of the text on at least half of the pages that have it, and on three. If
   nothing else is left of a page, the text that class words took is given back, but for blocks
   that are mostly links;
+- menus, as the host's pages show them, whatever their tags and classes;
 - template text, whatever its tag and wherever it stands. Within <article> or <main> lines that
   <br> parts are one paragraph, which goes only if all of its lines are template.
 
@@ -53,8 +57,10 @@ from loanloom.sources.store import stored
 DEPTH = 100
 #: Share of the pages that have a node, and number of pages, on which template text stands.
 SHARE, PAGES = 0.5, 3
-#: Stands for text at a node that holds most of a page.
-LARGE = 0
+#: Stands for text at a node that holds most of a page, and for that of a menu.
+LARGE, MENU = 0, 1
+#: What is counted of the nodes of a page.
+COUNTED = {"host": pa.string()} | dict.fromkeys("node said page length linked".split(), pa.int64())
 
 #: Kinds of elements, roles and class words; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -386,17 +392,24 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def places(page: str) -> tuple[set[int], set[tuple[int, int]], int]:
-    """Paths of the nodes of a page, pairs of a path and a hash of the text there, and a hash of all.
+def places(page: str) -> tuple[dict[int, tuple[int, int]], set[tuple[int, int]], int]:
+    """Nodes of a page by path, with the lengths of their own text outside <article> and <main> and of what
+    is in links of it; pairs of a path and a hash of the text there; a hash of all.
 
-    An element that its class calls no content has the text LARGE if it holds most of the text.
+    The root has the length of all text of the page. An element that its class calls no content has the
+    text LARGE if it holds most of the text.
     """
     root, blocks = parse(page)
-    paths, todo = set(), [root]
+    nodes, todo = {}, [root]
     while todo:
         node = todo.pop()
-        paths.add(node.path)
+        nodes[node.path] = (0, 0)
         todo += node.children.values()
+    for b in blocks:
+        if not any(b.inside):
+            length, linked = nodes[b.node.path]
+            nodes[b.node.path] = (length + len(b.text), linked + min(b.linked, len(b.text)))
+    nodes[root.path] = (sum(len(b.text) for b in blocks), 0)
     said = {(b.node.path, _hash(b.text)) for b in blocks}
     whole = xxhash.xxh64_intdigest(repr([(b.node.path, b.text) for b in blocks]).encode()) - (1 << 63)
     usual = [b for b in blocks if not b.side]
@@ -405,12 +418,15 @@ def places(page: str) -> tuple[set[int], set[tuple[int, int]], int]:
         for path in {m[0] for m in b.marks}:
             held[path] = held.get(path, 0) + len(b.text)
     size = sum(len(b.text) for b in usual)
-    return paths | held.keys(), said | {(path, LARGE) for path, n in held.items() if n * 2 > size}, whole
+    for path in held:
+        nodes.setdefault(path, (0, 0))
+    return nodes, said | {(path, LARGE) for path, n in held.items() if n * 2 > size}, whole
 
 
-def extract(page: str, template: frozenset[tuple[int, int]]) -> str:
-    """The main text of a page; template: pairs of a path and a hash of text."""
-    blocks = [b for b in parse(page)[1] if not b.side] if page else []
+def extract(page: str, template: frozenset[tuple[int, int]], menus: frozenset[int] = frozenset()) -> str:
+    """The main text of a page; template: pairs of a path and a hash of text; menus: paths."""
+    blocks = parse(page)[1] if page else []
+    blocks = [b for b in blocks if not b.side and (any(b.inside) or b.node.path not in menus)]
     if template:
         varies = [(b.node.path, _hash(b.text)) not in template for b in blocks]
         kept = {b.paragraph for b, v in zip(blocks, varies, strict=True) if v and any(b.inside)}
@@ -438,39 +454,54 @@ def _within(blocks: list[Block], template: bool) -> list[Block]:
 
 
 def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per host that has one: its template, pairs of a node's path and a hash of text."""
+    """Per host that has one: its template, pairs of a node's path and a hash of text.
+
+    A node that is a menu has the text MENU.
+    """
     rows = _with_host(pages, key, url, html).where("host IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
-                hosts, nodes, hashes, wholes = [], [], [], []
+                rows = []
                 for host, page in zip(*(c.to_pylist() for c in piece.columns[:2]), strict=True):
-                    paths, said, whole = places(page)
-                    found = [*((path, None) for path in paths), *said]
-                    hosts += [host] * len(found)
-                    nodes += [f[0] for f in found]
-                    hashes += [f[1] for f in found]
-                    wholes += [whole] * len(found)
+                    nodes, said, whole = places(page)
+                    rows += [(host, path, None, whole, *lengths) for path, lengths in nodes.items()]
+                    rows += [(host, path, text, whole, 0, 0) for path, text in said]
+                columns = list(zip(*rows, strict=True)) or [()] * len(COUNTED)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (nodes, hashes, wholes))],
-                    names=["host", "node", "said", "page"],
+                    [pa.array(c, t) for c, t in zip(columns, COUNTED.values(), strict=True)], names=list(COUNTED)
                 )
 
     # a null text counts the pages that have the node
     counted = stored(
         rows.select("host", "html")
-        .mapInArrow(count, "host string, node long, said long, page long")
+        .mapInArrow(count, "host string, node long, said long, page long, length long, linked long")
         .groupBy("host", "node", "said")
-        .agg(F.count("*").alias("n"), (F.min("page") < F.max("page")).alias("differ"))
+        .agg(
+            F.count("*").alias("n"),
+            (F.min("page") < F.max("page")).alias("differ"),
+            F.sum("length").alias("length"),
+            F.sum("linked").alias("linked"),
+        )
         .where(F.col("n") >= PAGES),
         "counted",
     )
-    have = counted.where("said IS NULL").select("host", "node", F.col("n").alias("pages"))
+    nodes = counted.where("said IS NULL")
+    have = nodes.select("host", "node", F.col("n").alias("pages"))
+    whole = nodes.where("node = 0").select("host", F.col("n").alias("pages"), F.col("length").alias("size"))
+    menus = (
+        nodes.where("differ AND length > 0 AND linked * 2 >= length")
+        .join(whole, "host")
+        .where((F.col("n") >= SHARE * F.col("pages")) & (F.col("length") * 2 < F.col("size")))
+        .select("host", "node", F.lit(MENU).cast("long").alias("said"))
+    )
     template = (
         counted.where("said IS NOT NULL AND differ")
         .join(have, ["host", "node"])
         .where(F.col("n") >= SHARE * F.col("pages"))
+        .select("host", "node", "said")
+        .unionByName(menus)
         .groupBy("host")
         .agg(F.collect_list(F.struct("node", "said")).alias("template"))
     )
@@ -492,7 +523,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     found = wrappers(pages, key, url, html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset] = {}
+        known: dict[str, tuple[frozenset, frozenset]] = {}
         for batch in batches:
             for piece in pieces(batch, 2):
                 texts = []
@@ -501,8 +532,12 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                     if host not in known:
                         if len(known) >= 512:
                             known.clear()
-                        known[host] = frozenset((t["node"], t["said"]) for t in template.as_py() or ())
-                    texts.append(extract(page, known[host]))
+                        pairs = [(t["node"], t["said"]) for t in template.as_py() or ()]
+                        known[host] = (
+                            frozenset(p for p in pairs if p[1] != MENU),
+                            frozenset(node for node, said in pairs if said == MENU),
+                        )
+                    texts.append(extract(page, *known[host]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),

@@ -7,6 +7,8 @@ import pytest
 
 from loanloom.llm import multi_index, wrapper
 
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
 VECTORS = "vec_id long, embedding array<float>, node string, raw string"
 
 
@@ -257,3 +259,53 @@ def test_matched_nodes_have_equal_paths():
         paths.append(found)
     size, pairs = wrapper.match(a, b)
     assert size == 4 and all(paths[0][i] == paths[1][j] for i, j in pairs)
+
+
+def test_menus_whose_words_change(spark):
+    """A node of links on most pages is a menu by its place, without a tag or a class that says so."""
+    pages, wanted = [], []
+    for i in range(7):
+        links = "".join(f"<li><a href=/{i}{k}>Topic {i * 7 + k}</a>" for k in range(5))
+        top = f"<div><ul>{links}</ul></div>"
+        text = f"Title {i} " + f"some words of page {i} " * 8
+        # plain blocks, and a line that is the same on all pages
+        pages.append(("http://a.example/", f"{top}<p>Always</p><section><h2>{text}</h2><h3>With <a>a link</a> {i}</h3></section>"))
+        wanted.append(f"{text}With a link {i}")
+        # a list of links within the article stays, and so does one that only two of the pages have
+        own = f"<table><tr><td><a>Rare link {i}</a></table>" if i < 2 else ""
+        pages.append(("http://b.example/", f"{top}<main><p>{text}</p><ul><li><a>Source {i}</a></ul></main>"))
+        wanted.append(f"{text}Source {i}")
+        pages.append(("http://c.example/", f"{top}<p>Always</p><section><h2>{text}</h2></section>{own}"))
+        wanted.append(text.strip() + (f" Rare link {i}" if own else ""))
+        # a host whose pages are links in the main: they are its text
+        pages.append(("http://d.example/", f"<p>Always</p><div>{links}</div>"))
+        wanted.append(" ".join(f"Topic {i * 7 + k}" for k in range(5)))
+    assert [" ".join(t.split()) for t in texts_of(spark, pages)] == [" ".join(w.split()) for w in wanted]
+
+
+def test_menus_equal_a_count_over_all_pages(spark):
+    """On the given pages menus are found by their place alone, as plain counts per host tell."""
+    from urllib.parse import urlsplit
+
+    rows = [(r.url, r.html.replace("<nav>", "<div>").replace("</nav>", "</div>")) for r in spark.read.parquet(PAGES).collect()]
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], PAGES_OF)
+    got = {r.host: {t.node for t in r.template if t.said == wrapper.MENU} for r in wrapper.wrappers(frame).collect()}
+    by_host = {}
+    for url, html in rows:
+        by_host.setdefault(urlsplit(url).hostname, []).append(wrapper.places(html))
+    menus = 0
+    for host, pages in by_host.items():
+        want = set()
+        for node in {n for nodes, _, _ in pages for n in nodes} - {0}:
+            on = [(nodes[node], whole) for nodes, _, whole in pages if node in nodes]
+            length, linked = (sum(x[0][k] for x in on) for k in (0, 1))
+            size = sum(nodes[0][0] for nodes, _, _ in pages)
+            often = len(on) >= 3 and len({w for _, w in on}) > 1 and len(on) * 2 >= len(pages)
+            if often and length and linked * 2 >= length and length * 2 < size:
+                want.add(node)
+        assert got.get(host, set()) == want
+        menus += bool(want)
+    assert menus > 20
+    plain = spark.read.parquet(PAGES)
+    texts = [r.text for r in sorted(wrapper.main_text(plain).collect())]
+    assert texts == [r.text for r in sorted(wrapper.main_text(frame).collect())]
