@@ -30,8 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanloom.sources.store import stored
+
 DATA, KNOWN, VERSIONS = "data", "known", "versions"
 BLOCK_BITS, BLOCK_KEYS, PROBES = 1 << 15, 1 << 11, 5
+#: Keys of a batch that are looked up in every file: many times the 500 of which one is found by chance.
+ASKED = 1 << 12
 
 FILES = "file string, rows long, least string, most string, latest date, last_number long, blocks long"
 FILTERS = "file string, blocks long, block long, least string, most string, bits binary"
@@ -167,13 +171,31 @@ class Table:
     def may_hold(self, keys: DataFrame) -> DataFrame:
         """The files (column file) that can hold one of the keys; keys: one column, named as in the table.
 
-        A file whose range no key lies in is left out before the filters are read.
+        A file whose range no key lies in is left out before the filters are read. Of a large batch about ASKED
+        keys are looked up first, in every file: one stored key or one hit by chance names a file, so where keys and
+        files share a range hardly any file is left. Only files left are asked for all keys, unless that
+        takes more lookups than they have rows: then reading them costs less, and they count as files that can.
+        So the work grows with keys and rows, never with keys times files.
         """
         keys = keys.select(F.col(self.key).alias("key"))
-        least, most = keys.agg(F.min("key"), F.max("key")).first()
-        filters = self._known("filters", FILTERS).where(
-            (F.col("least") <= F.lit(most)) & (F.col("most") >= F.lit(least))
-        )
+        n, least, most = keys.agg(F.count("key"), F.min("key"), F.max("key")).first()
+        in_range = (F.col("least") <= F.lit(most)) & (F.col("most") >= F.lit(least))
+        filters = self._known("filters", FILTERS).where(in_range)
+        if n <= ASKED:
+            return self._asked(keys, filters)
+        few = keys.where(F.pmod(_hash(F.col("key"), PROBES + 1), F.lit(n // ASKED)) == 0).distinct()
+        found = stored(self._asked(F.broadcast(few), filters), "files_found")
+        left = self.files().where(in_range).join(found, "file", "left_anti").select("file", "rows")
+        files, rows = left.agg(F.count("file"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if not files:
+            return found
+        names = left.select("file")
+        if n * files <= rows:
+            names = self._asked(keys, filters.join(names, "file", "left_semi"))
+        return found.unionByName(names)
+
+    def _asked(self, keys: DataFrame, filters: DataFrame) -> DataFrame:
+        """The files whose filter has all bits of one of the keys that lie in their range."""
         sizes = [r[0] for r in filters.select("blocks").distinct().collect()]  # powers of two
         blocks = F.array(*[F.lit(n) for n in sizes]).cast("array<long>")
         placed = keys.select("key", F.explode(blocks).alias("blocks"))

@@ -193,3 +193,33 @@ def test_filters_never_miss_a_stored_id(spark, tmp_path):
     assert table.files().agg(F.sum("rows"), F.count("file")).first()[:] == (9000, 7)
     assert table.stored_keys(loans).count() == 9000
     assert table.stored_keys(loans.limit(10).select(F.upper("loan_id").alias("loan_id"))).count() == 0
+
+
+def test_a_large_batch_is_not_looked_up_in_every_file(spark, tmp_path, monkeypatch):
+    """Where ids of batch and files share a range, the lookups grow with the batch and not with batch times files."""
+    path, n = str(tmp_path / "t"), 40_000
+    loans = wide(spark, 0, n).withColumn("approval_fy", F.pmod(F.hash("loan_id"), F.lit(20)))
+    write_loans(loans.withColumn("loan_id", F.md5("loan_id")), path)
+    table = loan_table(spark, path)
+    assert table.files().count() == 20
+    lookups, asked = [], Table._asked
+
+    def counted(self, keys, filters):
+        lookups.append(keys.count() * filters.select("file").distinct().count())
+        return asked(self, keys, filters)
+
+    monkeypatch.setattr(Table, "_asked", counted)
+    new = wide(spark, n, n).withColumn("loan_id", F.md5("loan_id"))
+    batch = new.unionByName(loans.limit(3000).withColumn("loan_id", F.md5("loan_id")))
+    files = table.may_hold(batch)
+    assert files.count() == files.distinct().count() == 20
+    assert sum(lookups) <= 20 * 1.2 * versions.ASKED + n
+    assert table.stored_keys(batch).count() == 3000 and table.stored_keys(new).count() == 0
+    # files between which a batch lies are asked for all of it, and left out
+    monkeypatch.setattr(versions, "ASKED", 10)
+    apart = str(tmp_path / "apart")
+    write_loans(wide(spark, 0, 1000).unionByName(wide(spark, 900_000, 1000, 2011)), apart)
+    between = spark.range(100).select(F.format_string("SBA-%08d-x", F.col("id") + 500).alias("loan_id"))
+    table = loan_table(spark, apart)
+    assert table.may_hold(between).count() == 0
+    assert table.may_hold(between.union(wide(spark, 900, 5).select("loan_id"))).count() == 1
