@@ -123,12 +123,15 @@ def _read_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read_quoted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows whose streets have line breaks and quotes in them, from one file of each folder."""
+    """Raw rows whose streets have line breaks and quotes in them, from two folders.
+
+    A folder has one file, or several where its rows are more than a task should write.
+    """
     path = new_table_path(spark, "quoted_csv")
     k = F.col("source_key")
     breaks = F.when(k % 7 == 0, F.lit('\n"rear",\n\n2nd floor')).when(k % 5 == 0, F.lit("\n")).otherwise(F.lit(""))
     staging = star_staging(spark, sf_dir).withColumn("borrstreet", F.concat("borrstreet", breaks))
-    rows = staging.withColumn("batch", k % 2).repartition(2, "batch").drop("source_key")
+    rows = staging.withColumn("batch", k % 2).hint("rebalance", "batch").drop("source_key")
     ingest.write_raw_csv(rows, path, partition_by="batch")
     return ingest.read_quoted_csv(spark, [f"{path}/batch={i}" for i in range(2)])
 

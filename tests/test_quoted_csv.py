@@ -1,10 +1,13 @@
 """Line breaks in quoted fields, read in parts, against the reader that takes whole files."""
 
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanloom import registry
 from loanloom.schemas import STAGING_COLUMNS
 from loanloom.sources import ingest
 from loanloom.sources.quoted_csv import read_quoted, records
@@ -89,3 +92,25 @@ def test_raw_loan_files(spark, small_splits, tmp_path):
     assert {r.asofdate for r in found.collect()} == {"v0", 'two\nlines, "quoted"'}
     rejected = ingest.rejected_quoted_rows(spark, str(tmp_path)).collect()
     assert [(r.file, r.asofdate, r.raw_line) for r in rejected] == [("a.csv", "x", 'x,"y\nz"')]
+
+
+def test_the_rows_of_a_folder_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The query's files stay as small as tasks should be, however many rows there are."""
+    name, size = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 20_000
+    texts = [F.md5(F.concat(F.lit(c), F.col("id").cast("string"))).alias(c) for c in STAGING_COLUMNS]
+    spark.range(600).select(F.col("id").alias("source_key"), *texts).write.parquet(str(tmp_path / "staging"))
+    monkeypatch.setattr(registry, "star_staging", lambda *_: spark.read.parquet(str(tmp_path / "staging")))
+    monkeypatch.setattr(registry, "new_table_path", lambda *_: str(tmp_path / "csv"))
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        rows = registry._read_quoted_csv(spark, "").select("asofdate", "borrstreet").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert min(len(list((tmp_path / "csv" / f"batch={i}").glob("*.csv"))) for i in range(2)) > 5
+    rear = '\n"rear",\n\n2nd floor'
+    streets = [
+        hashlib.md5(f"borrstreet{i}".encode()).hexdigest() + (rear if i % 7 == 0 else "\n" if i % 5 == 0 else "")
+        for i in range(600)
+    ]
+    assert sorted(r.borrstreet for r in rows) == sorted(streets)
