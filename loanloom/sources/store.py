@@ -41,18 +41,20 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None, spread: bool = True) -> DataFrame:
     """Write the frame once as Parquet and read it back with the same schema.
 
     With ``partition_by``, filters on that column choose files; the rebalance gives each value
-    few files, and large values several.
+    few files, and large values several. Without ``spread`` there is none: no row is shuffled for the write,
+    and each task writes a file per value it has.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
     if partition_by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    rows = df.hint("rebalance", partition_by) if spread else df
+    rows.write.partitionBy(partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 

@@ -1,11 +1,14 @@
 """Shape of the physical plans: pushed filters, pruned columns, no cross joins, bounded broadcasts."""
 
+import datetime as dt
 import re
 
 import pytest
 from conftest import AS_OF, SF_DIR
 from plan_tools import columns_read, plan, run
+from pyspark.sql import DataFrame
 
+from loanloom.operators.clean import clean
 from loanloom.plans import dashboard, kpis, quality, risk, segments
 from loanloom.registry import all_queries
 from loanloom.sources import portfolio, store
@@ -108,3 +111,18 @@ def test_stored_tables_use_the_shared_directory(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     for table in star_portfolio(spark, SF_DIR, AS_OF):
         assert all(shared in f for f in table.inputFiles())
+
+
+def test_the_clean_table_is_written_without_a_shuffle_of_its_rows(spark, make_loans, monkeypatch):
+    years = (2009, 2010, 2010, 2011, None)
+    loans = make_loans(*[dict(approval_date=y and dt.date(y, 3, 1), loan_status="PIF") for y in years]).repartition(3)
+    some = portfolio.Portfolio(lambda: loans, AS_OF)
+    monkeypatch.setattr(DataFrame, "hint", lambda *_: pytest.fail("rows are shuffled by year"))
+    table = some.clean
+    assert "loans" not in vars(some)  # nor stored twice
+    monkeypatch.undo()
+    wanted = clean(loans, AS_OF)
+    assert table.columns == wanted.columns
+    assert sorted(map(str, table.collect())) == sorted(map(str, wanted.collect()))
+    assert re.search(r"PartitionFilters: \[[^]]*vintage_year", plan(table.filter("vintage_year > 2009")))
+    assert {"vintage_year=2009", "vintage_year=2011"} <= {f.split("/")[-2] for f in table.inputFiles()}
